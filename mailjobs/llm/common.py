@@ -18,9 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def short_batches(spark: SparkSession) -> None:
+def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bounds what one Python worker holds at once (read when a plan with a Python stage starts)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def url_host(url: Column) -> Column:
+    """After the first :// up to /, ?, # or the end, A-Z lower-cased; empty where there is none."""
+    rest = F.substring(url, F.instr(url, "://") + 3, F.length(url))
+    host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.instr(url, "://") > 0, host).otherwise(F.lit(""))
+
+
+def url_path(url: Column) -> Column:
+    """What follows the host up to ?, # or the end; empty where there is no ://."""
+    rest = F.substring(url, F.instr(url, "://") + 3, F.length(url))
+    return F.when(F.instr(url, "://") > 0, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)).otherwise(F.lit(""))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -143,3 +143,18 @@ def ablations(rows: DataFrame, policies: dict[str, tuple[str, ...]] = POLICIES,
             F.coalesce(F.sum(F.when(hit != 0, F.col("n"))), F.lit(0)).alias("n_rejected"),
         )
     )
+
+
+def annotate(docs: DataFrame, text: str = "text", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
+    """All columns of ``docs`` and ``fail_bits``, without a join: the measurements travel with the row."""
+    short_batches(docs.sparkSession)
+    place = docs.columns.index(text)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"__{m}", T.LongType()) for m in MEASURES)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.array([measure(t.as_py()) for t in batch.column(place)], dtype=np.int64).reshape(-1, len(MEASURES))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(rows[:, k]) for k in range(len(MEASURES)))], names=[f.name for f in schema])
+
+    own = tuple((name, re.sub(r"[a-z]\w+", lambda m: f"__{m[0]}" if m[0] in MEASURES else m[0], condition)) for name, condition in rules)
+    return docs.mapInArrow(run, schema).select(*docs.columns, bits(own).alias("fail_bits"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, quality, simhash
+from . import bpe, langid, mixing, neighbours, pages, quality, secrets, simhash, substrings, urls
 from .common import table
 
 #: Where the public vocabularies lie, by the package that ships them.
@@ -35,11 +35,27 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", langid.held_out(F.col("doc_id")))
 
 
+#: The rules of the url query: what they name, and their verdict.
+RULES = [("net/", urls.BLOCK), ("example.net/en/", urls.ALLOW), ("example.com/de/", urls.BLOCK), ("org/fr/", urls.ALLOW)]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.curriculum(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("copies").cast("long").alias("n_copies"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"))
     rows = rows.withColumn("base_failed", F.col("fail_bits").bitwiseAND(F.lit(quality.mask(quality.POLICIES["base"])).cast("long")) != 0)
@@ -55,16 +71,34 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    kinds = [count(k).alias(f"n_{name}") for k, (name, *_) in enumerate(secrets.KINDS)]
+    return found.select("doc_id", *kinds, F.sha2(secrets.written(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary(BPE_FILE), bpe_pattern(), digests=True)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.report(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_removed", "n_removed_chars", "kept_chars", spans.alias("removed_spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_url_filter": op2_url_filter,
+        "op3_neighbours": op3_neighbours,
         "op4_mixing": op4_mixing,
+        "op5_html_extraction": op5_html_extraction,
         "op6_quality_rules": op6_quality_rules,
         "op7_simhash": op7_simhash,
+        "op8_secret_scan": op8_secret_scan,
         "op9_byte_bpe": op9_byte_bpe,
+        "op10_substring_dedup": op10_substring_dedup,
         "quality_ablations": quality_ablations,
     }

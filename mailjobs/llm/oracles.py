@@ -64,7 +64,7 @@ with s as (
   select *, (sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, place rows between unbounded preceding and 1 preceding), 0))
     / (sum(weight) over () - coalesce(sum(weight) over (order by cap / weight, place rows between unbounded preceding and 1 preceding), 0)) as lvl from w
 ), t as (
-  select *, case when cap / weight <= lvl then cap else weight * min(case when cap / weight > lvl then lvl end) over () end as target from l
+  select *, case when cap / weight <= lvl then cap else weight * max(case when cap / weight > lvl then lvl end) over () end as target from l
 ), c as (
   select s.doc_id, s.size, t.source_size, t.target, cast(round(t.target) as bigint) as whole,
     coalesce(sum(s.size) over (partition by t.place order by s.o, s.doc_id nulls last, s.size rows between unbounded preceding and 1 preceding), 0) as b

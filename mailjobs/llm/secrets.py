@@ -132,6 +132,11 @@ def tested(candidates: Column) -> Column:
     return F.filter(out, lambda c: c["bits"] >= MIN_BITS)
 
 
+def of_kind(places: Column, kind: int) -> Column:
+    """Places (start, end) as spans of a kind."""
+    return F.transform(places, lambda p: F.struct(p["start"].alias("start"), F.lit(kind).alias("kind"), p["end"].alias("end"))).cast(SPAN)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Adds ``__base`` (start, kind number, end) and ``__tested`` (candidates with p-values) to every
     row; one narrow stage over the whole texts."""
@@ -149,7 +154,7 @@ def scan(docs: DataFrame) -> DataFrame:
             places = F.filter(F.zip_with(places, sizes, lambda p, n: F.struct(p["start"].alias("start"), p["end"].alias("end"), n.alias("n"))), lambda p: p["n"] >= least)
         else:
             places = F.filter(places, lambda p: p["end"] - p["start"] >= least)
-        spans.append(F.transform(places, lambda p, k=k: F.struct(p["start"].alias("start"), F.lit(k).alias("kind"), p["end"].alias("end"))).cast(SPAN))
+        spans.append(of_kind(places, k))
     found = found.withColumn("__base", F.array_sort(F.concat(*spans)))
     # Positions need all runs, so the filtered ones are looked up among them.
     runs = F.when(F.size("__candidates") == 0, F.array().cast("array<struct<start:int,end:int,match:string>>")).otherwise(located(text, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), CANDIDATE))
@@ -182,7 +187,7 @@ def with_random(scanned: DataFrame, cuts: dict[str, float]) -> DataFrame:
         return scanned.withColumn("__random", F.array().cast(SPAN))
     known = F.create_map(*(F.lit(x) for pair in sorted(cuts.items()) for x in pair))
     hits = F.filter("__tested", lambda c: c["p"] >= F.coalesce(F.try_element_at(known, c["label"]), F.lit(2.0)))
-    return scanned.withColumn("__random", F.transform(hits, lambda c: F.struct(c["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), c["end"].alias("end"))).cast(SPAN))
+    return scanned.withColumn("__random", of_kind(hits, len(KINDS)))
 
 
 def find(docs: DataFrame, q: float = 0.1) -> DataFrame:

@@ -17,7 +17,7 @@ from ..operators import users as U
 from ..operators import vectors as V
 from ..sources import batches as A
 from ..sources import tables as ST
-from .registry import DAY, DAY_SQL, NOW, NOW_SQL, THRESHOLD, query
+from .registry import DAY_SQL, NOW_SQL, THRESHOLD, day, now, query
 
 # --- tables and files ---------------------------------------------------------------------------
 
@@ -71,7 +71,7 @@ def _(t):
 def _(t):
     rows = t("m_email").select("id", "user_id", "is_read", F.col("processed_at").alias("updated_at"))
     keys = t("m_email").where("user_id % 3 = 0").select("id", "user_id")
-    return ST.update_by_key(rows, keys, ["id", "user_id"], "is_read", F.lit(True), NOW)
+    return ST.update_by_key(rows, keys, ["id", "user_id"], "is_read", F.lit(True), now())
 
 
 # --- replies and rules --------------------------------------------------------------------------
@@ -226,7 +226,7 @@ def _(t):
     rows = D.parse_task_results(reply_lines(t, "m_task_reply"))
     even = F.col("total_tokens") % 2 == 0
     items = rows.select(F.col("custom_id").alias("email_id"), F.lit(1).alias("user_id"), F.when(even, "alerts").alias("category"), F.lit(None).cast("string").alias("ai_answer"), F.when(even, F.lit(0.5).cast("float")).alias("confidence"), "tasks", F.when(F.col("total_tokens") % 5 == 0, F.array(F.lit("UNREAD"))).alias("label_ids"), F.lit("t").alias("thread_id"), F.lit(1).cast("decimal(20,0)").alias("history_id"), F.lit(1).cast("long").alias("internal_date"))
-    return D.build_processed_email(items, NOW).select("id", "category", F.when(F.col("extracted_tasks").isNotNull(), F.size("extracted_tasks")).alias("n_tasks"), "due_date", "ai_confidence", "is_read", "has_new_reply", "processed_at")
+    return D.build_processed_email(items, now()).select("id", "category", F.when(F.col("extracted_tasks").isNotNull(), F.size("extracted_tasks")).alias("n_tasks"), "due_date", "ai_confidence", "is_read", "has_new_reply", "processed_at")
 
 
 @query("d9_sync_rules", "select user_id, semantic_key, mail_label, case when user_id % 50 = 0 then 9 else priority end as priority from m_user_rule where (select count(*) from m_user_rule where user_id % 50 = 0) > 0 union all select user_id, semantic_key, mail_label, priority from m_user_rule where (select count(*) from m_user_rule where user_id % 50 = 0) = 0")
@@ -284,7 +284,7 @@ _DAY_USE = f"(select user_email, cast(sum(tokens_consumed) as bigint) as t from
 
 @query("f4_pollable_users", f"select u.*, coalesce(s.t, 0) as tokens_consumed from {_UA} u left join {_DAY_USE} s on s.user_email = u.email where subscription_status = 'ACTIVE' and not needs_reauthentication and is_initial_scan_complete and coalesce(s.t, 0) < daily_token_limit")
 def _(t):
-    return U.pollable_users(t("m_user"), t("m_access"), t("m_usage"), DAY)
+    return U.pollable_users(t("m_user"), t("m_access"), t("m_usage"), day())
 
 
 @query("f5_cancelled_users", "select * from m_user where subscription_status = 'CANCELLED'")
@@ -296,7 +296,7 @@ def _(t):
   when coalesce(s.t, 0) + coalesce(p.tokens, 0) >= daily_token_limit + daily_token_limit // 25 then 'pipeline_quota' else 'poll' end as status
   from m_user u left join {_DAY_USE} s on s.user_email = u.email left join (select user_id, sum(n_bytes // 4) as tokens from m_item where stage_no between 1 and 4 group by 1) p on p.user_id = u.id""")
 def _(t):
-    users = U.with_usage(t("m_user"), t("m_usage"), DAY)
+    users = U.with_usage(t("m_user"), t("m_usage"), day())
     return U.quota_status(users, M.pipeline_tokens_by_user(items(t))).select("id", "tokens_consumed", "status")
 
 
@@ -324,12 +324,12 @@ _CAND = f"(select e.id, e.user_id, s.mail_label, s.cleanup_action from m_email e
 
 @query("f10_cleanup_candidates", f"select * from {_CAND}")
 def _(t):
-    return E.cleanup_candidates(t("m_email"), t("m_setting"), NOW)
+    return E.cleanup_candidates(t("m_email"), t("m_setting"), now())
 
 
 @query("f11_cleanup_plan", f"select * from {_CAND} where cleanup_action <> 'NOTHING' and id not in (select id from m_email where is_read)")
 def _(t):
-    return E.cleanup_plan(E.cleanup_candidates(t("m_email"), t("m_setting"), NOW), t("m_email").where("is_read"))
+    return E.cleanup_plan(E.cleanup_candidates(t("m_email"), t("m_setting"), now()), t("m_email").where("is_read"))
 
 
 @query("f12_emails_needing_tasks", "select id, user_id from m_email where ai_answer in ('1-URGENT', '2-HIGH')")
@@ -361,7 +361,7 @@ _SCORE = f"""(select e.*, coalesce(u.priority, s.priority) as priority, cast(flo
 
 
 def ranked(t):
-    return G.rank_feed(t("m_email"), t("m_user_rule"), t("m_system_rule"), NOW)
+    return G.rank_feed(t("m_email"), t("m_user_rule"), t("m_system_rule"), now())
 
 
 @query("g1_priority_score", f"select id, priority_score from {_SCORE}")
@@ -441,7 +441,7 @@ _ITEM = f"(select *, {_STAGE} as stage, n_bytes // 4 as est, case when stage_no
 
 @query("h1_usage_today", f"select u.email, coalesce(s.t, 0) as tokens_consumed from m_user u left join {_DAY_USE} s on s.user_email = u.email")
 def _(t):
-    return H.usage_today(t("m_user"), t("m_usage"), DAY)
+    return H.usage_today(t("m_user"), t("m_usage"), day())
 
 
 @query("h2_usage_this_month", "select u.email, cast(coalesce(sum(s.tokens_consumed), 0) as bigint) as tokens_consumed from m_user u left join m_usage s on s.user_email = u.email and s.date >= date '2024-01-01' and s.date < date '2024-02-01' group by 1")
@@ -451,7 +451,7 @@ def _(t):
 
 @query("h3_add_usage", f"select user_email, cast({DAY_SQL} as varchar) as date, 2024 as year, 1 as month, cast(sum(x) as bigint) as tokens_consumed from (select user_email, tokens_consumed as x from m_usage where date = {DAY_SQL} union all select email, id % 100 from m_user where id % 3 = 0) group by 1")
 def _(t):
-    return H.add_usage(t("m_usage"), t("m_user").where("id % 3 = 0").select(F.col("email").alias("user_email"), (F.col("id") % 100).alias("tokens")), DAY).withColumn("date", F.col("date").cast("string"))
+    return H.add_usage(t("m_usage"), t("m_user").where("id % 3 = 0").select(F.col("email").alias("user_email"), (F.col("id") % 100).alias("tokens")), day()).withColumn("date", F.col("date").cast("string"))
 
 
 @query("h4_tokens_by_user", f"select user_id, cast(sum(act) as bigint) as tokens from {_ITEM} group by 1 having sum(act) <> 0")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fixtures import Tables, duckdb
@@ -13,13 +13,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 #: The library never reads a clock; these are the queries' times.
-NOW = F.lit("1998-06-15 12:00:00").cast("timestamp_ntz")
 NOW_SQL = "timestamp '1998-06-15 12:00:00'"
-DAY = F.lit("2024-01-15").cast("date")
 DAY_SQL = "date '2024-01-15'"
 THRESHOLD = 0.30
 
 
+def now() -> Column:
+    return F.expr(NOW_SQL.replace("timestamp", "timestamp_ntz"))
+
+
+def day() -> Column:
+    return F.expr(DAY_SQL)
+
+
 def query(name: str, sql: str | None = None):
     """Registers a function of Tables as a query, with SQL over the views where there is one."""
 

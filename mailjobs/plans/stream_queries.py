@@ -13,7 +13,7 @@ from ..sources import messages as MS
 from ..streaming import jobs as J
 from ..streaming import ttl as TT
 from . import initial_scan as IS
-from .registry import NOW, THRESHOLD, query
+from .registry import THRESHOLD, now, query
 from .text_queries import CLEAN_SQL
 
 
@@ -103,7 +103,7 @@ def _(t):
 
 
 def _scan() -> IS.Scan:
-    return IS.Scan(now_ms=F.lit(14 * 86_400_000), now=NOW, days=14, max_emails=30, token_limit=20_000, threshold=THRESHOLD, temperature=0.0, system_prompt="Sort the mail.")
+    return IS.Scan(now_ms=F.lit(14 * 86_400_000), now=now(), days=14, max_emails=30, token_limit=20_000, threshold=THRESHOLD, temperature=0.0, system_prompt="Sort the mail.")
 
 
 def _messages(t):

@@ -12,8 +12,8 @@ def rules(spark):
     return spark.createDataFrame([(1, "Newsletter", "newsletter", False, 3), (2, "Security Alert", "alerts", True, 3), (3, "newsletter", "second", True, 1)], RULES)
 
 
-def match(spark, rules, general, specific, confidence, sender=None, **more):
-    row = spark.createDataFrame([(general, specific, confidence, sender)], "general_category string, specific_type string, confidence float, `from` string")
+def match(spark, rules, general_category, specific, confidence, sender=None, **more):
+    row = spark.createDataFrame([(general_category, specific, confidence, sender)], "general_category string, specific_type string, confidence float, `from` string")
     return D.match_system_rule(row, rules, 0.5, more.pop("heuristics", ()), **more).first()
 
 

@@ -57,7 +57,7 @@ def test_digest_stream_agrees_on_closed_groups(spark, tmp_path):
     batch = TT.alert_digest(spark.createDataFrame(rows, schema)).collect()
     out = drained(spark, rows, schema, TT.alert_digest_stream, tmp_path).collect()
     plain = lambda rs: {(r["closed_at"], r["outcome"], r["text"]) for r in rs}
-    assert plain(out) <= plain(batch) and len(out) >= 4
+    assert plain(out) <= plain(batch) and len(out) >= 3  # the last group stays open until a later watermark
 
 
 def test_held_alerts_are_bounded():

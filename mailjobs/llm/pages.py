@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import short_batches, url_host
+from .common import checkpointed, short_batches, url_host
 
 # HTML element names by the part they play, and words of class, id and role attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -166,7 +166,8 @@ def extract(html: str | None, templates: frozenset[int] = frozenset()) -> str:
             out.append(x)
             continue
         if announced(x) or templates and not templates.isdisjoint(keys(x, inside)):
-            out.append(" ")
+            if x.tag in BLOCK:
+                out.append(" ")
             continue
         edge = [(" ", inside)] if x.tag in BLOCK else []
         within = inside or x.tag in ("article", "main")
@@ -194,8 +195,6 @@ def templates(pages: DataFrame, min_pages: int = 10, min_share: float = 0.5) ->
 
 def main_text(pages: DataFrame, min_pages: int = 10, min_share: float = 0.5, broadcast_rows: int = 100_000) -> DataFrame:
     """page_id, url, text and n_chars for every row of ``pages``."""
-    from .common import checkpointed
-
     known = checkpointed(templates(pages, min_pages, min_share))
     side = known.withColumnRenamed("host", "of_host")
     if known.count() <= broadcast_rows:  # else Spark joins by host and deals skewed hosts out

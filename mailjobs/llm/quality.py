@@ -146,8 +146,10 @@ def ablations(rows: DataFrame, policies: dict[str, tuple[str, ...]] = POLICIES,
 
 
 def annotate(docs: DataFrame, text: str = "text", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
-    """All columns of ``docs`` and ``fail_bits``, without a join: the measurements travel with the row."""
+    """All columns of ``docs`` and ``fail_bits`` (in place of one of that name), without a join: the
+    measurements travel with the row."""
     short_batches(docs.sparkSession)
+    docs = docs.drop("fail_bits")
     place = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(f"__{m}", T.LongType()) for m in MEASURES)])
 

@@ -77,10 +77,144 @@ from c
 """
 
 
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _host(url: str) -> str:
+    return f"(case when instr({url}, '://') > 0 then translate(regexp_extract(substr({url}, instr({url}, '://') + 3), '^[^/?#]*'), {_AZ}) else '' end)"
+
+
+#: Rules by join; ranks as the sum over walks of up to 24 links from the seeds.
+_URLS = rf"""
+with recursive u as (
+  select row_number() over () as k, page_id, coalesce(url, '') as url, html from pages
+), h as (
+  select *, {_host('url')} as host, case when instr(url, '://') > 0 then regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) else '' end as path from u
+), rules(rule, v, rh, rp) as (
+  values ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'), ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')
+), m as (
+  select k, first(rule order by length(rule) desc, rule) as rule from h join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by k
+), j as (
+  select h.*, m.rule, r.v, r.rp from h left join m using (k) left join rules r on r.rule = m.rule
+), seeds as (
+  select host, avg(case when v = 'allow' then 1.0 else 0.0 end) as t, avg(case when v = 'block' and rp in ('', '/') then 1.0 else 0.0 end) as d from j where host <> '' group by host
+), links as (
+  select host as src, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?\s*((?:https?:)?//[^"''\s>]+)', 1)) as l from h
+), e as (
+  select src, dst, count(*) as n from (select src, {_host("(case when l[1:2] = '//' then 'http:' || l else l end)")} as dst from links) where src <> '' and dst <> '' and src <> dst group by 1, 2
+), steps as (
+  select 't' as kind, src as host, dst as nxt, n / sum(n) over (partition by src) as w from e union all select 'd', dst, src, n / sum(n) over (partition by dst) from e
+), walk(i, kind, host, r) as (
+  select 0, kind, host, r from (select 't' as kind, host, 0.15 * t / sum(t) over () as r from seeds where t > 0 union all select 'd', host, 0.15 * d / sum(d) over () from seeds where d > 0)
+  union all select i + 1, kind, nxt, sum(0.85 * w * r) from walk join steps using (kind, host) where i < 24 group by i, kind, nxt
+), ranks as (
+  select host, coalesce(sum(r) filter (kind = 't'), 0) as t, coalesce(sum(r) filter (kind = 'd'), 0) as d from walk group by host
+)
+select page_id, j.host, path, rule, coalesce(v, case when coalesce(d, 0) > 0 and d >= 0.5 * (t + d) then 'block' else 'allow' end) as verdict
+from j left join ranks using (host)
+"""
+
+_B = r"[ \t\n\r\f\v]"
+#: Units with their offsets; the normalised text itself stands for its digest.
+_SUBSTRINGS = rf"""
+with l as (
+  select doc_id, i, line, coalesce(sum(length(line) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as pos
+  from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents)
+), cut as (
+  select doc_id, i, pos, string_split(regexp_replace(line, '([.!?])([ \t\r\f\v])', '\1' || chr(1) || '\2', 'g'), chr(1)) as parts from l
+), s as (
+  select doc_id, piece, pos + coalesce(sum(length(piece)) over (partition by doc_id, i order by k rows between unbounded preceding and 1 preceding), 0) as pos
+  from (select doc_id, i, pos, unnest(parts) as piece, generate_subscripts(parts, 1) as k from cut where len(list_filter(parts, lambda x: regexp_matches(x, '[^ \t\n\r\f\v]'))) > 1)
+), u as (
+  select doc_id, pos + length(regexp_extract(piece, '^{_B}*')) as b, pos + length(regexp_replace(piece, '{_B}+$', '')) as e, array_to_string(regexp_extract_all(lower(piece), '[^ \t\n\r\f\v]+'), ' ') as g
+  from (select doc_id, line as piece, pos from l union all select doc_id, piece, pos from s)
+  where len(regexp_extract_all(piece, '[^ \t\n\r\f\v]+')) >= 8
+), f as (
+  select *, first_value((doc_id, b)) over (partition by g order by doc_id, b) as first from u
+), lost as (
+  select distinct doc_id, b, e from f where (doc_id, b) <> first
+), marked as (
+  select *, case when b <= max(e) over (partition by doc_id order by b, e rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from lost
+), merged as (
+  select doc_id, min(b) as b, max(e) as e, count(*) as n from (select *, sum(fresh) over (partition by doc_id order by b, e) as island from marked) group by doc_id, island
+), per as (
+  select doc_id, sum(n) as n, sum(e - b) as c, string_agg(cast(b as varchar) || ':' || cast(e as varchar), ',' order by b) as spans from merged group by doc_id
+)
+select doc_id, cast(coalesce(n, 0) as bigint) as n_removed, cast(coalesce(c, 0) as bigint) as n_removed_chars, cast(length(coalesce(text, '')) - coalesce(c, 0) as bigint) as kept_chars, coalesce(spans, '') as removed_spans
+from documents left join per using (doc_id)
+"""
+
+
+def _located(kind: int, pattern: str, group: int, least: int) -> str:
+    """(k, kind, b, e, m) of a pattern's matches: each begins where the text before it ends."""
+    quoted = pattern.replace("'", "''")
+    return f"""select k, {kind} as kind, e - length(m) as b, e, m from (
+      select k, m, size, sum(length(gap) + length(m)) over (partition by k order by i) as e from (
+        select k, unnest(ms) as m, unnest(ps[1:len(ms)]) as gap, unnest(gs) as size, generate_subscripts(ms, 1) as i from (
+          select k, regexp_extract_all(t, '{quoted}', 0) as ms, string_split_regex(t, '{quoted}') as ps, list_transform(regexp_extract_all(t, '{quoted}', {group}), lambda x: length(x)) as gs from d))) where size >= {least}"""
+
+
+def _tail(z: str) -> str:
+    t = f"(1 / (1 + 0.2316419::double * least(abs({z}), 30)))"
+    poly = "0.0::double"
+    for c in reversed(("0.319381530", "-0.356563782", "1.781477937", "-1.821255978", "1.330274429")):
+        poly = f"(({poly} + {c}::double) * {t})"
+    tail = f"(exp(-least(abs({z}), 30) * least(abs({z}), 30) / 2) / 2.5066282746310002::double * {poly})"
+    return f"(case when {z} >= 0 then {tail} else 1 - {tail} end)"
+
+
+def _secrets() -> str:
+    from .secrets import BINS, CANDIDATE, ENCODINGS, KINDS, MIN_BITS
+
+    base = " union all ".join(f"({_located(k, pattern, group, least)})" for k, (_, pattern, group, least) in enumerate(KINDS))
+    fits = lambda give: "case " + " ".join(f"when regexp_matches(body, '{p}') then {give(name, letters)}" for name, p, letters in ENCODINGS) + " end"
+    counts = ", ".join(f"cast(count(*) filter (kind = {k}) as bigint) as n_{name}" for k, (name, *_) in enumerate(KINDS))
+    names = "case kind " + " ".join(f"when {k} then '{name}'" for k, (name, *_) in enumerate(KINDS)) + " else 'random' end"
+    written = f"string_agg({names} || ':' || cast(b as bigint) || ':' || cast(e as bigint), ',' order by b, kind)"
+    chi = "((ka / n * squares - n) - (ka - 1)) / sqrt(2 * (ka - 1) * (n - 1) / n)"
+    mu = "(2 * high * (n - high) / n + 1)"
+    var = f"(({mu} - 1) * ({mu} - 2) / (n - 1))"
+    return f"""
+with d as (
+  select row_number() over () as k, doc_id, coalesce(text, '') as t from documents
+), base as ({base}), runs as ({_located(3, CANDIDATE, 0, 20)}), c as (
+  select row_number() over () as c, k, b, e, rtrim(m, '=') as body from runs r
+  where regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]') and not exists (select 1 from base x where x.k = r.k and x.b < r.e and r.b < x.e)
+), f as (
+  select *, {fits(lambda name, letters: f"'{name}'")} as enc, {fits(lambda name, letters: f"'{letters}'")} as letters from c
+), chars as (
+  select c, i, length(letters)::double as ka, (instr(letters, x) - 1)::double as v from (select c, letters, unnest(string_split(body, '')) as x, generate_subscripts(string_split(body, ''), 1) as i from f where enc is not null and length(body) >= 16)
+), w as (
+  select *, lag(v) over (partition by c order by i) as u, avg(v) over (partition by c) as mean, count(*) over (partition by c, v)::double as same from chars
+), s as (
+  select c, any_value(ka) as ka, count(*)::double as n, sum(same) as squares, count(*) filter (v >= ka / 2)::double as high,
+    1 + count(*) filter (u is not null and (v >= ka / 2) <> (u >= ka / 2))::double as runs, sum((v - mean) * (v - mean)) as spread, coalesce(sum((v - mean) * (u - mean)), 0) as serial from w group by c
+), p as (
+  select *, greatest({_tail(chi)}, 1e-300) as p1, greatest(case when {var} > 0 then 2 * {_tail(f"abs((runs - {mu}) / sqrt({var}))")} else 0 end, 1e-300) as p2,
+    greatest(case when spread > 0 then 2 * {_tail("abs((serial / spread + 1 / n) * sqrt(n))")} else 0 end, 1e-300) as p3 from s where n * log2(ka) >= {MIN_BITS}
+), fisher as (
+  select c, ka, n, least(greatest(exp(-h) * (1 + h + h * h / 2), 0), 1) as p from (select *, -(ln(p1) + ln(p2) + ln(p3)) as h from p)
+), binned as (
+  select fisher.*, k, b, e, enc || ':' || floor(log2(n)) as label, least(floor(p * {BINS}), {BINS - 1}) as bin from fisher join f using (c)
+), cuts as (
+  select label, min(x) / {BINS}.0::double as cut from (select label, x, 2 * count(*) filter (bin >= {BINS // 2}) as random, count(*) filter (bin >= x) as kept from binned, (select unnest(range(0, {BINS})) as x) group by label, x)
+  where kept > 0 and random > 0 and 1 - random * (1 - x / {BINS}.0::double) / kept <= 0.1 group by label
+), spans as (
+  select k, kind, b, e from base union all select k, {len(KINDS)}, b, e from binned join cuts using (label) where p >= cut
+), per as (
+  select k, {counts}, coalesce({written.replace(", ',' order", ", ',' order")} filter (kind < {len(KINDS)}), '') as bs, {written} as spans from spans group by k
+)
+select doc_id, {", ".join(f"coalesce(n_{name}, 0) as n_{name}" for name, *_ in KINDS)}, sha256(coalesce(bs, '')) as base_sha256, coalesce(spans, '') as spans from d left join per using (k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_url_filter": _URLS,
         "op4_mixing": _MIXING,
         "op6_quality_rules": QUALITY_LEDGER
         + "select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 as base_failed, fail_bits = 0 as kept, cast(fail_bits as bigint) as fail_bits from b",
+        "op8_secret_scan": _secrets(),
+        "op10_substring_dedup": _SUBSTRINGS,
         "quality_ablations": _ablations(),
     }

@@ -27,30 +27,34 @@ from pyspark.sql import types as T
 
 from .common import checkpointed, short_batches
 
-_lines = re.compile(r"[^\n]+").finditer
-#: A sentence: up to a full stop, question or exclamation mark that white space or the end follows.
-_sentences = re.compile(r"\S.*?(?:[.!?]+(?=\s)|$)").finditer
+_words = re.compile(r"[^ \t\n\r\f\v]+").findall
+#: Between a full stop, question or exclamation mark and the white space that follows it.
+_ends = re.compile(r"(?<=[.!?])(?=[ \t\r\f\v])").split
+BLANKS = " \t\n\r\f\v"
 
 
 def units(text: str, min_words: int) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of every unit of a text, by start."""
+    """(start, end, digest) of every unit of a text: each line, then its sentences if it has several."""
     from xxhash import xxh128_digest
 
     out = []
 
     def add(piece: str, start: int) -> None:
-        words = piece.lower().split()
+        words = _words(piece.lower())
         if len(words) >= min_words:
-            left = len(piece) - len(piece.lstrip())
-            out.append((start + left, start + len(piece.rstrip()), xxh128_digest(" ".join(words).encode("utf-8", "replace"))))
-
-    for line in _lines(text):
-        piece, start = line.group(), line.start()
-        add(piece, start)
-        inner = list(_sentences(piece))
-        if len(inner) > 1:
-            for m in inner:
-                add(m.group(), start + m.start())
+            left = len(piece) - len(piece.lstrip(BLANKS))
+            out.append((start + left, start + len(piece.rstrip(BLANKS)), xxh128_digest(" ".join(words).encode("utf-8", "replace"))))
+
+    begin = 0
+    for line in text.split("\n"):
+        add(line, begin)
+        inner = _ends(line)
+        if sum(1 for x in inner if x.strip(BLANKS)) > 1:
+            at = begin
+            for x in inner:
+                add(x, at)
+                at += len(x)
+        begin += len(line) + 1
     return out
 
 

@@ -82,3 +82,22 @@ def test_native_and_odd_rows(odd, empty):
     assert "Python" not in plan and "Arrow" not in plan
     assert found.count() == odd.count() and X.find(empty).count() == 0
     assert X.redact(odd).columns == odd.columns and X.redact(empty).count() == 0
+
+
+def test_found_random_strings_agree_with_sql(spark, tmp_path):
+    import duckdb
+
+    from mailjobs.llm import oracles, queries
+    from tests.helpers import rows_of
+
+    rng = random.Random(5)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = [f"é😀 {''.join(rng.choice(alphabet) for _ in range(rng.choice([24, 40, 70])))} x {''.join(rng.choice('0123456789abcdef') for _ in range(30))}" for _ in range(60)] + TEXTS
+    docs_of(spark, texts).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    df = queries.op8_secret_scan(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    sql = oracles.oracle_sql()["op8_secret_scan"]
+    got = rows_of((df.columns, [tuple(r) for r in df.collect()]))
+    assert got == rows_of((con.sql(sql).columns, con.execute(sql).fetchall()))
+    assert any("random" in str(r) for r in got[0])

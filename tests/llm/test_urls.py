@@ -97,3 +97,22 @@ def test_native(spark, sf):
     assert "Python" not in plan and "Arrow" not in plan
     rows = pages.select("url", url_host(F.col("url")).alias("h"), url_path(F.col("url")).alias("p")).collect()
     assert all((r["h"], r["p"]) == plain(r["url"]) for r in rows)
+
+
+def test_links_and_sql_agree(spark, tmp_path):
+    """The registered query against DuckDB on pages that do link to each other."""
+    from mailjobs.llm import oracles, queries
+    from tests.helpers import rows_of
+
+    link = lambda *hosts: "".join(f'<A HREF="http://{h}/x">l</A>' for h in hosts)
+    rows = [(1, "http://a.example.com/en/1", link("b.example.com", "s.example.net")), (2, "http://b.example.com/en/1", link("c.example.com")), (3, "http://c.example.com/1", link("s.example.net", "s.example.net")), (4, "http://s.example.net/1", link("a.example.com")), (5, "http://d.example.org/fr/1", link("b.example.com")), (6, "http://b.example.com/de/1", None), (7, None, link("s.example.net"))]
+    pages_of(spark, rows).coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    df = queries.op2_url_filter(spark, str(tmp_path))
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    sql = oracles.oracle_sql()["op2_url_filter"]
+    got = rows_of((df.columns, [tuple(r) for r in df.collect()]))
+    want = rows_of((con.sql(sql).columns, con.execute(sql).fetchall()))
+    assert got == want

@@ -18,6 +18,7 @@ first by code point; repeated rows give repeated rows; other columns take no par
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ from .common import short_batches
 
 MARK = "▁"
 #: Words that a worker keeps scored; beyond it the store starts anew.
-CACHE = 200_000
+CACHE = 400_000
 #: Longer words are scored with rescaling, so that no product runs out of the doubles' range.
 LONG = 40
 
@@ -44,6 +45,38 @@ def read_pieces(path: str) -> dict[str, int]:
     return {model.id_to_piece(k): k for k in range(model.get_piece_size()) if not model.is_control(k) and not model.is_unknown(k)}
 
 
+class PieceTable:
+    """Ids of pieces by the hash of their letters, in arrays with open addressing."""
+
+    BITS = 18
+
+    def __init__(self, pieces: dict[str, int], width: int):
+        base = 0x9E3779B97F4A7C15
+        self.powers = np.array([pow(base, k, 1 << 64) for k in range(1, width + 1)], dtype=np.uint64)
+        self.keys, self.ids = np.zeros(1 << self.BITS, dtype=np.uint64), np.full(1 << self.BITS, -1, dtype=np.int64)
+        for piece, k in pieces.items():
+            h = sum((ord(c) + 1) * int(p) for c, p in zip(piece, self.powers, strict=False)) % (1 << 64)
+            slot = self._slot(np.array([h], dtype=np.uint64))[0]
+            while self.ids[slot] >= 0:
+                slot = (slot + 1) % (1 << self.BITS)
+            self.keys[slot], self.ids[slot] = h, k
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes ^ hashes >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The id of each hash, -1 where there is none."""
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        todo, slot = np.arange(len(hashes)), self._slot(hashes)
+        while len(todo):
+            ids = self.ids[slot]
+            same = (self.keys[slot] == hashes[todo]) & (ids >= 0)
+            out[todo[same]] = ids[same]
+            on = ~same & (ids >= 0)
+            todo, slot = todo[on], (slot[on] + 1) % (1 << self.BITS)
+        return out
+
+
 class Segmenter:
     """Sums over all segmentations of a word, for all languages at once.
 
@@ -55,6 +88,7 @@ class Segmenter:
         self.width = max(map(len, pieces))
         self.size = weights.shape[1]
         self.none = np.zeros(self.size)
+        self.table = PieceTable({p: k for p, k in pieces.items() if p == MARK or p.lstrip(MARK).isalpha()}, self.width)
         self.bytes = {f"{b:02X}": pieces[f"<0x{b:02X}>"] for b in range(256) if f"<0x{b:02X}>" in pieces}
 
     def arcs(self, word: str) -> list[tuple[int, int, tuple[int, ...]]]:
@@ -91,31 +125,53 @@ class Segmenter:
         return log + np.log(np.maximum(ahead.get(len(word), np.ones(self.size)), 1e-300))
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """Log-probability of each word by language; words of one length are summed together."""
+        """Log-probability of each word (with its mark) by language.
+
+        The words are one array of letters. Substrings of each length are looked up by hash, all at
+        once; then the forward algorithm takes one step for each place in a word and piece length.
+        """
         out = np.zeros((len(words), self.size))
-        by: dict[int, list[int]] = {}
+        short = [k for k, w in enumerate(words) if len(w) <= LONG]
         for k, word in enumerate(words):
-            by.setdefault(len(word), []).append(k)
-        get, missing = self.pieces.get, len(self.weights)
-        padded = np.vstack([self.weights, self.none])
-        for length, rows in by.items():
-            if length > LONG:
-                for k in rows:
-                    out[k] = self.long(words[k])
-                continue
-            own = [words[k] for k in rows]
-            alpha = [np.ones((len(own), self.size))]
-            for j in range(1, length + 1):
-                total = np.zeros((len(own), self.size))
-                for i in range(max(0, j - self.width), j):
-                    ids = np.fromiter((get(w[i:j], missing) for w in own), dtype=np.int64, count=len(own))
-                    if (ids != missing).any():
-                        total += alpha[i] * padded[ids]
-                    if i == j - 1 and (ids == missing).any():
-                        for r in np.flatnonzero(ids == missing):
-                            total[r] += alpha[i][r] * self._weight(tuple(self.bytes[f"{b:02X}"] for b in own[r][i].encode("utf-8", "replace")))
-                alpha.append(total)
-            out[rows] = np.log(np.maximum(alpha[-1], 1e-300))
+            if len(word) > LONG:
+                out[k] = self.long(word)
+        if not short:
+            return out
+        codes = np.frombuffer("".join(words[k] for k in short).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        sizes = np.array([len(words[k]) for k in short], dtype=np.int64)
+        # alpha has one row more than letters for each word: row begin + j is the sum over its first j
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        row = np.arange(len(codes)) + np.repeat(np.arange(len(short)), sizes)  # of the place before a letter
+        place = row - np.repeat(begin, sizes)
+        left = np.repeat(sizes, sizes) - place
+        weights = self.weights
+        arcs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # by length: row, piece, cuts by end place
+        at, hashes = np.arange(len(codes)), np.zeros(len(codes), dtype=np.uint64)
+        for k in range(1, self.width + 1):
+            on = left[at] >= k
+            at, hashes = at[on], hashes[on]
+            if not len(at):
+                break
+            hashes = hashes + (codes[at + k - 1] + np.uint64(1)) * self.table.powers[k - 1]
+            piece = self.table.find(hashes)
+            if k == 1 and (missing := np.flatnonzero(piece < 0)).size:  # letters that are spelled in bytes
+                odd, which = np.unique(codes[at[missing]], return_inverse=True)
+                piece[missing] = len(weights) + which
+                rows = [self._weight(tuple(self.bytes[f"{b:02X}"] for b in chr(c).encode("utf-8", "replace"))) for c in odd.tolist()]
+                weights = np.vstack([weights, *rows])
+            hit = np.flatnonzero(piece >= 0)
+            ends = (place[at[hit]] + k).astype(np.int8)
+            order = np.argsort(ends, kind="stable")
+            hit = hit[order]
+            arcs.append((row[at[hit]], piece[hit], np.searchsorted(ends[order], np.arange(LONG + 2))))
+        alpha = np.zeros((len(codes) + len(short), self.size))
+        alpha[begin] = 1.0
+        for end in range(1, int(sizes.max()) + 1):
+            for k, (source, piece, cuts) in enumerate(arcs, 1):
+                a, b = cuts[end], cuts[end + 1]
+                if a < b:  # one arc of a length ends at a place, so rows are distinct
+                    alpha[source[a:b] + k] += alpha[source[a:b]] * weights[piece[a:b]]
+        out[short] = np.log(np.maximum(alpha[begin + sizes], 1e-300))
         return out
 
     def expected(self, word: str, language: int, count: float, into: dict[int, float]) -> None:
@@ -136,6 +192,18 @@ class Segmenter:
                 into[k] = into.get(k, 0.0) + share
 
 
+_runs = re.compile(r"[^\W\d_]+").findall
+
+
+def words_of(text: str | None) -> list[str]:
+    """The runs of letters of a text, lower-cased. Signs such as fractions, which count as numbers and
+    not as digits, part words as well."""
+    words = _runs((text or "").lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return [w for x in words for w in "".join(c if c.isalpha() else " " for c in x).split()]
+
+
 def letters(text: Column) -> Column:
     """The words of a text, in Spark."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"))
@@ -204,45 +272,27 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], vocabulary: str, cac
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_letter_words", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        runs = regex.compile(r"\p{L}+").findall
         segmenter = Segmenter(read_pieces(vocabulary), sent.value) if languages else None
-        known: dict[str, int] = {}  # token -> row of table
-        table = np.zeros((0, len(languages) + 1))
-
-        def learn(tokens: list[str]) -> np.ndarray:
-            """Log-probabilities and number of words of each token between blanks."""
-            split = [runs(t.lower()) for t in tokens]
-            words = list(dict.fromkeys(w for x in split for w in x))
-            row = {w: k for k, w in enumerate(words)}
-            scored = segmenter.scores([MARK + w for w in words])
-            out = np.zeros((len(tokens), len(languages) + 1))
-            where = np.repeat(np.arange(len(tokens)), [len(x) for x in split])
-            which = np.array([row[w] for x in split for w in x], dtype=np.int64)
-            np.add.at(out[:, :-1], where, scored[which])
-            np.add.at(out[:, -1], where, 1)
-            return out
-
+        known: dict[str, int] = {}  # word -> row of table
+        table = np.zeros((0, len(languages)))
         for batch in batches:
-            counted = [Counter((t.as_py() or "").split()) if languages else Counter() for t in batch.column(1)]
-            if new := list(dict.fromkeys(t for c in counted for t in c if t not in known)):
+            counted = [Counter(words_of(t.as_py())) if languages else {} for t in batch.column(1)]
+            if new := list(dict.fromkeys(w for c in counted for w in c if w not in known)):
                 if len(known) + len(new) > cache:
-                    known, table = {}, np.zeros((0, len(languages) + 1))
-                    new = list(dict.fromkeys(t for c in counted for t in c))
-                known.update((t, len(table) + k) for k, t in enumerate(new))
-                table = np.vstack([table, learn(new)])
+                    known, table = {}, table[:0]
+                    new = list(dict.fromkeys(w for c in counted for w in c))
+                known.update((w, len(table) + k) for k, w in enumerate(new))
+                table = np.vstack([table, segmenter.scores([MARK + w for w in new])])
             best, score, n_words = [], [], []
             for c in counted:
-                if c:
-                    rows = np.fromiter((known[t] for t in c), dtype=np.int64, count=len(c))
-                    total = np.fromiter(c.values(), dtype=np.float64, count=len(c)) @ table[rows]
-                if not c or not total[-1]:
+                if not c:
                     best.append("und"), score.append(0.0), n_words.append(0)
                     continue
-                log = total[:-1]
+                rows = np.fromiter(map(known.__getitem__, c), dtype=np.int64, count=len(c))
+                times = np.fromiter(c.values(), dtype=np.float64, count=len(c))
+                log = times @ table[rows]
                 k = int(np.argmax(log))
-                best.append(languages[k]), score.append(float(1 / np.exp(log - log[k]).sum())), n_words.append(int(total[-1]))
+                best.append(languages[k]), score.append(float(1 / np.exp(log - log[k]).sum())), n_words.append(int(times.sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(n_words, pa.int64())], names=[f.name for f in schema])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

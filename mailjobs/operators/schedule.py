@@ -25,11 +25,20 @@ def latest_ids(messages: DataFrame, processed: DataFrame, now_ms: Column, days:
     return fresh.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
 
 
-def prune_to_token_limit(emails: DataFrame, limit: int, tokens: str = "tokens") -> DataFrame:
+def prune_to_token_limit(emails: DataFrame, limit: int, tokens: str = "tokens", salts: int = 32) -> DataFrame:
     """Drops each user's oldest emails until the sum fits: a row stays while the sum from the newest
-    down to it is within the limit. ``emails``: user_id, internal_date, arrival, tokens."""
-    w = Window.partitionBy("user_id").orderBy(F.desc("internal_date"), F.desc("arrival")).rowsBetween(Window.unboundedPreceding, 0)
-    return emails.withColumn("__sum", F.sum(tokens).over(w)).where(F.col("__sum") <= limit).drop("__sum")
+    down to it is within the limit. ``emails``: user_id, internal_date, arrival, tokens (not negative).
+
+    A huge mailbox doesn't meet in one task: its salted parts first drop what lies beyond their own
+    first row over the limit, which is beyond the whole mailbox's as well, and no sum that counts
+    changes.
+    """
+    order = F.desc("internal_date"), F.desc("arrival")
+    part = Window.partitionBy("user_id", "__salt").orderBy(*order)
+    before = F.coalesce(F.sum(tokens).over(part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = emails.withColumn("__salt", F.pmod(F.xxhash64("arrival"), F.lit(salts))).withColumn("__before", before).where(F.col("__before") <= limit)
+    whole = Window.partitionBy("user_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return near.withColumn("__sum", F.sum(tokens).over(whole)).where(F.col("__sum") <= limit).drop("__sum", "__before", "__salt")
 
 
 def pruned_empty(emails: DataFrame, limit: int, tokens: str = "tokens") -> DataFrame:

@@ -139,3 +139,15 @@ def test_pages_partition_the_feed(spark, sf):
             break
         cursor = (page[2]["priority_score"], page[2]["history_id"])
     assert seen == whole
+
+
+@pytest.mark.parametrize("salts", [1, 3, 32])
+def test_pruning_in_salted_parts_is_exact(spark, salts):
+    rows = spark.range(2000).select((F.col("id") % 3).alias("user_id"), (F.col("id") * 7919 % 997).alias("internal_date"), F.col("id").alias("arrival"), (F.col("id") * 31 % 50).alias("tokens"))
+    got = {r["arrival"] for r in W.prune_to_token_limit(rows, 700, salts=salts).collect()}
+    want, used = set(), {}
+    for r in sorted(rows.collect(), key=lambda r: (-r["internal_date"], -r["arrival"])):
+        used[r["user_id"]] = used.get(r["user_id"], 0) + r["tokens"]
+        if used[r["user_id"]] <= 700:
+            want.add(r["arrival"])
+    assert got == want

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import numbered
+
 #: Longest chunk, in characters.
 LONGEST = 32_768
 
@@ -36,8 +38,8 @@ def should_embed(df: DataFrame) -> DataFrame:
 
 
 def embedding_batches(chunks: DataFrame, size: int, by: str, *order: str) -> DataFrame:
-    """by, batch, chunks: batches of ``size`` in order, inside each value of ``by``."""
-    at = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
-    numbered = chunks.withColumn("__at", at).withColumn("batch", F.floor(F.col("__at") / size).cast("int"))
+    """by, batch, chunks: batches of ``size`` in order, inside each value of ``by``. The first order
+    column is numeric."""
+    numbers = numbered(chunks, [by], list(order), "__at").withColumn("batch", F.floor((F.col("__at") - 1) / size).cast("int"))
     rows = F.array_sort(F.collect_list(F.struct("__at", "chunk_text")))
-    return numbered.groupBy(by, "batch").agg(F.transform(rows, lambda r: r["chunk_text"]).alias("chunks"))
+    return numbers.groupBy(by, "batch").agg(F.transform(rows, lambda r: r["chunk_text"]).alias("chunks"))

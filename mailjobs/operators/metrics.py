@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import over_sliding_range
 from .rules import label_priorities
 
 WORKING = ("main", "user_defined", "tasks", "done")
@@ -64,18 +65,15 @@ def rolling_user_count(events: DataFrame, micros: int = DAY, n: str = "n") -> Da
     """Adds rolling_count: per user the sum over the time up to each event, both ends included.
     ``events``: user_id, ts, n."""
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("user_id").orderBy("__at").rangeBetween(-micros, 0)
-    return events.withColumn("__at", at).withColumn("rolling_count", F.sum(n).over(w)).drop("__at")
+    return over_sliding_range(events, "user_id", at, micros, {"rolling_count": F.sum(n)})
 
 
 def rolling_rate(events: DataFrame, micros: int = 10_000_000, by: str = "user_id", n: str = "n") -> DataFrame:
-    """Adds rate: growth of the cumulative count over the window divided by its seconds; 0 with fewer
-    than two points or under a tenth of a second."""
+    """Adds rate: growth of the cumulative count from the window's oldest point to its newest, divided
+    by the seconds between them; 0 with fewer than two points or under a tenth of a second."""
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    so_far = Window.partitionBy(by).orderBy("__at", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    w = Window.partitionBy(by).orderBy("__at").rangeBetween(-micros, 0)
-    out = events.withColumn("__at", at).withColumn("__sum", F.sum(n).over(so_far))
-    low, high = F.min("__sum").over(w), F.max("__sum").over(w)
-    seconds = (F.max("__at").over(w) - F.min("__at").over(w)) / 1e6
-    rate = F.when((F.count(F.lit(1)).over(w) < 2) | (seconds < 0.1), F.lit(0.0)).otherwise((high - low) / seconds)
-    return out.withColumn("rate", rate).drop("__at", "__sum")
+    values = {"__sum": F.sum(n), "__oldest": F.min(F.struct("__at", "event_id", n)), "__newest": F.max("__at"), "__points": F.count(F.lit(1))}
+    out = over_sliding_range(events, by, at, micros, values)
+    seconds = (F.col("__newest") - F.col("__oldest.__at")) / 1e6
+    rate = F.when((F.col("__points") < 2) | (seconds < 0.1), F.lit(0.0)).otherwise((F.col("__sum") - F.col(f"__oldest.{n}")) / seconds)
+    return out.withColumn("rate", rate).drop(*values)

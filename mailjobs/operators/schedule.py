@@ -1,6 +1,8 @@
 """Order and admission of work.
 
-A user's window can't be split, so every operator here reads narrow rows: cut columns first.
+A mailbox may hold a large part of all rows, so positions and sums are computed in pieces of it
+(``prefix``); only mixed priorities, where each admission depends on the ones before, stream a user's
+narrow rows through one task.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import first_of
 from .emails import lookback_filter, unprocessed_ids
+from .prefix import numbered, running_sum
 
 HIGH, LOW, BACKGROUND = 0, 1, 2
 
@@ -49,8 +52,8 @@ def pruned_empty(emails: DataFrame, limit: int, tokens: str = "tokens") -> DataF
 
 def round_robin(items: DataFrame, *order: str) -> DataFrame:
     """Adds ``turn``: a user's first item has turn 1, the second 2, ...; the fair order is by turn,
-    then user. No total order is computed here, so nothing meets in one task."""
-    return items.withColumn("turn", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)))
+    then user. Neither a total order nor a user's rows meet in one task."""
+    return numbered(items, ["user_id"], list(order), "turn").withColumn("turn", F.col("turn").cast("int"))
 
 
 def distinct_entries(entries: DataFrame) -> DataFrame:
@@ -63,9 +66,9 @@ def task_order(entries: DataFrame) -> DataFrame:
     """Adds priority order and turns: work is taken by priority, turn, then the user's first arrival.
     ``entries``: user_id, email_id, priority, arrival."""
     rows = distinct_entries(entries)
-    turn = F.row_number().over(Window.partitionBy("priority", "user_id").orderBy("arrival"))
-    first = F.min("arrival").over(Window.partitionBy("priority", "user_id"))
-    return rows.withColumn("turn", turn).withColumn("user_first", first)
+    first = rows.groupBy("priority", "user_id").agg(F.min("arrival").alias("user_first"))
+    turns = numbered(rows, ["priority", "user_id"], ["arrival"], "turn")
+    return turns.withColumn("turn", F.col("turn").cast("int")).join(first, ["priority", "user_id"])
 
 
 def queue_count_by_user(entries: DataFrame) -> DataFrame:
@@ -74,14 +77,16 @@ def queue_count_by_user(entries: DataFrame) -> DataFrame:
     return entries.groupBy("user_id").agg(count(HIGH).alias("high"), count(LOW).alias("low"), count(BACKGROUND).alias("background"), F.count(F.lit(1)).alias("total"), F.count_if(F.col("priority") < BACKGROUND).alias("categorization"))
 
 
-def quota_admission(items: DataFrame, *order: str) -> DataFrame:
+def quota_admission(items: DataFrame, order: str) -> DataFrame:
     """The admitted items, all of one priority: in order, up to the first that finds the quota used or
-    would pass it by more than a hundredth. ``items``: user_id, estimate, quota, used."""
-    w = Window.partitionBy("user_id").orderBy(*order)
-    before = F.col("used") + F.coalesce(F.sum("estimate").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    would pass it by more than a hundredth. ``items``: user_id, estimate, quota, used, and ``order``,
+    distinct inside a user."""
+    rows = running_sum(items, ["user_id"], [order], F.col("estimate"), "__sum", inclusive=False)
+    before = F.col("used") + F.col("__sum")
     over = (before >= F.col("quota")) | (F.col("estimate") > F.col("quota") - before + F.floor(F.col("quota") / 100))
-    stopped = F.max(F.col("__over").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return items.withColumn("__over", over).withColumn("__stop", stopped).where("__stop = 0").drop("__over", "__stop")
+    stop = rows.where(over).groupBy(F.col("user_id").alias("__user")).agg(F.min(order).alias("__stop"))
+    free = F.col("__stop").isNull() | (F.col(order) < F.col("__stop"))
+    return rows.join(stop, F.col("user_id") == F.col("__user"), "left").where(free).select(*items.columns)
 
 
 def admit_mixed(items: DataFrame, order: str) -> DataFrame:

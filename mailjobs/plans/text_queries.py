@@ -179,9 +179,10 @@ def _(t):
     return K.chunk_email(t("m_item").withColumn("subject", F.concat(F.lit("Subject of "), F.col("subject"), F.lit(". "))), "subject", "body", "email_id")
 
 
-@query("k3_embedding_batches", "select user_id, cast(b as integer) as batch, string_agg(chunk_text, '|' order by chunk_text) as chunks from (select user_id, chunk_text, (row_number() over (partition by user_id order by email_id, chunk_index) - 1) // 16 as b from m_embedding where chunk_text is not null) group by 1, 2")
+@query("k3_embedding_batches", "select user_id, cast(b as integer) as batch, string_agg(chunk_text, '|' order by chunk_text) as chunks from (select user_id, chunk_text, (row_number() over (partition by user_id order by cast(substr(email_id, 2) as integer), chunk_index) - 1) // 16 as b from m_embedding where chunk_text is not null) group by 1, 2")
 def _(t):
-    out = K.embedding_batches(t("m_embedding").where("chunk_text is not null"), 16, "user_id", "email_id", "chunk_index")
+    rows = t("m_embedding").where("chunk_text is not null").withColumn("arrival", F.substring("email_id", 2, 9).cast("int"))
+    out = K.embedding_batches(rows, 16, "user_id", "arrival", "chunk_index")
     return out.select("user_id", "batch", F.array_join(F.array_sort("chunks"), "|").alias("chunks"))
 
 

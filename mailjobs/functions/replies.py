@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import REPLY_BODY, TASKS
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with ``value`` computed a single time, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _kind(value: Column, path: str) -> Column:
     """The type of a JSON value: a string there says STRING, a number BIGINT, DECIMAL or DOUBLE."""
     return F.schema_of_variant(F.try_variant_get(value, path, "variant"))
 
 
-def parse_category_answer(c: Column) -> Column:
-    """struct(general_category, specific_type, confidence float), or null where the text isn't JSON,
-    specific_type isn't a string, or confidence isn't a number. general_category may be absent."""
-    v = F.try_parse_json(c)
+def _answer(v: Column) -> Column:
     get = lambda path, kind: F.try_variant_get(v, path, kind)
     number = _kind(v, "$.confidence").rlike(r"^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
     good = (_kind(v, "$.specific_type") == "STRING") & number
@@ -24,18 +28,26 @@ def parse_category_answer(c: Column) -> Column:
     return F.when(good, F.struct(general.alias("general_category"), get("$.specific_type", "string").alias("specific_type"), get("$.confidence", "double").cast("float").alias("confidence")))
 
 
+def parse_category_answer(c: Column) -> Column:
+    """struct(general_category, specific_type, confidence float), or null where the text isn't JSON,
+    specific_type isn't a string, or confidence isn't a number. general_category may be absent."""
+    return once(F.try_parse_json(c), _answer)
+
+
 def parse_body(body: Column) -> Column:
     """struct(content, total_tokens) of a reply's JSON body; null fields where it lacks them."""
-    parsed = F.from_json(body, REPLY_BODY)
-    content = F.try_element_at(parsed["choices"], F.lit(1))["message"]["content"]
-    return F.struct(content.alias("content"), parsed["usage"]["total_tokens"].alias("total_tokens"))
+
+    def fields(parsed: Column) -> Column:
+        content = F.try_element_at(parsed["choices"], F.lit(1))["message"]["content"]
+        return F.struct(content.alias("content"), parsed["usage"]["total_tokens"].alias("total_tokens"))
+
+    return once(F.from_json(body, REPLY_BODY), fields)
 
 
 def parse_tasks(c: Column) -> Column:
     """The tasks of a reply's content; null unless it is JSON with a list in which every task has a
     title. Unknown keys are ignored."""
-    tasks = F.from_json(c, TASKS)["tasks"]
-    return F.when(F.forall(tasks, lambda t: t.isNotNull() & t["title"].isNotNull()), tasks)
+    return once(F.from_json(c, TASKS)["tasks"], lambda tasks: F.when(F.forall(tasks, lambda t: t.isNotNull() & t["title"].isNotNull()), tasks))
 
 
 def next_due_date(tasks: Column, lenient: bool = False) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.replies import is_read, next_due_date, parse_body, parse_category_answer, parse_tasks
+from ..functions.replies import is_read, next_due_date, once, parse_body, parse_category_answer, parse_tasks
 from ..functions.text import fold
 from ..sources.tables import first_of
 
@@ -26,21 +26,24 @@ def unknown() -> Column:
     return F.struct(*(F.lit(v).cast(kinds.get(k, "string")).alias(k) for k, v in UNKNOWN.items()))
 
 
+def _parsed(lines: DataFrame, f, name: str) -> DataFrame:
+    """custom_id, name, total_tokens of the good replies for which f(content) isn't null. Each body is
+    parsed once: as a generator, the result isn't computed anew by filters above it."""
+    good = lines.where(~F.col("has_error") & (F.col("status_code") == 200))
+    found = once(parse_body(F.col("body")), lambda b: F.struct(f(b["content"]).alias(name), b["total_tokens"].alias("total_tokens")))
+    kept = F.filter(F.array(found), lambda r: r[name].isNotNull() & r["total_tokens"].isNotNull())
+    return good.select("custom_id", F.inline(kept))
+
+
 def parse_category_results(lines: DataFrame) -> DataFrame:
     """custom_id, general_category, specific_type, confidence, total_tokens of the good replies.
     ``lines``: custom_id, status_code, has_error, body (JSON of choices and usage)."""
-    b = parse_body(F.col("body"))
-    good = lines.where(~F.col("has_error") & (F.col("status_code") == 200)).select("custom_id", b.alias("b"))
-    answers = good.select("custom_id", F.col("b.total_tokens").alias("total_tokens"), parse_category_answer(F.col("b.content")).alias("a"))
-    return answers.where("a is not null and total_tokens is not null").select("custom_id", "a.*", "total_tokens")
+    return _parsed(lines, parse_category_answer, "a").select("custom_id", "a.*", "total_tokens")
 
 
 def parse_task_results(lines: DataFrame) -> DataFrame:
     """custom_id, tasks, total_tokens of the good task replies."""
-    b = parse_body(F.col("body"))
-    good = lines.where(~F.col("has_error") & (F.col("status_code") == 200)).select("custom_id", b.alias("b"))
-    tasks = good.select("custom_id", parse_tasks(F.col("b.content")).alias("tasks"), F.col("b.total_tokens").alias("total_tokens"))
-    return tasks.where("tasks is not null and total_tokens is not null")
+    return _parsed(lines, parse_tasks, "tasks")
 
 
 def is_label_relevant(labels: DataFrame, rules: DataFrame) -> DataFrame:

@@ -34,6 +34,18 @@ def drain(t, name: str, shape, job) -> str:
     return out
 
 
+@query("a2_read_messages", "select 'm' || doc_id as id, source as thread_id, cast(case when doc_id % 3 = 0 then 0 else doc_id end as bigint) as history_id, doc_id * 1000 as internal_date, case when doc_id % 2 = 0 then 'INBOX,UNREAD' else '' end as labels, length(text) as n_raw from documents")
+def _(t):
+    """Message documents written as JSON lines, and read with the fixed schema."""
+    even = F.col("doc_id") % 2 == 0
+    history = F.when(F.col("doc_id") % 3 == 0, "not a number").otherwise(F.col("doc_id").cast("string"))
+    message = F.struct(F.concat(F.lit("m"), F.col("doc_id")).alias("id"), F.col("source").alias("threadId"), F.when(even, F.array(F.lit("INBOX"), F.lit("UNREAD"))).alias("labelIds"), history.alias("historyId"), (F.col("doc_id") * 1000).cast("string").alias("internalDate"), F.col("text").alias("raw"))
+    out = shared_folder(t.spark)
+    t("documents").select(F.to_json(message).alias("value")).write.text(out)
+    m = MS.read_messages(t.spark, out)
+    return m.select("id", "thread_id", F.col("history_id").cast("long").alias("history_id"), "internal_date", F.array_join("label_ids", ",").alias("labels"), F.length("raw").cast("long").alias("n_raw"))
+
+
 @query("a3_parse_mime", "select doc_id, 'writer' || doc_id || '@example.com' as from_address, 'Writer <writer' || doc_id || '@example.com>' as from_display, source as subject, text as body, case when doc_id % 10 = 0 then 'no raw message' end as error from documents where doc_id % 10 <> 0 union all select doc_id, null, null, null, null, 'no raw message' from documents where doc_id % 10 = 0")
 def _(t):
     head = F.format_string("From: Writer <writer%d@example.com>\r\nSubject: %s\r\nMIME-Version: 1.0\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n", "doc_id", "source")

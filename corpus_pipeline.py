@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailjobs.llm import bpe, mixing, quality, secrets, simhash
-from mailjobs.llm.common import checkpointed, table
+from mailjobs.llm.common import table
 from mailjobs.llm.queries import BPE_FILE, bpe_pattern, vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,10 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id (a null id stays as it is)."""
-    groups = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(groups, "doc_id", "left_semi")
-    return one.select(*COLUMNS)
+    """One document of each group: the one with the smallest doc_id."""
+    return simhash.deduplicated(docs).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

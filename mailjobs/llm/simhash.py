@@ -55,16 +55,17 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and ``fp`` (the fingerprint as a signed long) of every row; one narrow stage."""
+    """doc_id, key (a hash of the text) and ``fp`` (the fingerprint as a signed long) of every row; one
+    narrow stage."""
     short_batches(docs.sparkSession)
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("key", T.LongType()), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), size, seed) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.array([fingerprint(t.as_py(), size, seed) for t in batch.column(2)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "key", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, schema)
 
 
 def block_masks(blocks: int, radius: int) -> list[int]:
@@ -233,7 +234,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, seed: int = 42, radius: int = 3, split: int = 1024) -> DataFrame:
-    """doc_id, fp and component_id: the smallest doc_id of all documents reachable over links."""
+    """doc_id, key, fp and component_id: the smallest doc_id of all documents reachable over links."""
     marked = checkpointed(fingerprints(docs, size, seed))
     distinct = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     parts = connected_components(links(distinct.select("fp"), radius, split))
@@ -243,4 +244,18 @@ def near_duplicates(docs: DataFrame, size: int = 3, seed: int = 42, radius: int
     low = member.groupBy("root").agg(F.min("first").alias("low"))
     several = member.join(low, "root").select("fp", "low")
     known = checkpointed(distinct.join(several, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id")))
-    return marked.join(known, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(known, "fp").select("doc_id", "key", "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, size: int = 3, seed: int = 42, radius: int = 3, split: int = 1024) -> DataFrame:
+    """The columns of ``docs`` for one document of each group: the one whose doc_id is the component's.
+
+    Repeated rows stay once. Documents of a group in which none has a doc_id can't be ranked: of them
+    every text stays once. Texts are shuffled once, by what identifies a document.
+    """
+    names = ["__id", "__key"]
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    groups = near_duplicates(docs, size, seed, radius, split)
+    chosen = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(ident.alias("__id"), F.col("key").alias("__key")).distinct()
+    rows = docs.withColumn("__id", ident).withColumn("__key", F.xxhash64("text"))
+    return rows.join(chosen, names, "left_semi").dropDuplicates(names).select(*docs.columns)

@@ -105,3 +105,15 @@ def test_odd_rows(odd, empty):
     assert set(zero) == {3}  # null, empty and blank texts link
     assert [r["component_id"] for r in got if r["doc_id"] in (1, 2)] == [1, 1, 1]
     assert S.near_duplicates(empty).count() == 0
+
+
+def test_one_document_of_each_group_stays(spark, odd, docs):
+    kept = S.deduplicated(odd)
+    assert kept.columns == odd.columns
+    ids = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect())
+    groups = {r["component_id"] for r in S.near_duplicates(odd).collect()}
+    assert ids == sorted((g is None, g or 0) for g in groups)  # repeated rows and copies once
+    want = {r["component_id"] for r in S.near_duplicates(docs).collect()}
+    assert sorted(r["doc_id"] for r in S.deduplicated(docs).collect()) == sorted(want)
+    none = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (None, "quite another text here")], "doc_id long, text string")
+    assert S.deduplicated(none).count() == 2

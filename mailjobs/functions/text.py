@@ -204,8 +204,10 @@ def task_prompt(subject: Column, body: Column) -> Column:
 
 
 def system_prompt(taxonomy: Column, instructions: Column, user_defined: bool = False) -> Column:
+    """The instructions come first and the fixed sentence stands under "Instructions", as the service
+    sends it."""
     preamble, keys = (USER_PREAMBLE, "specific_type") if user_defined else (SYSTEM_PREAMBLE, "general_category, specific_type")
-    return F.format_string(SYSTEM, F.lit(preamble), instructions, taxonomy, F.lit(keys))
+    return F.format_string(SYSTEM, instructions, F.lit(preamble), taxonomy, F.lit(keys))
 
 
 def missing_scopes(granted: Column, required: list[str]) -> Column:

@@ -150,7 +150,7 @@ _TASK = X.EXTRACT_TASKS.replace("'", "''").replace("%s", "{}")
 _SYS = X.SYSTEM.replace("'", "''").replace("%s", "{}")
 
 
-@query("b22_prompts", f"select email_id, format('{_CAT}', subject, email_id, body) as categorize, format('{_TASK}', subject, body) as tasks, format('{_SYS}', '{X.SYSTEM_PREAMBLE}', 'Be brief.', subject, 'general_category, specific_type') as system from m_item")
+@query("b22_prompts", f"select email_id, format('{_CAT}', subject, email_id, body) as categorize, format('{_TASK}', subject, body) as tasks, format('{_SYS}', 'Be brief.', '{X.SYSTEM_PREAMBLE}', subject, 'general_category, specific_type') as system from m_item")
 def _(t):
     s, b = F.col("subject"), F.col("body")
     return t("m_item").select("email_id", X.categorization_prompt(s, F.col("email_id"), b).alias("categorize"), X.task_prompt(s, b).alias("tasks"), X.system_prompt(s, F.lit("Be brief.")).alias("system"))

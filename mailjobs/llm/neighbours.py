@@ -187,10 +187,11 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, books: int = 16, ca
     n_queries = queries.count()
     short_batches(spark)
     codes = checkpointed(index(distinct, table, beam))
-    short_batches(spark, 4)  # from here on a row is a pair of blocks
+    short_batches(spark, 4)  # in the next job a row is a pair of blocks
     found = scan(codes, queries, table, min(candidates, n), n, n_queries)
     by_approx = Window.partitionBy("query_id").orderBy(F.desc("approx"), "id")
-    best = found.withColumn("r", F.row_number().over(by_approx)).where(F.col("r") <= candidates).select("query_id", "id")
+    best = checkpointed(found.withColumn("r", F.row_number().over(by_approx)).where(F.col("r") <= candidates).select("query_id", "id"))
+    short_batches(spark)
     exact = best.join(distinct.select("id", F.col("v").alias("w"), *keys), "id").join(queries, "query_id").select("query_id", *keys, "id", dot(F.col("v"), F.col("w")).alias("score"))
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     near = exact.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + 1).drop("r", "id")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailjobs.llm import bpe, mixing, quality, secrets, simhash
+from mailjobs.llm import bpe, mixing, nearcopies, quality, secrets
 from mailjobs.llm.common import table
 from mailjobs.llm.queries import BPE_FILE, bpe_pattern, vocabulary
 
@@ -22,8 +22,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id."""
-    return simhash.deduplicated(docs).select(*COLUMNS)
+    """One document of each group linked by a similarity of 0.8 or more in 5-word shingles: the one
+    with the smallest doc_id."""
+    return nearcopies.deduplicated(docs).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -253,9 +253,13 @@ def deduplicated(docs: DataFrame, size: int = 3, seed: int = 42, radius: int = 3
     Repeated rows stay once. Documents of a group in which none has a doc_id can't be ranked: of them
     every text stays once. Texts are shuffled once, by what identifies a document.
     """
+    return kept_rows(docs, near_duplicates(docs, size, seed, radius, split))
+
+
+def kept_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One document of each of the groups (doc_id, key, component_id), as in ``deduplicated``."""
     names = ["__id", "__key"]
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    groups = near_duplicates(docs, size, seed, radius, split)
     chosen = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(ident.alias("__id"), F.col("key").alias("__key")).distinct()
     rows = docs.withColumn("__id", ident).withColumn("__key", F.xxhash64("text"))
     return rows.join(chosen, names, "left_semi").dropDuplicates(names).select(*docs.columns)

@@ -14,7 +14,8 @@ one blank, blocks joined by one blank in page order.
 
 Defined results: a null or empty html gives an empty text and 0; a page without a host belongs to no
 site, so nothing of it counts as a template; unclosed and stray tags are closed or ignored as browsers
-mostly do; repeated rows count as pages of their own; other columns take no part.
+mostly do; rows of a host with the same html count as one page, however many they are; other columns
+take no part.
 """
 
 from __future__ import annotations
@@ -176,20 +177,20 @@ def extract(html: str | None, templates: frozenset[int] = frozenset()) -> str:
 
 
 def templates(pages: DataFrame, min_pages: int = 10, min_share: float = 0.5) -> DataFrame:
-    """host, hashes: the subtrees found on at least ``min_pages`` pages and ``min_share`` of the
-    host's pages. A host has at most 1 / min_share times as many of them as a page has elements."""
+    """host, hashes: the subtrees found on at least ``min_pages`` different pages and ``min_share`` of
+    the host's different pages. A host has at most 1 / min_share times as many of them as a page has elements."""
     short_batches(pages.sparkSession)
-    rows = pages.select(url_host(F.col("url")).alias("host"), "html").where("host <> ''")
+    rows = pages.select(url_host(F.col("url")).alias("host"), "html", F.xxhash64("html").alias("page")).where("host <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [page_hashes(h.as_py()) for h in batch.column(1)]
             row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
             flat = np.array([k for x in found for k in x], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(flat)], names=["host", "hash"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(flat), batch.column(2).take(row)], names=["host", "hash", "page"])
 
-    counted = rows.mapInArrow(run, "host string, hash long").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    of_host = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= min_pages)
+    counted = rows.mapInArrow(run, "host string, hash long, page long").groupBy("host", "hash").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= min_pages)
+    of_host = rows.groupBy("host").agg(F.count_distinct("page").alias("n_pages")).where(F.col("n_pages") >= min_pages)
     return counted.join(of_host, "host").where(F.col("n") >= min_share * F.col("n_pages")).groupBy("host").agg(F.collect_set("hash").alias("hashes"))
 
 

@@ -78,3 +78,13 @@ def test_odd_rows(spark):
     pages = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("x", "x")
     assert sorted(r["text"] for r in P.main_text(pages).collect() if r["page_id"] in (1, 3, None)) == ["", "deep", "x", "x"]
     assert P.main_text(pages.where("false")).count() == 0
+
+
+def test_copies_of_a_page_are_one_page(spark):
+    copied = "<html><body><div class='wrap'><div class='body'><p>the whole story</p></div></div></body></html>"
+    rows = [(k, "http://a.com/x", copied) for k in range(30)]  # nothing but copies
+    rows += [(100 + k, f"http://b.com/{k % 12}", copied) for k in range(30)]
+    rows += [(200 + k, f"http://b.com/own/{k}", page(k, "All about us")) for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in P.main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[3] == got[103] == "the whole story"
+    assert got[205] == "words 5"  # found on 12 of the host's 13 pages, though on 12 of its 42 rows

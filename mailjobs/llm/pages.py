@@ -35,6 +35,7 @@ from .common import checkpointed, short_batches, url_host
 # HTML element names by the part they play, and words of class, id and role attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("head script style noscript template iframe object svg canvas nav header footer aside form button select textarea dialog menu".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title html head".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tr td th figure figcaption b i em strong span a code br".split())
 CLOSES_P = BLOCK - frozenset("br body html title caption td th tr tbody thead tfoot".split())
@@ -68,6 +69,7 @@ class Tree(HTMLParser):
         self.open = [self.root]
 
     def handle_starttag(self, tag, attrs):
+        self._leave_head(tag)
         if tag in CLOSES_P:
             self._close("p", {"article", "section", "div", "td", "th", "li", "body", "blockquote", "main", "aside", "nav", "footer", "header"})
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
@@ -78,14 +80,25 @@ class Tree(HTMLParser):
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
-        self.open[-1].parts.append(Node(tag, attrs)) if tag in VOID else self.handle_starttag(tag, attrs)
+        if tag in VOID:
+            self._leave_head(tag)
+            self.open[-1].parts.append(Node(tag, attrs))
+        else:
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
         self._close(tag, set())
 
     def handle_data(self, data):
+        if data.strip():
+            self._leave_head("")
         self.open[-1].parts.append(data)
 
+    def _leave_head(self, tag: str) -> None:
+        """Closes an open head at the body, and at what may not stand in a head (text is tag "")."""
+        if tag == "body" or self.open[-1].tag == "head" and tag not in IN_HEAD:
+            self._close("head", set())
+
     def _close(self, tag: str, until: set[str]) -> None:
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag:

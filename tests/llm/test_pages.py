@@ -88,3 +88,19 @@ def test_copies_of_a_page_are_one_page(spark):
     got = {r["page_id"]: r["text"] for r in P.main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[3] == got[103] == "the whole story"
     assert got[205] == "words 5"  # found on 12 of the host's 13 pages, though on 12 of its 42 rows
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<html><head><title>t</title><body><article><p>a</p></article></body></html>", "a"),
+        ("<head><meta charset=utf-8><title>t</title><div>a</div>", "a"),
+        ("<head><title>t</title><script>x</script>\n a <b>b</b>", "a b"),
+        ("<head><link rel=x><img src=y/>a", "a"),
+        ("<head><title>t</title><img src=y />a</head>b", "ab"),
+        ("<head><noscript><style>x</style><body>a", "a"),
+        ("<head><style>x</style>\n<title>t</title>\n</head><body>a", "a"),
+    ],
+)
+def test_a_head_ends_without_its_end_tag(html, text):
+    assert P.extract(html) == text

@@ -1,7 +1,9 @@
 """Secret scanning: patterns and a battery of randomness tests, in DataFrame expressions only.
 
 Base kinds (assign, access, hex) are found by pattern. Besides them, runs of encoding characters that
-hold letters and digits are candidates. For each, the narrowest encoding that fits is inferred (hex,
+hold letters and digits are candidates. A run is cut behind each '=' that more of it follows (name=value);
+a part that still mixes '+' or '/' with '-' or '_' fits no encoding and is cut at '/' (a path), and what
+then mixes '+' with them at these. For each, the narrowest encoding that fits is inferred (hex,
 base32, letters and digits, base64, its URL form), its characters become symbols, and three tests ask
 whether they look uniformly random: chi-squared over the alphabet, runs above and below its middle,
 and serial correlation of neighbours. Fisher's method combines them into one p-value.
@@ -33,6 +35,13 @@ KINDS: tuple[tuple[str, str, int, int], ...] = (
 #: Kind of the spans that the method adds; it sorts after the base kinds.
 RANDOM = "random"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20
+#: What a run is cut into, one after the other, and what is left whole at each step.
+PARTS: tuple[tuple[str, str], ...] = (
+    (r"[A-Za-z0-9+/_-]+=*", r"^[^=]*=*$"),
+    (r"[A-Za-z0-9+_-]+=*", r"^(?:[^+/]*|[^_-]*)$"),
+    (r"[A-Za-z0-9+]+=*", r"^(?:[^+/]*|[^_-]*)$"),
+)
 #: Fewer bits than this in a candidate leave the tests without power.
 MIN_BITS = 80
 
@@ -66,6 +75,22 @@ def located(text: Column, found: Column, pattern: str) -> Column:
     return F.when(F.size(found) == 0, none).otherwise(F.aggregate(pairs, none, step_safe))
 
 
+def parted(runs: Column) -> Column:
+    """Runs (start, end, match) cut into the parts that are tested by themselves."""
+
+    def cut(pattern: str, whole: str):
+        def one(r: Column) -> Column:
+            inner = located(r["match"], F.regexp_extract_all(r["match"], F.lit(pattern), F.lit(0)), pattern)
+            moved = F.transform(inner, lambda p: F.struct((r["start"] + p["start"]).alias("start"), (r["start"] + p["end"]).alias("end"), p["match"].alias("match")))
+            return F.when(r["match"].rlike(whole), F.array(r)).otherwise(moved)
+
+        return one
+
+    for pattern, whole in PARTS:
+        runs = F.flatten(F.transform(runs, cut(pattern, whole)))
+    return F.filter(runs, lambda r: F.length(r["match"]) >= LEAST)
+
+
 def normal_tail(z: Column) -> Column:
     """P(Z > z) for a standard normal, by the rational approximation 26.2.17 of Abramowitz and Stegun."""
     # Its coefficients.
@@ -158,9 +183,10 @@ def scan(docs: DataFrame) -> DataFrame:
     found = found.withColumn("__base", F.array_sort(F.concat(*spans)))
     # Positions need all runs, so the filtered ones are looked up among them.
     runs = F.when(F.size("__candidates") == 0, F.array().cast("array<struct<start:int,end:int,match:string>>")).otherwise(located(text, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), CANDIDATE))
-    free = F.filter(runs, lambda r: r["match"].rlike("[0-9]") & r["match"].rlike("[A-Za-z]") & ~F.exists("__base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    found = found.withColumn("__parts", parted(runs))
+    free = F.filter("__parts", lambda r: r["match"].rlike("[0-9]") & r["match"].rlike("[A-Za-z]") & ~F.exists("__base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
     found = found.withColumn("__free", free)
-    return found.withColumn("__tested", tested(F.col("__free"))).drop("__candidates", "__free", *(f"__{name}" for name, *_ in KINDS))
+    return found.withColumn("__tested", tested(F.col("__free"))).drop("__candidates", "__parts", "__free", *(f"__{name}" for name, *_ in KINDS))
 
 
 def thresholds(scanned: DataFrame, q: float = 0.1) -> dict[str, float]:

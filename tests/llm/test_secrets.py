@@ -101,3 +101,19 @@ def test_found_random_strings_agree_with_sql(spark, tmp_path):
     got = rows_of((df.columns, [tuple(r) for r in df.collect()]))
     assert got == rows_of((con.sql(sql).columns, con.execute(sql).fetchall()))
     assert any("random" in str(r) for r in got[0])
+
+
+def test_keys_behind_names_and_in_paths_are_found(spark):
+    rng = random.Random(11)
+    plain = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    frames = [("DEPLOY_KEY=", "", plain + "+/"), ("see a=b=", "==", plain + "+/"), ("url?sig=", "&x=1", plain + "-_"), ("my_files/", "/part-1", plain), ("my_files/", "/x", plain + "-_"), ("/a-b/a+b/", "/c_d", plain)]
+    keys = [(f, "".join(rng.choice(f[2]) for _ in range(48))) for f in frames for _ in range(60)]
+    found = {r["doc_id"]: r["spans"] for r in X.find(docs_of(spark, [f"é {a}{key}{b} end" for (a, b, _), key in keys])).collect()}
+    for k, f in enumerate(frames):
+        hits = 0
+        for i in range(60 * k, 60 * k + 60):
+            start, end = 2 + len(f[0]), 2 + len(f[0]) + 48 + (2 if f[1] == "==" else 0)
+            spans = [(s["start"], s["end"]) for s in found[i] if s["kind"] == 3]
+            assert spans in ([], [(start, end)])
+            hits += len(spans)
+        assert hits >= 42, f

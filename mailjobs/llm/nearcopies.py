@@ -78,7 +78,7 @@ def marked_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, schema)
 
 
-def frequent_shingles(docs: DataFrame, size: int, n_rows: int, sample_rows: int = 20_000, least: int = 4, limit: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(docs: DataFrame, size: int, n_rows: int, sample_rows: int = 2_000, least: int = 3, limit: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of several texts of a sample of about ``sample_rows``, ascending, and their rank by
     count."""
     step = max(1, n_rows // sample_rows)
@@ -132,40 +132,67 @@ def paired(bucket: np.ndarray, n: np.ndarray, sid: np.ndarray, pos: np.ndarray,
     return both[:, 0], both[:, 1]
 
 
-def candidates(rows: DataFrame, similarity: float, split: int = 1024) -> DataFrame:
-    """Distinct pairs (a, b) of set ids that a bucket of ``rows`` (prefixes) doesn't rule out."""
-    spark = rows.sparkSession
-    rows = checkpointed(rows.groupBy("h", "sid").agg(F.min("n").alias("n"), F.min("pos").alias("pos")))
-    counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    counts = checkpointed(counts.withColumn("parts", F.ceil(F.col("m") / split).cast("int")).drop("m"))
-    dealt = rows.join(counts, "h").withColumn("own", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("parts")).cast("int"))
-    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("own")))
-    dealt = dealt.withColumn("other", F.explode(others)).select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "n", "sid", "pos")
+def _bucket_partition(similarity: float, split: int):
+    """Reads rows (h, lo, hi, n, sid, pos) sorted in this order and yields the candidates (a, b) of every
+    bucket (h, lo, hi). With ``split``, buckets of more sets than that are handed back instead: their
+    rows come out with b null and h, n and pos filled in."""
+    names = ["a", "b", "h", "n", "pos"]
+
+    def pairs(part: list[np.ndarray], bucket: np.ndarray) -> pa.RecordBatch:
+        a, b = paired(bucket, *part[3:], similarity)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(len(a), t) for t in (pa.int64(), pa.int32(), pa.int32()))], names=names)
 
-    def pairs(part: list[np.ndarray]) -> pa.RecordBatch:
-        h, lo, hi, n, sid, pos = part
-        bucket = np.cumsum(np.append(False, (h[1:] != h[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
-        a, b = paired(bucket, n, sid, pos, similarity)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    def rows(part: list[np.ndarray]) -> pa.RecordBatch:
+        h, _, _, n, sid, pos = part
+        return pa.RecordBatch.from_arrays([pa.array(sid), pa.nulls(len(sid), pa.int64()), pa.array(h), pa.array(n), pa.array(pos)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] | None = None
+        kept: list[np.ndarray] = []
+        hot = None  # the shingle of an open bucket that is handed back
         for batch in batches:
             new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            kept = new if kept is None else [np.concatenate(x) for x in zip(kept, new, strict=True)]
-            h, lo, hi = kept[:3]
-            change = np.flatnonzero((h[1:] != h[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))
-            if len(change):  # the last bucket may go on
-                cut = int(change[-1]) + 1
-                yield pairs([x[:cut] for x in kept])
-                kept = [x[cut:] for x in kept]
-        if kept is not None and len(kept[0]):
-            yield pairs(kept)
+            kept = [np.concatenate(x) for x in zip(kept, new, strict=True)] if kept else new
+            if not len(kept[0]):
+                continue
+            change = np.any([x[1:] != x[:-1] for x in kept[:3]], axis=0)
+            again = ~change & (kept[4][1:] == kept[4][:-1])  # rows of one set: copies
+            kept = [x[np.append(True, ~again)] for x in kept]
+            bucket = np.cumsum(np.append(False, np.any([x[1:] != x[:-1] for x in kept[:3]], axis=0)))
+            sizes = np.bincount(bucket)
+            big = (sizes > split if split else np.zeros(len(sizes), bool)) | (np.arange(len(sizes)) == 0) & (hot is not None and kept[0][0] == hot)
+            back = big[bucket]
+            done = ~back & (bucket < bucket[-1])
+            if back.any():
+                yield rows([x[back] for x in kept])
+            if done.any():
+                yield pairs([x[done] for x in kept], bucket[done])
+            hot = kept[0][-1] if back[-1] else None
+            open_ = ~back & ~done
+            kept = [x[open_] for x in kept]
+        if kept and len(kept[0]):
+            yield pairs(kept, np.zeros(len(kept[0]), np.int64))
+
+    return run
 
+
+def candidates(rows: DataFrame, similarity: float, split: int = 1024) -> DataFrame:
+    """Distinct pairs (a, b) of set ids that a bucket of ``rows`` (prefixes) doesn't rule out."""
+    spark = rows.sparkSession
+    out = "a long, b long, h long, n int, pos int"
+    cols = ["h", "lo", "hi", "n", "sid"]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")  # rows of a few bytes
-    found = checkpointed(dealt.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi", "n", "sid").mapInArrow(run, "a long, b long").distinct())
+    one = F.lit(0)
+    found = checkpointed(rows.repartition("h").select("h", one.alias("lo"), one.alias("hi"), "n", "sid", "pos").sortWithinPartitions(*cols).mapInArrow(_bucket_partition(similarity, split), out))
+    # Buckets over the limit: their rows are dealt into parts, and each pair of parts is one task.
+    back = found.where("b is null").select("h", "n", F.col("a").alias("sid"), "pos").distinct()
+    hot = back.groupBy("h").agg(F.ceil((F.count(F.lit(1)) + 1) / split).cast("int").alias("parts"))
+    dealt = back.join(hot, "h").withColumn("own", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("parts")).cast("int"))
+    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("own")))
+    dealt = dealt.withColumn("other", F.explode(others)).select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "n", "sid", "pos")
+    more = dealt.repartition("h", "lo", "hi").sortWithinPartitions(*cols).mapInArrow(_bucket_partition(similarity, 0), out)
+    both = checkpointed(found.where("b is not null").select("a", "b").unionByName(more.select("a", "b")).distinct())
     short_batches(spark)
-    return found
+    return both
 
 
 def sets_of(docs: DataFrame, sids: DataFrame, marked: DataFrame, size: int) -> DataFrame:

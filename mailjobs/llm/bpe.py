@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import short_batches
+from .common import short
 
 #: Distinct pre-tokens that one worker keeps encoded; beyond it the store starts anew.
 CACHE = 200_000
@@ -134,13 +134,12 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, digests: bo
     ``digests`` the SHA-256 of both instead, so that large results needn't leave the worker.
     ``vocabulary`` is the path of the rank file, the same on every machine.
     """
-    short_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *_outputs(digests)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(vocabulary, pattern, cache)
         kind = pa.string() if digests else pa.binary()
-        for batch in batches:
+        for batch in short(batches):
             n, ids_out, text_out = [], [], []
             for text in batch.column(1):
                 ids = codec.encode(text.as_py())

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word of the contracts: a run of characters other than blank and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of one Arrow batch handed to Python; texts may be very long, so batches are short.
+#: Rows that a Python stage works on at once. Spark bounds the bytes of an Arrow batch besides.
 BATCH_ROWS = 1000
 
 
@@ -18,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds what one Python worker holds at once (read when a plan with a Python stage starts)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def short(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of no more than ``rows``, without a copy."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
 
 def url_host(url: Column) -> Column:
@@ -37,14 +41,15 @@ def url_path(url: Column) -> Column:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the cluster's shared folder.
-
-    The folder is the one of ``spark.checkpoint.dir``; only where none is set (tests, a laptop) a
-    temporary one is made.
-    """
+    """Cuts the lineage with a reliable checkpoint in the cluster's shared folder, the one of
+    ``spark.checkpoint.dir``. Only a local session without that setting gets a temporary folder; a
+    cluster has to name one, since a machine-local folder goes with its executor."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mailjobs-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="mailjobs-"))
     return df.checkpoint()
 
 

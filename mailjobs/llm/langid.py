@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import short_batches
+from .common import short
 
 MARK = "▁"
 #: Words that a worker keeps scored; beyond it the store starts anew.
@@ -131,17 +131,17 @@ class Segmenter:
         once; then the forward algorithm takes one step for each place in a word and piece length.
         """
         out = np.zeros((len(words), self.size))
-        short = [k for k, w in enumerate(words) if len(w) <= LONG]
+        few = [k for k, w in enumerate(words) if len(w) <= LONG]
         for k, word in enumerate(words):
             if len(word) > LONG:
                 out[k] = self.long(word)
-        if not short:
+        if not few:
             return out
-        codes = np.frombuffer("".join(words[k] for k in short).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-        sizes = np.array([len(words[k]) for k in short], dtype=np.int64)
+        codes = np.frombuffer("".join(words[k] for k in few).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        sizes = np.array([len(words[k]) for k in few], dtype=np.int64)
         # alpha has one row more than letters for each word: row begin + j is the sum over its first j
         begin = np.cumsum(sizes + 1) - sizes - 1
-        row = np.arange(len(codes)) + np.repeat(np.arange(len(short)), sizes)  # of the place before a letter
+        row = np.arange(len(codes)) + np.repeat(np.arange(len(few)), sizes)  # of the place before a letter
         place = row - np.repeat(begin, sizes)
         left = np.repeat(sizes, sizes) - place
         weights = self.weights
@@ -164,14 +164,14 @@ class Segmenter:
             order = np.argsort(ends, kind="stable")
             hit = hit[order]
             arcs.append((row[at[hit]], piece[hit], np.searchsorted(ends[order], np.arange(LONG + 2))))
-        alpha = np.zeros((len(codes) + len(short), self.size))
+        alpha = np.zeros((len(codes) + len(few), self.size))
         alpha[begin] = 1.0
         for end in range(1, int(sizes.max()) + 1):
             for k, (source, piece, cuts) in enumerate(arcs, 1):
                 a, b = cuts[end], cuts[end + 1]
                 if a < b:  # one arc of a length ends at a place, so rows are distinct
                     alpha[source[a:b] + k] += alpha[source[a:b]] * weights[piece[a:b]]
-        out[short] = np.log(np.maximum(alpha[begin + sizes], 1e-300))
+        out[few] = np.log(np.maximum(alpha[begin + sizes], 1e-300))
         return out
 
     def expected(self, word: str, language: int, count: float, into: dict[int, float]) -> None:
@@ -241,7 +241,7 @@ def train(docs: DataFrame, vocabulary: str, max_docs: int = 400, rounds: int = 4
             def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
                 segmenter = Segmenter(pieces, sent.value)
                 total: dict[str, dict[int, float]] = {}
-                for batch in batches:
+                for batch in short(batches):
                     for lang, word, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                         segmenter.expected(MARK + word, languages.index(lang), n, total.setdefault(lang, {}))
                 flat = [(lang, k, v) for lang, found in total.items() for k, v in found.items()]
@@ -265,7 +265,6 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], vocabulary: str, cac
     One narrow stage: words of a batch are counted by document, each distinct word is scored once, and
     a document's log-probabilities are the sums over its words.
     """
-    short_batches(docs.sparkSession)
     languages = sorted(model)
     weights = np.stack([model[k] for k in languages], axis=1) if languages else np.zeros((1, 1))
     sent = docs.sparkSession.sparkContext.broadcast(weights)
@@ -275,7 +274,7 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], vocabulary: str, cac
         segmenter = Segmenter(read_pieces(vocabulary), sent.value) if languages else None
         known: dict[str, int] = {}  # word -> row of table
         table = np.zeros((0, len(languages)))
-        for batch in batches:
+        for batch in short(batches):
             counted = [Counter(words_of(t.as_py())) if languages else {} for t in batch.column(1)]
             if new := list(dict.fromkeys(w for c in counted for w in c if w not in known)):
                 if len(known) + len(new) > cache:

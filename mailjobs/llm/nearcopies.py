@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, short_batches
+from .common import checkpointed, short
 from .simhash import _lower, _words, connected_components, kept_rows
 
 #: Against rounding in products of the similarity with sizes; errs on the side of more candidates.
@@ -71,7 +71,7 @@ def marked_sets(docs: DataFrame, size: int) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("key", T.LongType()), T.StructField("sid", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             ids = pa.array([set_id(shingles(t.as_py(), size)) for t in batch.column(2)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=["doc_id", "key", "sid"])
 
@@ -85,7 +85,7 @@ def frequent_shingles(docs: DataFrame, size: int, n_rows: int, sample_rows: int
     part = docs.select("text").where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(step)) == 0).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             yield pa.RecordBatch.from_arrays([pa.array(_flat([shingles(t.as_py(), size) for t in batch.column(0)])[1])], names=["h"])
 
     top = part.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(limit).collect()
@@ -98,7 +98,7 @@ def prefixes(docs: DataFrame, size: int, similarity: float, frequent: tuple[np.n
     """h, n (size of the set), sid and pos for every shingle of every set's prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             sets = [shingles(t.as_py(), size) for t in batch.column(0)]
             sets = [x for x in sets if len(x)]
             first = [prefix(x, similarity, *frequent) for x in sets]
@@ -180,7 +180,6 @@ def candidates(rows: DataFrame, similarity: float, split: int = 1024) -> DataFra
     spark = rows.sparkSession
     out = "a long, b long, h long, n int, pos int"
     cols = ["h", "lo", "hi", "n", "sid"]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")  # rows of a few bytes
     one = F.lit(0)
     found = checkpointed(rows.repartition("h").select("h", one.alias("lo"), one.alias("hi"), "n", "sid", "pos").sortWithinPartitions(*cols).mapInArrow(_bucket_partition(similarity, split), out))
     # Buckets over the limit: their rows are dealt into parts, and each pair of parts is one task.
@@ -191,7 +190,6 @@ def candidates(rows: DataFrame, similarity: float, split: int = 1024) -> DataFra
     dealt = dealt.withColumn("other", F.explode(others)).select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "n", "sid", "pos")
     more = dealt.repartition("h", "lo", "hi").sortWithinPartitions(*cols).mapInArrow(_bucket_partition(similarity, 0), out)
     both = checkpointed(found.where("b is not null").select("a", "b").unionByName(more.select("a", "b")).distinct())
-    short_batches(spark)
     return both
 
 
@@ -201,7 +199,7 @@ def sets_of(docs: DataFrame, sids: DataFrame, marked: DataFrame, size: int) -> D
     texts = docs.select(F.xxhash64("text").alias("key"), "text").join(keys, "key").select("sid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), size).tobytes() for t in batch.column(1)], pa.binary())], names=["sid", "words"])
 
     return texts.dropDuplicates(["sid"]).mapInArrow(run, "sid long, words binary")
@@ -213,7 +211,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     right = sets.select(F.col("sid").alias("b"), F.col("words").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             good = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(v.as_py(), dtype=np.int64) for v in (x, y))
@@ -242,7 +240,6 @@ def links(docs: DataFrame, marked: DataFrame, size: int = 5, similarity: float =
 
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, split: int = 1024) -> DataFrame:
     """doc_id, key and component_id: the smallest doc_id of all documents reachable over links."""
-    short_batches(docs.sparkSession)
     marked = checkpointed(marked_sets(docs, size))
     parts = connected_components(links(docs, marked, size, similarity, split))
     named = marked.join(parts.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, short_batches
+from .common import checkpointed, short
 
 SCHEMA = "query_id long, rank int, vec_id long, score double"
 
@@ -110,7 +110,7 @@ def index(distinct: DataFrame, books: np.ndarray, beam: int = 8) -> DataFrame:
     sent = distinct.sparkSession.sparkContext.broadcast(books)  # books x 256 x dim floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             for part in (batch.slice(k, 2048) for k in range(0, batch.num_rows, 2048)):
                 code, norm = encode(_matrix(part.column(1)), sent.value, beam)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm.astype(np.float64))], names=["id", "code", "norm"])
@@ -140,7 +140,7 @@ def scan(codes: DataFrame, queries: DataFrame, books: np.ndarray, candidates: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
-        for batch in batches:
+        for batch in short(batches):
             for r in range(batch.num_rows):
                 entries, asked = batch.column(0)[r].values, batch.column(1)[r].values
                 ids = entries.field("id").to_numpy()
@@ -185,13 +185,10 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, books: int = 16, ca
     table = train(np.stack(chosen.to_numpy()), books)
     queries = checkpointed(marked.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id", "v"]))
     n_queries = queries.count()
-    short_batches(spark)
     codes = checkpointed(index(distinct, table, beam))
-    short_batches(spark, 4)  # in the next job a row is a pair of blocks
     found = scan(codes, queries, table, min(candidates, n), n, n_queries)
     by_approx = Window.partitionBy("query_id").orderBy(F.desc("approx"), "id")
     best = checkpointed(found.withColumn("r", F.row_number().over(by_approx)).where(F.col("r") <= candidates).select("query_id", "id"))
-    short_batches(spark)
     exact = best.join(distinct.select("id", F.col("v").alias("w"), *keys), "id").join(queries, "query_id").select("query_id", *keys, "id", dot(F.col("v"), F.col("w")).alias("score"))
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     near = exact.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + 1).drop("r", "id")

@@ -1,13 +1,20 @@
 """Main text of web pages by removal of site templates.
 
-Every element's subtree is hashed bottom up (tag, class and id, text, hashes of its children). Spark
-counts for each host on how many of its pages a hash occurs; subtrees that recur on many pages of
-their host are templates and are deleted. Lists of links and other frames whose words change from page
-to page are hashed by their shape as well, without words. Elements that announce themselves as
-something else than the article (menus, headers, footers, sidebars, forms, scripts, adverts, notices,
-comments, by tag or by class, id or role) are deleted on any page, so a host with a single page loses
-its frame too. Paragraphs, headings and the like inside an article or main element are its text and
-are never deleted for recurring.
+Every element's subtree is hashed bottom up in two ways: with its words (tag, class and id, text, hashes
+of its children) and by its shape (the same without words and inline elements, like siblings counted
+once). Spark counts for each host on how many of its different pages a hash occurs; subtrees that recur
+on many of them are templates and are deleted.
+
+Words: whatever recurs, but not the page's frame, nor paragraphs, headings and the like inside an
+article or main element. Shape: elements that divide a page (menus, headers, footers, boxes), whose words
+may change from page to page. Outside an article or main element every such shape may be a template; on
+a page that has neither, only one that holds at most ``max_share`` of its pages' text, so that the box
+around the story stays.
+
+Markup decides only what recurrence can't: what is no text at all (scripts, styles, controls), forms,
+dialogs, reader comments and consent notices, which need not recur; menus, sidebars, footers and adverts
+inside an article, where shapes don't tell them from its parts; and frames (by tag, class, id or role) on
+pages whose host has fewer than ``min_pages`` different pages.
 
 What is left is read block by block: character references decoded, white space in a block turned into
 one blank, blocks joined by one blank in page order.
@@ -30,34 +37,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, short_batches, url_host
+from .common import checkpointed, short, url_host
 
 # HTML element names by the part they play, and words of class, id and role attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("head script style noscript template iframe object svg canvas nav header footer aside form button select textarea dialog menu".split())
+SILENT = frozenset("head script style noscript template iframe object svg canvas button select textarea".split())
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title html head".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
-TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tr td th figure figcaption b i em strong span a code br".split())
+INLINE = frozenset("b i em strong span a code br u s small sub sup mark font img wbr abbr cite time".split())
+TEXT = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tr td th figure figcaption".split())
 CLOSES_P = BLOCK - frozenset("br body html title caption td th tr tbody thead tfoot".split())
-NAMES = frozenset(
-    "ad ads advert advertisement advertising adsbygoogle banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promoted promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar widget".split()
+PAGE = frozenset("html-root html body article main".split())
+#: (tags, first words of classes and ids, roles) that go on any page; inside an article; and outside it where recurrence can't decide.
+ANYWHERE = (frozenset("form dialog".split()), frozenset("comment comments disqus respond cookie cookies consent gdpr".split()), frozenset("search form dialog alertdialog".split()))
+IN_ARTICLE = (frozenset("nav aside footer menu".split()), frozenset("ad ads advert advertisement advertising adsbygoogle sponsored sidebar newsletter".split()), frozenset("navigation complementary".split()))
+FRAMES = (
+    frozenset("nav header footer aside menu".split()),
+    frozenset("ad ads advert advertisement advertising adsbygoogle banner breadcrumb breadcrumbs footer header masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promoted promotion related share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar widget".split()),
+    frozenset("navigation banner contentinfo complementary alert menu menubar toolbar".split()),
 )
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
 _words = re.compile(r"[a-z0-9]+").findall
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "hidden", "parts", "exact", "shape", "chars", "linked")
+    __slots__ = ("tag", "names", "first", "role", "hidden", "parts", "exact", "shape", "chars")
 
     def __init__(self, tag: str, attrs: list[tuple[str, str | None]] = ()):
         known = dict(attrs)
         self.tag = tag
-        self.names = " ".join(sorted({*_words((known.get("class") or "").lower()), *_words((known.get("id") or "").lower())}))
+        tokens = [w for k in ("class", "id") for t in (known.get(k) or "").lower().split() if (w := _words(t))]
+        self.names = " ".join(sorted({x for w in tokens for x in w}))
+        self.first = {w[0] for w in tokens}
         self.role = (known.get("role") or "").lower()
         self.hidden = "hidden" in known
         self.parts: list[Node | str] = []
-        self.exact = self.shape = self.chars = self.linked = 0
+        self.exact = self.shape = self.chars = 0
 
 
 class Tree(HTMLParser):
@@ -115,11 +130,18 @@ def parse(html: str | None) -> Node:
     return tree.root
 
 
-def announced(node: Node) -> bool:
-    """Says by its tag, class, id or role that it isn't the article."""
-    if node.tag in NEVER or node.hidden or node.role in ROLES:
+def announced(node: Node, inside: bool, decided: bool) -> bool:
+    """Says by its tag, class, id or role that it isn't the article's text. ``decided``: recurrence has
+    spoken on the frames of the page's host."""
+    if node.tag in SILENT or node.hidden:
         return True
-    return node.tag not in ("html", "body", "article", "main", "html-root") and not NAMES.isdisjoint(node.names.split())
+    if node.tag in PAGE:
+        return False
+    lists = (ANYWHERE, IN_ARTICLE) if inside else (ANYWHERE,) if decided else (ANYWHERE, FRAMES)
+    for tags, names, roles in lists:
+        if node.tag in tags or node.role in roles or not (inside and node.tag in TEXT) and not names.isdisjoint(node.first):
+            return True
+    return False
 
 
 def walk(root: Node) -> Iterator[tuple[Node, bool]]:
@@ -138,36 +160,45 @@ def digest(root: Node) -> list[tuple[Node, bool]]:
 
     order = list(walk(root))
     for node, _ in reversed(order):
-        exact, shape = [node.tag, node.names], [node.tag, node.names]
+        exact, shape = [node.tag, node.names], set()
         for x in node.parts:
             if isinstance(x, Node):
+                if x.tag in SILENT:
+                    continue
                 exact.append(f"<{x.exact}>")
-                shape.append(f"<{x.shape}>")
+                if x.tag not in INLINE:
+                    shape.add(x.shape)
                 node.chars += x.chars
-                node.linked += x.chars if x.tag == "a" else x.linked
             elif text := " ".join(x.split()):
                 exact.append(text)
                 node.chars += len(text)
         node.exact = xxh64_intdigest("\n".join(exact).encode("utf-8", "replace"))
-        node.shape = xxh64_intdigest("\n".join(["shape", *dict.fromkeys(shape)]).encode("utf-8", "replace"))
+        node.shape = xxh64_intdigest("\n".join(["shape", node.tag, node.names, *map(str, sorted(shape))]).encode("utf-8", "replace"))
     return order
 
 
 def keys(node: Node, inside: bool) -> list[int]:
-    """The hashes by which a subtree may be a template: none for the page's frame and for text
-    elements of an article, its content always, its shape if nearly all of its text is links."""
-    if node.tag in ("html-root", "html", "head", "body", "article", "main") or not node.chars:
+    """The hashes by which a subtree may be a template: none for the page's frame and for text elements
+    of an article; its words; its shape if it divides a page outside of articles."""
+    if node.tag in PAGE or node.tag in SILENT or not node.chars or inside and node.tag in TEXT:
         return []
-    if inside and node.tag in TEXT:
-        return []
-    return [node.exact, node.shape] if node.linked >= 0.8 * node.chars and not inside else [node.exact]
+    return [node.exact] if inside or node.tag in TEXT else [node.exact, node.shape]
 
 
-def page_hashes(html: str | None) -> list[int]:
-    return list({k for node, inside in digest(parse(html)) for k in keys(node, inside)})
+def page_hashes(html: str | None) -> dict[int, float]:
+    """Each hash of a page with the share of the page's text that only a shape without a landmark to tell
+    it from the story is held to; 0 for others."""
+    order = digest(parse(html))
+    landmark = any(n.tag in ("article", "main") and n.chars for n, _ in order)
+    out: dict[int, float] = {}
+    for node, inside in order:
+        for k in keys(node, inside):
+            share = 0.0 if landmark or k == node.exact else node.chars / order[0][0].chars
+            out[k] = out.get(k, 0.0) + share
+    return out
 
 
-def extract(html: str | None, templates: frozenset[int] = frozenset()) -> str:
+def extract(html: str | None, templates: frozenset[int] = frozenset(), decided: bool = False) -> str:
     """The page's text without templates and announced frames."""
     root = parse(html)
     if templates:
@@ -179,7 +210,7 @@ def extract(html: str | None, templates: frozenset[int] = frozenset()) -> str:
         if isinstance(x, str):
             out.append(x)
             continue
-        if announced(x) or templates and not templates.isdisjoint(keys(x, inside)):
+        if announced(x, inside, decided) or templates and not templates.isdisjoint(keys(x, inside)):
             if x.tag in BLOCK:
                 out.append(" ")
             continue
@@ -189,40 +220,46 @@ def extract(html: str | None, templates: frozenset[int] = frozenset()) -> str:
     return " ".join("".join(out).split())
 
 
-def templates(pages: DataFrame, min_pages: int = 10, min_share: float = 0.5) -> DataFrame:
-    """host, hashes: the subtrees found on at least ``min_pages`` different pages and ``min_share`` of
-    the host's different pages. A host has at most 1 / min_share times as many of them as a page has elements."""
-    short_batches(pages.sparkSession)
+def templates(pages: DataFrame, min_share: float = 0.2, max_share: float = 0.3) -> DataFrame:
+    """host, n_pages, hashes: for hosts of several different pages, the subtrees found on at least
+    ``min_share`` of these and on two. They are at most 1 / min_share times as many as a page has."""
     rows = pages.select(url_host(F.col("url")).alias("host"), "html", F.xxhash64("html").alias("page")).where("host <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [page_hashes(h.as_py()) for h in batch.column(1)]
+        for batch in short(batches):
+            found = [{0: 0.0, **page_hashes(h.as_py())} for h in batch.column(1)]  # 0 counts the page itself
             row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
             flat = np.array([k for x in found for k in x], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(flat), batch.column(2).take(row)], names=["host", "hash", "page"])
+            share = pa.array([v for x in found for v in x.values()], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(flat), batch.column(2).take(row), share], names=["host", "hash", "page", "share"])
 
-    counted = rows.mapInArrow(run, "host string, hash long, page long").groupBy("host", "hash").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= min_pages)
-    of_host = rows.groupBy("host").agg(F.count_distinct("page").alias("n_pages")).where(F.col("n_pages") >= min_pages)
-    return counted.join(of_host, "host").where(F.col("n") >= min_share * F.col("n_pages")).groupBy("host").agg(F.collect_set("hash").alias("hashes"))
+    once = rows.mapInArrow(run, "host string, hash long, page long, share double").groupBy("host", "hash", "page").agg(F.max("share").alias("share"))
+    counted = checkpointed(once.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"), F.avg("share").alias("share")).where("n > 1"))
+    of_host = counted.where("hash = 0").select("host", F.col("n").alias("n_pages"))
+    is_template = (F.col("hash") != 0) & (F.col("n") >= min_share * F.col("n_pages")) & (F.col("share") <= max_share)
+    return counted.join(of_host, "host").where(is_template | (F.col("hash") == 0)).groupBy("host", "n_pages").agg(F.collect_set(F.when(F.col("hash") != 0, F.col("hash"))).alias("hashes"))
 
 
-def main_text(pages: DataFrame, min_pages: int = 10, min_share: float = 0.5, broadcast_rows: int = 100_000) -> DataFrame:
+def main_text(pages: DataFrame, min_share: float = 0.2, max_share: float = 0.3, min_pages: int = 3, broadcast_rows: int = 100_000) -> DataFrame:
     """page_id, url, text and n_chars for every row of ``pages``."""
-    known = checkpointed(templates(pages, min_pages, min_share))
-    side = known.withColumnRenamed("host", "of_host")
+    known = checkpointed(templates(pages, min_share, max_share))
+    side = known.select(F.col("host").alias("of_host"), "hashes", (F.col("n_pages") >= min_pages).alias("decided"))
     if known.count() <= broadcast_rows:  # else Spark joins by host and deals skewed hosts out
         side = F.broadcast(side)
     rows = pages.select("page_id", "url", "html", url_host(F.col("url")).alias("host"))
-    rows = rows.join(side, F.col("host") == F.col("of_host"), "left").select("page_id", "url", "html", "hashes")
+    rows = rows.join(side, F.col("host") == F.col("of_host"), "left").select("page_id", "url", "html", "host", "hashes", F.coalesce("decided", F.lit(False)).alias("decided"))
     schema = T.StructType([*(T.StructField(c, pages.schema[c].dataType) for c in ("page_id", "url")), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        of: dict[str, frozenset[int]] = {}
+        for batch in short(batches):
             texts = []
-            for html, hashes in zip(batch.column(2), batch.column(3), strict=True):
-                found = hashes.as_py()
-                texts.append(extract(html.as_py(), frozenset(h & 0xFFFFFFFFFFFFFFFF for h in found) if found else frozenset()))
+            for k, (html, host, decided) in enumerate(zip(batch.column(2), batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                if host not in of:
+                    if len(of) >= 1000:
+                        of.clear()
+                    of[host] = frozenset(h & 0xFFFFFFFFFFFFFFFF for h in batch.column(4)[k].as_py() or ())
+                texts.append(extract(html.as_py(), of[host], decided))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[f.name for f in schema])
 
     return rows.mapInArrow(run, schema)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, short_batches
+from .common import WORD, short
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_exclaim")
 
@@ -91,11 +91,10 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 def measurements(docs: DataFrame) -> DataFrame:
     """doc_id and MEASURES for every row; one narrow stage."""
-    short_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(m, T.LongType()) for m in MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             rows = np.array([measure(t.as_py()) for t in batch.column(1)], dtype=np.int64).reshape(-1, len(MEASURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[:, k]) for k in range(len(MEASURES)))], names=[f.name for f in schema])
 
@@ -148,13 +147,12 @@ def ablations(rows: DataFrame, policies: dict[str, tuple[str, ...]] = POLICIES,
 def annotate(docs: DataFrame, text: str = "text", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """All columns of ``docs`` and ``fail_bits`` (in place of one of that name), without a join: the
     measurements travel with the row."""
-    short_batches(docs.sparkSession)
     docs = docs.drop("fail_bits")
     place = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(f"__{m}", T.LongType()) for m in MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             rows = np.array([measure(t.as_py()) for t in batch.column(place)], dtype=np.int64).reshape(-1, len(MEASURES))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(rows[:, k]) for k in range(len(MEASURES)))], names=[f.name for f in schema])
 

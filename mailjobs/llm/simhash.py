@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, short_batches
+from .common import checkpointed, short
 
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Row i: the bits of byte value i, lowest first.
@@ -57,11 +57,10 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, key (a hash of the text) and ``fp`` (the fingerprint as a signed long) of every row; one
     narrow stage."""
-    short_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("key", T.LongType()), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             found = np.array([fingerprint(t.as_py(), size, seed) for t in batch.column(2)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "key", "fp"])
 
@@ -205,11 +204,9 @@ def links(distinct: DataFrame, radius: int = 3, split: int = 1024, blocks: int |
         .select("t", "m", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
     )
     spark = distinct.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")  # rows of a few bytes
     cols = ["t", "m", "lo", "hi"]
     edges = dealt.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(_link_partition(radius), "a long, b long")
     out = checkpointed(edges.distinct())
-    short_batches(spark)
     return out
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, short_batches
+from .common import checkpointed, short
 
 _words = re.compile(r"[^ \t\n\r\f\v]+").findall
 #: Between a full stop, question or exclamation mark and the white space that follows it.
@@ -65,11 +65,10 @@ def text_key(text: Column) -> Column:
 
 def unit_table(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """doc_id, key, d1, d2 (the digest), start and end of every unit; one narrow stage."""
-    short_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("key", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             found = [units(t.as_py() or "", min_words) for t in batch.column(2)]
             row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
             digests = np.frombuffer(b"".join(u[2] for x in found for u in x), dtype=np.int64).reshape(-1, 2)

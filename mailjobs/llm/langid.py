@@ -175,23 +175,29 @@ class Segmenter:
         return out
 
     def expected(self, word: str, language: int, count: float, into: dict[int, float]) -> None:
-        """Adds the expected number of times that each piece is used in ``word``."""
+        """Adds the expected number of times that each piece is used in ``word``: a forward and a backward
+        pass over log-sums, so that words of any length count."""
         n = len(word)
-        arcs = [(i, j, ids, math.prod(float(self.weights[k, language]) for k in ids)) for i, j, ids in self.arcs(word)]
-        alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
-        alpha[0] = beta[n] = 1.0
+        arcs = [(i, j, ids, sum(math.log(max(float(self.weights[k, language]), 1e-300)) for k in ids)) for i, j, ids in self.arcs(word)]
+        alpha, beta = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
+        alpha[0] = beta[n] = 0.0
         for i, j, _, w in arcs:  # by start, so alpha[i] is complete
-            alpha[j] += alpha[i] * w
-        if alpha[n] <= 0:
-            return
+            alpha[j] = _log_sum(alpha[j], alpha[i] + w)
         for i, j, _, w in reversed(arcs):
-            beta[i] += w * beta[j]
+            beta[i] = _log_sum(beta[i], w + beta[j])
         for i, j, ids, w in arcs:
-            share = count * alpha[i] * w * beta[j] / alpha[n]
+            share = count * math.exp(min(alpha[i] + w + beta[j] - alpha[n], 0.0))
             for k in ids:
                 into[k] = into.get(k, 0.0) + share
 
 
+def _log_sum(a: float, b: float) -> float:
+    """log(exp(a) + exp(b))"""
+    if a < b:
+        a, b = b, a
+    return a + math.log1p(math.exp(b - a)) if b > -math.inf else a
+
+
 _runs = re.compile(r"[^\W\d_]+").findall
 
 
@@ -204,11 +210,6 @@ def words_of(text: str | None) -> list[str]:
     return [w for x in words for w in "".join(c if c.isalpha() else " " for c in x).split()]
 
 
-def letters(text: Column) -> Column:
-    """The words of a text, in Spark."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"))
-
-
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """True for the fold that is never learned from; a null id is in no fold."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
@@ -218,7 +219,8 @@ def train(docs: DataFrame, vocabulary: str, max_docs: int = 400, rounds: int = 4
     """Piece probabilities by language, from the rows of ``docs`` (text, lang).
 
     ``max_docs`` bounds the sample: about so many documents of each language are learned from, chosen
-    by a hash of the text, so that neither order nor partitions matter. Texts are used whole.
+    by a hash of the text, so that neither order nor partitions matter. Texts are used whole, and a text
+    that several rows of a language repeat is learned from once.
     """
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -226,8 +228,15 @@ def train(docs: DataFrame, vocabulary: str, max_docs: int = 400, rounds: int = 4
         return {}
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, max_docs / n))) for k, n in counts.items()))
     chosen = docs.where(F.pmod(F.xxhash64(F.lit("langid"), "text"), F.lit(1 << 30)) < share * (1 << 30))
-    words = chosen.select("lang", F.explode(letters(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    words = words.where(F.length("word") <= LONG).persist()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in short(batches):
+            found: dict[str, Counter] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found.setdefault(lang, Counter()).update(words_of(text.as_py()))
+            flat = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in flat], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
+
+    words = chosen.distinct().mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
     languages = sorted(counts)
     pieces = read_pieces(vocabulary)
     size = max(pieces.values()) + 1

@@ -84,7 +84,7 @@ def _host(url: str) -> str:
     return f"(case when instr({url}, '://') > 0 then translate(regexp_extract(substr({url}, instr({url}, '://') + 3), '^[^/?#]*'), {_AZ}) else '' end)"
 
 
-#: Rules by join; ranks as the sum over walks of up to 24 links from the seeds.
+#: Rules by join; ranks as the sum over walks from the seeds, so many links that what is left is under 1e-6.
 _URLS = rf"""
 with recursive u as (
   select row_number() over () as k, page_id, coalesce(url, '') as url, html from pages
@@ -106,7 +106,7 @@ with recursive u as (
   select 't' as kind, src as host, dst as nxt, n / sum(n) over (partition by src) as w from e union all select 'd', dst, src, n / sum(n) over (partition by dst) from e
 ), walk(i, kind, host, r) as (
   select 0, kind, host, r from (select 't' as kind, host, 0.15 * t / sum(t) over () as r from seeds where t > 0 union all select 'd', host, 0.15 * d / sum(d) over () from seeds where d > 0)
-  union all select i + 1, kind, nxt, sum(0.85 * w * r) from walk join steps using (kind, host) where i < 24 group by i, kind, nxt
+  union all select i + 1, kind, nxt, sum(0.85 * w * r) from walk join steps using (kind, host) where i < 86 group by i, kind, nxt
 ), ranks as (
   select host, coalesce(sum(r) filter (kind = 't'), 0) as t, coalesce(sum(r) filter (kind = 'd'), 0) as d from walk group by host
 )

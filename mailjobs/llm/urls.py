@@ -17,6 +17,8 @@ distrusted and the method allows; repeated rows give repeated rows; other column
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,9 +70,10 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", url_host(to).alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 24, every: int = 6, tolerance: float = 1e-6) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, every: int = 6, tolerance: float = 1e-6) -> DataFrame:
     """host, trust, distrust. ``edges`` are (src, dst, n), ``seeds`` (host, trust, distrust) with
-    weights. Both kinds of rank move in one join and one aggregation a round."""
+    weights. Both kinds of rank move in one join and one aggregation a round, until less than
+    ``tolerance`` of the rank is on its way: k rounds leave damping ** k of it at most."""
     edges = checkpointed(edges)
     total = seeds.agg(F.sum("trust"), F.sum("distrust")).first()
     kinds = [("trust", total[0] or 0.0), ("distrust", total[1] or 0.0)]
@@ -85,13 +88,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
         steps = checkpointed(forth.unionByName(back))
         base = rank
         before = 0.0
-        for k in range(1, rounds + 1):
+        for k in range(1, math.ceil(math.log(tolerance) / math.log(damping)) + 1):
             moved = steps.join(rank, ["kind", "host"]).select("kind", F.col("next").alias("host"), (F.lit(damping) * F.col("w") * F.col("r")).alias("r"))
             rank = moved.unionByName(base).groupBy("kind", "host").agg(F.sum("r").alias("r"))
             if k % every == 0:
                 rank = checkpointed(rank)
                 now = rank.agg(F.sum("r")).first()[0] or 0.0
-                if abs(now - before) <= tolerance:
+                if now - before <= tolerance:
                     break
                 before = now
     part = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("r"))), F.lit(0.0)).alias(kind)

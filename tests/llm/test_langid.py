@@ -47,6 +47,90 @@ def test_expected_counts_of_a_word_sum_to_its_letters(segmenter):
     assert math.isclose(sum(v * len(back[k]) for k, v in into.items()), 2.0 * 6)
 
 
+def test_expected_counts_equal_enumeration(segmenter):
+    """Over all segmentations of a short word, each weighed by its probability."""
+    word, want, total = L.MARK + "the", {}, 0.0
+    arcs = segmenter.arcs(word)
+
+    def walk(i, ids, p):
+        nonlocal total
+        if i == len(word):
+            total += p
+            for k in ids:
+                want[k] = want.get(k, 0.0) + p
+            return
+        for a, j, more in arcs:
+            if a == i:
+                walk(j, ids + more, p * math.prod(segmenter.weights[k, 1] for k in more))
+
+    walk(0, (), 1.0)
+    got = {}
+    segmenter.expected(word, 1, 3.0, got)
+    assert got == pytest.approx({k: 3.0 * v / total for k, v in want.items()})
+
+
+def test_long_words_are_learned_from(spark):
+    long = "zq" * 500
+    docs = spark.createDataFrame([("a", long)] * 3 + [("b", "the of and")], "lang string, text string")
+    path = vocabulary(PIECES_FILE)
+    model = L.train(docs, path, rounds=1)
+    pieces = L.read_pieces(path)
+    assert model["a"][pieces["z"]] > 100 * model["b"][pieces["z"]]
+    assert L.identify(spark.createDataFrame([(1, long + " " + long)], "doc_id long, text string"), model, path).first()["lang_pred"] == "a"
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    """The registered query on a small table, against plain expectation-maximisation and plain sums."""
+    from mailjobs.llm import queries
+
+    rows = [(k, t, lang, "s", len(t)) for k, (t, lang) in enumerate([("the thing of the day", "en"), ("and the other thing", "en"), ("der Tag und die Nacht", "de"), ("die Stadt und der Wald", "de"), ("the nights", "en"), ("der Wald", "de"), ("Ärger größer", "de"), ("123", None), ("thing und the", None), ("othering ΩΩ", "en")])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op1_language_id(spark, str(tmp_path)).collect()}
+
+    import zlib
+    from collections import Counter
+
+    held = {k: zlib.crc32(str(k).encode()) % 5 == 0 for k, *_ in rows}
+    pieces = L.read_pieces(vocabulary(PIECES_FILE))
+    counts = {"de": Counter(), "en": Counter()}
+    for k, text, lang, *_ in rows:
+        if lang and not held[k]:
+            counts[lang].update(L.words_of(text))
+    size = max(pieces.values()) + 1
+    weights = np.zeros((size, 2))
+    weights[sorted(pieces.values())] = 1 / len(pieces)
+    for _ in range(4):
+        s = L.Segmenter(pieces, weights)
+        new = np.zeros((size, 2))
+        new[sorted(pieces.values())] = 0.05
+        for m, lang in enumerate(("de", "en")):
+            for word, n in counts[lang].items():
+                arcs = s.arcs(L.MARK + word)
+                paths = [((), 0, 1.0)]
+                whole = []
+                while paths:
+                    ids, at, p = paths.pop()
+                    if at == len(word) + 1:
+                        whole.append((ids, p))
+                    paths += [(ids + more, j, p * float(np.prod(weights[list(more), m]))) for i, j, more in arcs if i == at]
+                total = sum(p for _, p in whole)
+                for ids, p in whole:
+                    for k in ids:
+                        new[k, m] += n * p / total
+        weights = new / new.sum(axis=0)
+    s = L.Segmenter(pieces, weights)
+    for k, text, *_ in rows:
+        words = L.words_of(text)
+        assert got[k]["held_out"] == held[k]
+        if not words:
+            assert (got[k]["lang_pred"], got[k]["score"]) == ("und", 0.0)
+            continue
+        log = sum(by_hand(s, L.MARK + w) for w in words)
+        best = int(np.argmax(log))
+        assert got[k]["lang_pred"] == ("de", "en")[best]
+        assert got[k]["score"] == pytest.approx(float(1 / np.exp(log - log[best]).sum()))
+
+
 def test_words():
     assert L.words_of("L'été, 3½ x²y Dog") == ["l", "été", "x", "y", "dog"]
     assert L.words_of(None) == [] and L.words_of("12 !") == []

@@ -7,15 +7,16 @@ reached when cap / weight is below the common level).
 Curriculum: each source's rate over training time t in [0, 1] is a piecewise linear schedule. Its
 integral is the source's cumulative demand; a document that begins at token c of its source is placed
 at the time at which the demand reaches c. Documents of a source follow each other in an order fixed
-by a hash of doc_id, epoch after epoch. Range-sorting by position gives the training order.
+by a hash of doc_id and text, epoch after epoch. Range-sorting by position gives the training order.
 
 Scale: cumulative sizes are a two-level prefix sum. A source's documents fall into about 2 * sqrt(n)
 buckets by hash; a window runs over the buckets' totals and one inside each bucket, so no source, not
 even one with a third of all rows, meets in one task.
 
 Defined results: a null text has size 0; a document of size 0 takes nothing and is given no position;
-a null source is a source of its own, last in order; rows that agree in doc_id are ordered by their
-size; an empty table gives no rows; other columns take no part.
+a null source is a source of its own, last in order; null and repeated doc_ids are spread by their
+texts, and rows that agree in both are interchangeable; an empty table gives no rows; other columns take
+no part.
 """
 
 from __future__ import annotations
@@ -36,10 +37,13 @@ SCHEDULES: tuple[tuple[tuple[float, float], ...], ...] = (
 BROADCAST_SOURCES = 50_000
 
 
-def sized(docs: DataFrame, by_text: bool = False) -> DataFrame:
-    """doc_id, source and size (words) of every row, and key with ``by_text``."""
-    key = [F.xxhash64("text").alias("key")] if by_text else []
-    return docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), *key)
+def sized(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id, source, size (words) and order (a hash of doc_id and text) of every row, and with ``keyed``
+    key, a hash of all columns."""
+    key = [F.xxhash64(*docs.columns).alias("key")] if keyed else []
+    text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text).cast("binary"))
+    return docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), order.alias("order"), *key)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = 3) -> DataFrame:
@@ -87,12 +91,12 @@ def demand_time(share: Column, place: Column, schedules=SCHEDULES) -> Column:
     return out
 
 
-def curriculum(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = 3, schedules=SCHEDULES, by_text: bool = False) -> DataFrame:
-    """One row for each document: doc_id, key (a hash of the text, with ``by_text``), source, size, source_size, target, taken, and ``copies``, an
-    array of (epoch, words, position) for each time that the mix reads it. The last copy of a source
+def curriculum(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = 3, schedules=SCHEDULES, keyed: bool = False) -> DataFrame:
+    """One row for each document: doc_id, key (a hash of the row, with ``keyed``), source, size,
+    source_size, target, taken, and ``copies``, an array of (epoch, words, position) for each time that the
+    mix reads it. The last copy of a source
     is cut where the target ends, so a source's taken words equal its target, rounded."""
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = checkpointed(sized(docs, by_text).withColumn("order", order))
+    rows = checkpointed(sized(docs, keyed))
     targets = checkpointed(source_targets(rows, weights, max_epochs))
     n_buckets = F.ceil(2 * F.sqrt("n_docs"))
     known = targets.withColumnRenamed("source", "of_source")
@@ -101,7 +105,7 @@ def curriculum(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), ma
     rows = rows.join(known, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
     part = F.floor(F.conv(F.substring("order", 1, 8), 16, 10).cast("double") * n_buckets / F.lit(float(1 << 32))).cast("long")
     rows = rows.withColumn("bucket", part)
-    key = ["key"] if by_text else []
+    key = ["key"] if keyed else []
     sums = rows.groupBy("place", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("place", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("offset"))
@@ -113,7 +117,7 @@ def curriculum(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), ma
     def copy(epoch: Column) -> Column:
         start = F.col("begin") + epoch * F.col("source_size")
         words = F.greatest(F.least(F.col("size"), whole - start), F.lit(0))
-        return F.struct(epoch.cast("int").alias("epoch"), words.alias("words"), demand_time(start / F.col("target"), F.col("place"), schedules).alias("position"))
+        return F.struct(epoch.cast("int").alias("epoch"), words.alias("words"), demand_time(F.try_divide(start, F.col("target")), F.col("place"), schedules).alias("position"))
 
     copies = F.filter(F.transform(F.sequence(F.lit(0), F.lit(max_epochs - 1)), copy), lambda c: c["words"] > 0)
     rows = rows.withColumn("copies", copies)
@@ -121,6 +125,11 @@ def curriculum(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), ma
     return rows.select("doc_id", *key, "source", "size", "source_size", "target", taken.alias("taken"), "copies")
 
 
+def by_position(mixed: DataFrame) -> DataFrame:
+    """The documents range-sorted by the position of their first copy, those that are never read last."""
+    return mixed.orderBy(F.get("copies", F.lit(0))["position"].asc_nulls_last(), F.col("source").asc_nulls_last(), "doc_id")
+
+
 def training_order(mixed: DataFrame) -> DataFrame:
     """One row for each copy, range-sorted by position (ties by source and doc_id)."""
     each = mixed.select("doc_id", "source", F.explode("copies").alias("c")).select("doc_id", "source", "c.epoch", "c.words", "c.position")
@@ -131,16 +140,16 @@ def materialise(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), m
     """The mix itself: the columns of ``docs`` with one row for each copy, range-sorted by position.
 
     A copy that is read in part carries its text up to the last word read, and n_chars, if there is
-    such a column, follows. Rows are told apart by doc_id and text, so rows that agree in both take
-    the copies of either.
+    such a column, follows. Rows that agree in all columns are one row to the join and have the copies
+    of all of them.
     """
-    key = F.xxhash64("text")
-    plan = curriculum(docs, weights, max_epochs, schedules, by_text=True)
-    plan = plan.select(F.col("doc_id").alias("__doc_id"), F.col("key").alias("__key"), F.col("copies").alias("__copies")).dropDuplicates(["__doc_id", "__key"])
-    rows = docs.withColumn("__of", key).join(plan, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("__of") == F.col("__key")))
-    rows = rows.withColumn("__size", count_words(F.col("text"))).withColumn("__c", F.explode("__copies"))
+    names = ["__doc_id", "__key"]
+    plan = curriculum(docs, weights, max_epochs, schedules, keyed=True)
+    plan = plan.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__doc_id"), F.col("key").alias("__key"), F.explode("copies").alias("__c"))
+    rows = docs.withColumns({"__key": F.xxhash64(*docs.columns), "__doc_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))})
+    rows = rows.dropDuplicates(names).join(plan, names)
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("__c.words").cast("int")), "")
-    text = F.when(F.col("__c.words") < F.col("__size"), part).otherwise(F.col("text"))
+    text = F.when(F.col("__c.words") < count_words(F.col("text")), part).otherwise(F.col("text"))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -53,7 +53,7 @@ from b, (values {rows}) as v(policy, rule, bit, mask) group by 1, 2"""
 _MIXING = r"""
 with s as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
-    md5(coalesce(cast(doc_id as varchar), '')) as o from documents
+    md5(coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))) as o from documents
 ), per as (
   select source, cast(sum(size) as bigint) as source_size from s group by source
 ), p as (
@@ -66,14 +66,19 @@ with s as (
 ), t as (
   select *, case when cap / weight <= lvl then cap else weight * max(case when cap / weight > lvl then lvl end) over () end as target from l
 ), c as (
-  select s.doc_id, s.size, t.source_size, t.target, cast(round(t.target) as bigint) as whole,
+  select s.doc_id, s.size, t.source_size, t.target, t.place, cast(round(t.target) as bigint) as whole,
     coalesce(sum(s.size) over (partition by t.place order by s.o, s.doc_id nulls last, s.size rows between unbounded preceding and 1 preceding), 0) as b
   from s join t on s.source is not distinct from t.source
+), e as (
+  select *, list_filter(range(0, 3), lambda e: least(size, whole - b - e * source_size) > 0) as epochs,
+    case place % 3 when 0 then 1.5 when 1 then 1.0 else 0.5 end::double as w0, case place % 3 when 0 then -1.0 when 1 then 0.0 else 1.0 end::double as slope from c
 )
 select doc_id, size, source_size, target,
-  cast(list_sum(list_transform(range(0, 3), lambda e: greatest(least(size, whole - b - e * source_size), 0))) as bigint) as taken,
-  cast(len(list_filter(range(0, 3), lambda e: least(size, whole - b - e * source_size) > 0)) as bigint) as n_copies
-from c
+  cast(coalesce(list_sum(list_transform(epochs, lambda e: least(size, whole - b - e * source_size))), 0) as bigint) as taken,
+  cast(len(epochs) as bigint) as n_copies,
+  array_to_string(list_transform(list_transform(epochs, lambda e: (b + e * source_size) / target),
+    lambda u: cast(floor(least(2 * u / (w0 + sqrt(greatest(w0 * w0 + 2 * slope * u, 0))), 1) * 1e6) as bigint)), ',') as positions
+from e
 """
 
 

@@ -48,8 +48,9 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.curriculum(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("copies").cast("long").alias("n_copies"))
+    mixed = mixing.by_position(mixing.curriculum(table(spark, sf_dir, "documents")))
+    positions = F.array_join(F.transform("copies", lambda c: F.floor(c["position"] * 1e6).cast("string")), ",")  # millionths
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("copies").cast("long").alias("n_copies"), positions.alias("positions"))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

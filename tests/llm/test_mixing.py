@@ -87,3 +87,20 @@ def test_odd_rows(odd, empty):
 def test_materialised_words_equal_taken(docs):
     taken = M.curriculum(docs).agg(F.sum("taken")).first()[0]
     assert sum(len(WORD(r["text"])) for r in M.materialise(docs).collect()) == taken
+
+
+def test_repeated_and_null_rows(spark):
+    """Rows that agree in all columns have all their copies; null ids are spread over buckets."""
+    rows = [(1, "a b c", "s", 5)] * 4 + [(None, f"w{k} x", "s", 4) for k in range(400)] + [(2, "one", None, 3), (3, "", "t", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    taken = M.curriculum(docs).agg(F.sum("taken")).first()[0]
+    out = [tuple(r) for r in M.materialise(docs).collect()]
+    assert sum(len(WORD(r[1])) for r in out) == taken
+    assert sorted(out, key=str) == sorted((tuple(r) for r in M.materialise(docs.repartition(7)).collect()), key=str)
+    order = M.sized(docs).where("doc_id is null").select("order").distinct().count()
+    assert order == 400
+
+
+def test_documents_are_range_sorted(docs):
+    first = [r["copies"][0]["position"] if r["copies"] else 2.0 for r in M.by_position(M.curriculum(docs)).collect()]
+    assert first == sorted(first)

@@ -56,3 +56,47 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def count_words(text: Column) -> Column:
     """Number of words of the contracts; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: Elements folded into one another directly; longer arrays are folded in blocks of as many.
+BLOCK = 256
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, op, first: int) -> Column:
+    """For each element of an array<int> the fold of ``first`` and the elements before it. Arrays grow
+    inside blocks only, so that long ones take time in proportion to their length."""
+
+    def fold(v: Column) -> Column:
+        return F.aggregate(v, F.array(F.lit(first)).cast("array<int>"), lambda done, x: F.concat(done, F.array(op(F.element_at(done, -1), x))))
+
+    def joined(parts: Column) -> Column:
+        before = fold(F.transform(parts, lambda p: F.element_at(p, -1)))
+        return F.flatten(F.zip_with(parts, F.slice(before, 1, F.size(parts)), lambda p, b: F.transform(F.slice(p, 1, F.size(p) - 1), lambda x: op(b, x))))
+
+    def whole(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(1), F.size(v), F.lit(BLOCK)), lambda at: fold(F.slice(v, at, BLOCK)))
+        return F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(let(blocks, joined))
+
+    return let(values.cast("array<int>"), whole)
+
+
+def replaced(text: Column, cuts: Column, end: Column, marker: str) -> Column:
+    """``text`` with a marker for each of ``cuts``, an array of (begin, start): what stands between the end
+    of the cut before and its own start; the last cut ends at ``end``. Cuts are taken in blocks, so that
+    no place is looked up from the text's beginning for each of them."""
+
+    def block(c: Column) -> Column:
+        base = F.element_at(c, 1)["begin"]
+        piece = F.substring(text, base + 1, F.element_at(c, -1)["start"] - base)
+        return let(piece, lambda p: F.array_join(F.transform(c, lambda x: F.concat(F.substring(p, x["begin"] - F.element_at(c, 1)["begin"] + 1, x["start"] - x["begin"]), F.lit(marker))), ""))
+
+    def whole(c: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(1), F.size(c), F.lit(BLOCK)), lambda at: let(F.slice(c, at, BLOCK), block))
+        return F.concat(F.array_join(blocks, ""), F.substring(text, end + 1, F.length(text)))
+
+    return F.when(F.size(cuts) == 0, text).otherwise(let(cuts, whole))

@@ -150,13 +150,14 @@ from documents left join per using (doc_id)
 """
 
 
-def _located(kind: int, pattern: str, group: int, least: int) -> str:
-    """(k, kind, b, e, m) of a pattern's matches: each begins where the text before it ends."""
+def _located(source: str, pattern: str, group: int = 0, least: int = 0) -> str:
+    """(k, b, e, m, v) of a pattern's matches in rows (k, o, t), moved by o, and the group that is measured:
+    each begins where the text before it ends."""
     quoted = pattern.replace("'", "''")
-    return f"""select k, {kind} as kind, e - length(m) as b, e, m from (
-      select k, m, size, sum(length(gap) + length(m)) over (partition by k order by i) as e from (
-        select k, unnest(ms) as m, unnest(ps[1:len(ms)]) as gap, unnest(gs) as size, generate_subscripts(ms, 1) as i from (
-          select k, regexp_extract_all(t, '{quoted}', 0) as ms, string_split_regex(t, '{quoted}') as ps, list_transform(regexp_extract_all(t, '{quoted}', {group}), lambda x: length(x)) as gs from d))) where size >= {least}"""
+    return f"""(select k, o + e - length(m) as b, o + e as e, m, v from (
+      select k, o, m, v, sum(length(gap) + length(m)) over (partition by r order by i) as e from (
+        select r, k, o, unnest(ms) as m, unnest(ps[1:len(ms)]) as gap, unnest(vs) as v, generate_subscripts(ms, 1) as i from (
+          select row_number() over () as r, k, o, regexp_extract_all(t, '{quoted}', 0) as ms, string_split_regex(t, '{quoted}') as ps, regexp_extract_all(t, '{quoted}', {group}) as vs from {source}))) where length(v) >= {least})"""
 
 
 def _tail(z: str) -> str:
@@ -169,47 +170,74 @@ def _tail(z: str) -> str:
 
 
 def _secrets() -> str:
-    from .secrets import BINS, CANDIDATE, ENCODINGS, KINDS, MIN_BITS
+    import math
 
-    base = " union all ".join(f"({_located(k, pattern, group, least)})" for k, (_, pattern, group, least) in enumerate(KINDS))
+    from .secrets import BINS, CANDIDATE, ENCODINGS, FISHER_VAR, KINDS, LEAST, LONE_BITS, LONE_CUT, MIN_CLASS, PARTS, SHORT_CUT
+
+    base = " union all ".join(f"select k, {n} as kind, b, e, v from {_located('d', pattern, group, least)}" for n, (_, pattern, group, least) in enumerate(KINDS))
     fits = lambda give: "case " + " ".join(f"when regexp_matches(body, '{p}') then {give(name, letters)}" for name, p, letters in ENCODINGS) + " end"
     counts = ", ".join(f"cast(count(*) filter (kind = {k}) as bigint) as n_{name}" for k, (name, *_) in enumerate(KINDS))
-    names = "case kind " + " ".join(f"when {k} then '{name}'" for k, (name, *_) in enumerate(KINDS)) + " else 'random' end"
-    written = f"string_agg({names} || ':' || cast(b as bigint) || ':' || cast(e as bigint), ',' order by b, kind)"
-    chi = "((ka / n * squares - n) - (ka - 1)) / sqrt(2 * (ka - 1) * (n - 1) / n)"
+    named = lambda last: "case kind " + " ".join(f"when {k} then '{name}'" for k, (name, *_) in enumerate(KINDS)) + f" else '{last}' end"
+    written = f"{named('random')} || ':' || cast(b as bigint) || ':' || cast(e as bigint)"
+    parts = f"parts0 as (select k, b, e, m from {_located('d', CANDIDATE)})"
+    for n, (pattern, whole) in enumerate(PARTS):
+        odd = f"(select k, b as o, m as t from parts{n} where not regexp_matches(m, '{whole}'))"
+        parts += f", parts{n + 1} as (select k, b, e, m from parts{n} where regexp_matches(m, '{whole}') union all select k, b, e, m from {_located(odd, pattern)})"
     mu = "(2 * high * (n - high) / n + 1)"
     var = f"(({mu} - 1) * ({mu} - 2) / (n - 1))"
     return f"""
 with d as (
-  select row_number() over () as k, doc_id, coalesce(text, '') as t from documents
-), base as ({base}), runs as ({_located(3, CANDIDATE, 0, 20)}), c as (
-  select row_number() over () as c, k, b, e, rtrim(m, '=') as body from runs r
-  where regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]') and not exists (select 1 from base x where x.k = r.k and x.b < r.e and r.b < x.e)
+  select row_number() over () as k, 0 as o, doc_id, coalesce(text, '') as t from documents
+), base as ({base}), {parts}, c as (
+  select row_number() over () as c, *, rtrim(v, '=') as body from (
+    select k, kind, b, e, v from base
+    union all select k, {len(KINDS)}, b, e, m from parts{len(PARTS)} r where length(m) >= {LEAST} and regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]')
+      and not exists (select 1 from base x where x.k = r.k and x.b < r.e and r.b < x.e))
 ), f as (
   select *, {fits(lambda name, letters: f"'{name}'")} as enc, {fits(lambda name, letters: f"'{letters}'")} as letters from c
 ), chars as (
-  select c, i, length(letters)::double as ka, (instr(letters, x) - 1)::double as v from (select c, letters, unnest(string_split(body, '')) as x, generate_subscripts(string_split(body, ''), 1) as i from f where enc is not null and length(body) >= 16)
+  select c, i, length(letters)::double as ka, (instr(letters, x) - 1)::double as v from (select c, letters, unnest(string_split(body, '')) as x, generate_subscripts(string_split(body, ''), 1) as i from f where enc is not null and length(body) >= {LEAST})
 ), w as (
   select *, lag(v) over (partition by c order by i) as u, avg(v) over (partition by c) as mean, count(*) over (partition by c, v)::double as same from chars
 ), s as (
   select c, any_value(ka) as ka, count(*)::double as n, sum(same) as squares, count(*) filter (v >= ka / 2)::double as high,
     1 + count(*) filter (u is not null and (v >= ka / 2) <> (u >= ka / 2))::double as runs, sum((v - mean) * (v - mean)) as spread, coalesce(sum((v - mean) * (u - mean)), 0) as serial from w group by c
+), pairs as (
+  select *, (squares - n) / 2 as equal, n * (n - 1) / 2 as np, 1 / ka as pu from s
+), central as (
+  select *, np * pu * (1 - pu) as v2, np * pu * (1 - pu) * (1 - 2 * pu) + n * (n - 1) * (n - 2) * pu * pu * (1 - pu) as v3 from pairs
+), shape as (
+  select *, (equal - np * pu) / sqrt(v2) as z, 4 / ((v3 / (v2 * sqrt(v2))) * (v3 / (v2 * sqrt(v2)))) as a from central
+), cube as (
+  select *, (pow(greatest(1 + z / sqrt(a), 0), 1 / 3.0::double) - (1 - 1 / (9 * a))) * 3 * sqrt(a) as y from shape
 ), p as (
-  select *, greatest({_tail(chi)}, 1e-300) as p1, greatest(case when {var} > 0 then 2 * {_tail(f"abs((runs - {mu}) / sqrt({var}))")} else 0 end, 1e-300) as p2,
-    greatest(case when spread > 0 then 2 * {_tail("abs((serial / spread + 1 / n) * sqrt(n))")} else 0 end, 1e-300) as p3 from s where n * log2(ka) >= {MIN_BITS}
+  select *, greatest({_tail("y")}, 1e-300) as p1, greatest(case when {var} > 0 then 2 * {_tail(f"abs((runs - {mu}) / sqrt({var}))")} else 0 end, 1e-300) as p2,
+    greatest(case when spread > 0 then 2 * {_tail("abs((serial / spread + 1 / n) * sqrt(n))")} else 0 end, 1e-300) as p3 from cube
 ), fisher as (
-  select c, ka, n, least(greatest(exp(-h) * (1 + h + h * h / 2), 0), 1) as p from (select *, -(ln(p1) + ln(p2) + ln(p3)) as h from p)
+  select c, ka, n, least(greatest({_tail("y")}, 0), 1) as p from (
+    select *, (pow(greatest(1 + (-2 * (ln(p1) + ln(p2) + ln(p3)) - 6) / {math.sqrt(FISHER_VAR)!r}::double / {math.sqrt(36 / FISHER_VAR)!r}::double, 0), 1 / 3.0::double) - (1 - {FISHER_VAR / 36 / 9!r}::double)) * {3 * math.sqrt(36 / FISHER_VAR)!r}::double as y from (select * exclude (y) from p))
 ), binned as (
-  select fisher.*, k, b, e, enc || ':' || floor(log2(n)) as label, least(floor(p * {BINS}), {BINS - 1}) as bin from fisher join f using (c)
+  select fisher.*, k, kind, b, e, enc, floor(log2(n)) as oct, least(floor(p * {BINS}), {BINS - 1}) as bin from fisher join f using (c)
+), classes as (
+  select distinct enc, oct, ka from binned
+), widths as (
+  select enc, oct, min(width) as width from (
+    select x.enc, x.oct, width from classes x, binned y, (select unnest(range(0, 32)) as width) where y.enc = x.enc and abs(y.oct - x.oct) <= width group by x.enc, x.oct, width having count(*) >= {MIN_CLASS}) group by enc, oct
 ), cuts as (
-  select label, min(x) / {BINS}.0::double as cut from (select label, x, 2 * count(*) filter (bin >= {BINS // 2}) as random, count(*) filter (bin >= x) as kept from binned, (select unnest(range(0, {BINS})) as x) group by label, x)
-  where kept > 0 and random > 0 and 1 - random * (1 - x / {BINS}.0::double) / kept <= 0.1 group by label
+  select enc, oct, min(cutoff) / {BINS}.0::double as cut from (
+    select x.enc, x.oct, cutoff, 2 * count(*) filter (bin >= {BINS // 2}) as random, count(*) filter (bin >= cutoff) as kept
+    from widths x join binned y on y.enc = x.enc and abs(y.oct - x.oct) <= width, (select unnest(range(0, {BINS})) as cutoff) group by x.enc, x.oct, cutoff)
+  where kept > 0 and random > 0 and 1 - random * (1 - cutoff / {BINS}.0::double) / kept <= 0.1 group by enc, oct
+  union all select enc, oct, case when pow(2, oct) * log2(ka) >= {LONE_BITS} then {LONE_CUT} else {SHORT_CUT} end from classes anti join widths using (enc, oct)
 ), spans as (
-  select k, kind, b, e from base union all select k, {len(KINDS)}, b, e from binned join cuts using (label) where p >= cut
+  select k, kind, b, e from base union all select k, kind, b, e from binned join cuts using (enc, oct) where kind = {len(KINDS)} and p >= cut
 ), per as (
-  select k, {counts}, coalesce({written.replace(", ',' order", ", ',' order")} filter (kind < {len(KINDS)}), '') as bs, {written} as spans from spans group by k
+  select k, {counts}, coalesce(string_agg({written}, ',' order by b, kind) filter (kind < {len(KINDS)}), '') as bs, string_agg({written}, ',' order by b, kind) as spans from spans group by k
+), tests as (
+  select k, string_agg({named("candidate")} || ':' || cast(b as bigint) || ':' || enc || ':' || cast(floor(p * 1e4 + 0.5) as bigint), ',' order by b, kind) as tests from binned group by k
 )
-select doc_id, {", ".join(f"coalesce(n_{name}, 0) as n_{name}" for name, *_ in KINDS)}, sha256(coalesce(bs, '')) as base_sha256, coalesce(spans, '') as spans from d left join per using (k)
+select doc_id, {", ".join(f"coalesce(n_{name}, 0) as n_{name}" for name, *_ in KINDS)}, sha256(coalesce(bs, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(tests, '') as tests
+from d left join per using (k) left join tests using (k)
 """
 
 

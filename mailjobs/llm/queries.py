@@ -76,7 +76,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     kinds = [count(k).alias(f"n_{name}") for k, (name, *_) in enumerate(secrets.KINDS)]
-    return found.select("doc_id", *kinds, F.sha2(secrets.written(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+    tests = F.array_sort(F.transform("tests", lambda t: F.struct(t["start"].alias("start"), t["kind"].alias("kind"), t["encoding"].alias("encoding"), F.floor(t["p"] * 1e4 + 0.5).cast("string").alias("p"))))
+    names = F.array(*(F.lit(name) for name, *_ in secrets.KINDS), F.lit("candidate"))
+    written = F.array_join(F.transform(tests, lambda t: F.concat_ws(":", F.element_at(names, t["kind"] + 1), t["start"].cast("string"), t["encoding"], t["p"])), ",")  # p in ten-thousandths
+    return found.select("doc_id", *kinds, F.sha2(secrets.written(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"), written.alias("tests"))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,56 @@ def test_normal_tail(one, z, p):
     assert one(X.normal_tail(F.lit(z))) == pytest.approx(p, rel=1e-3, abs=1e-9)
 
 
+@pytest.mark.parametrize(("n", "letters"), [(16, "0123456789abcdef"), (20, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), (40, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), (64, "0123456789abcdefghijklmnopqrstuvwxyz")])
+def test_p_of_random_strings_is_uniform(spark, n, letters):
+    rng = random.Random(n)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for _ in range(2000)]
+    rows = spark.createDataFrame([(0, 3, n, t) for t in texts], "start int, kind int, end int, match string")
+    p = [r["p"] for r in rows.select(F.explode(X.tested(F.array(F.struct("start", "kind", "end", "match")))).alias("t")).select("t.p").collect()]
+    print(n, [round(sum(x <= cut for x in p) / len(p), 3) for cut in (0.05, 0.25, 0.5, 0.75, 0.95)])
+    for cut in (0.05, 0.25, 0.5, 0.75):
+        assert abs(sum(x <= cut for x in p) / len(p) - cut) < 0.05, (cut, sum(x <= cut for x in p) / len(p))
+
+
+def sure_words():
+    return ["the_quick_brown_fox_jumps_over_1_lazy_dog", "SECTION1SECTION1SECTION1SECTION1", "getUserNameAndPasswordFromRequest2", "x1x1x1x1x1x1x1x1x1x1x1x1x1x1x1", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1"]
+
+
+@pytest.mark.parametrize("n_keys", [1, 3, 10])
+def test_small_classes(spark, n_keys):
+    """Lone keys are found, and words of their class stay."""
+    rng = random.Random(100 + n_keys)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    hits, rounds = 0, 4
+    for r in range(rounds):
+        keys = ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(n_keys)]
+        found = {x["doc_id"]: [s for s in x["spans"] if s["kind"] == 3] for x in X.find(docs_of(spark, [f"see {k} here" for k in keys + sure_words()])).collect()}
+        hits += sum(found[k] == [(4, 3, 44)] for k in range(n_keys))
+        assert not any(found[k] for k in range(n_keys, n_keys + 5))
+    assert hits >= 0.8 * rounds * n_keys
+
+
+def test_base_values_are_tested(spark):
+    tests = X.find(docs_of(spark, ["token = 04dbebab91ab85687d33eeaaf9ac699e1188f962 password=aaaaaaaaaaaaaaaaaaaaaaaa secret=short1"])).first()["tests"]
+    assert [(t["kind"], t["start"], t["encoding"]) for t in tests] == [(0, 0, "hex"), (2, 8, "hex"), (0, 49, "hex"), (2, 58, "hex")]
+    assert tests[0]["p"] == tests[1]["p"] > 0.05 and tests[2]["p"] < 1e-6
+
+
+def test_many_spans_in_one_text_take_linear_time(spark):
+    import time
+
+    def run(n):
+        began = time.time()
+        (r,) = X.find(docs_of(spark, [" ".join(["token=abcdefgh k9"] * n)])).collect()
+        (c,) = X.redact(docs_of(spark, [" ".join(["token=abcdefgh k9"] * n)])).collect()
+        assert len(r["base"]) == n and c["text"] == " ".join(["[SECRET] k9"] * n)
+        return time.time() - began
+
+    run(10)
+    small, large = run(20_000), run(40_000)
+    assert large < 2 * small + 5
+
+
 def test_redact(spark):
     rows = X.redact(docs_of(spark, TEXTS)).orderBy("doc_id").collect()
     assert rows[0]["text"] == 'x [SECRET]" y'

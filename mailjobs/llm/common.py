@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,19 +41,39 @@ def url_path(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)).otherwise(F.lit(""))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the cluster's shared folder, the one of
-    ``spark.checkpoint.dir``. Only a local session without that setting gets a temporary folder; a
-    cluster has to name one, since a machine-local folder goes with its executor."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, the one of ``spark.checkpoint.dir``. Only a local session without that
+    setting gets a temporary one; a cluster has to name it, since a machine-local folder goes with its
+    executor."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="mailjobs-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows written as Parquet in the shared folder and read again, and where they lie: as a
+    checkpoint, but compressed, read by column, and free to be removed once nothing reads it."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes what ``stored`` wrote."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def count_words(text: Column) -> Column:
     """Number of words of the contracts; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

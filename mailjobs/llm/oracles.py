@@ -128,12 +128,18 @@ with l as (
 ), cut as (
   select doc_id, i, pos, string_split(regexp_replace(line, '([.!?])([ \t\r\f\v])', '\1' || chr(1) || '\2', 'g'), chr(1)) as parts from l
 ), s as (
-  select doc_id, piece, pos + coalesce(sum(length(piece)) over (partition by doc_id, i order by k rows between unbounded preceding and 1 preceding), 0) as pos
-  from (select doc_id, i, pos, unnest(parts) as piece, generate_subscripts(parts, 1) as k from cut where len(list_filter(parts, lambda x: regexp_matches(x, '[^ \t\n\r\f\v]'))) > 1)
+  select doc_id, i, piece, pos + coalesce(sum(length(piece)) over (partition by doc_id, i order by k rows between unbounded preceding and 1 preceding), 0) as pos
+  from (select doc_id, i, pos, unnest(parts) as piece, generate_subscripts(parts, 1) as k from cut)
+), p as (
+  select doc_id, i, pos + length(regexp_extract(piece, '^{_B}*')) as b, pos + length(regexp_replace(piece, '{_B}+$', '')) as e, regexp_extract_all(lower(piece), '[^ \t\n\r\f\v]+') as w from s where regexp_matches(piece, '[^ \t\n\r\f\v]')
+), c as (
+  select *, sum(len(w)) over (partition by doc_id order by b) as upto, list(w) over (partition by doc_id order by b rows between unbounded preceding and unbounded following) as ws from p
+), k as (
+  select doc_id, b, upto - len(w) as before, upto - len(w) + 16 as need from c
 ), u as (
-  select doc_id, pos + length(regexp_extract(piece, '^{_B}*')) as b, pos + length(regexp_replace(piece, '{_B}+$', '')) as e, array_to_string(regexp_extract_all(lower(piece), '[^ \t\n\r\f\v]+'), ' ') as g
-  from (select doc_id, line as piece, pos from l union all select doc_id, piece, pos from s)
-  where len(regexp_extract_all(piece, '[^ \t\n\r\f\v]+')) >= 8
+  select k.doc_id, k.b, c.e, array_to_string(flatten(c.ws)[k.before + 1:c.upto], ' ') as g from k asof join c on k.doc_id = c.doc_id and k.need <= c.upto
+  union
+  select doc_id, min(b), max(e), array_to_string(flatten(list(w order by b)), ' ') from p group by doc_id, i having count(*) > 1 and sum(len(w)) >= 16
 ), f as (
   select *, first_value((doc_id, b)) over (partition by g order by doc_id, b) as first from u
 ), lost as (

@@ -86,8 +86,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary(BPE_FILE), bpe_pattern(), digests=True)
 
 
+#: Words of a stretch that count as repeated: passages over 50 words hold several, stock phrases none.
+MIN_WORDS = 16
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substrings.report(table(spark, sf_dir, "documents"))
+    found = substrings.report(table(spark, sf_dir, "documents"), MIN_WORDS)
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select("doc_id", "n_removed", "n_removed_chars", "kept_chars", spans.alias("removed_spans"))
 

@@ -1,13 +1,18 @@
-"""Substring deduplication by hashing lines and the sentences in them.
-
-Every whole text is cut into units: its lines, and the sentences of a line that has several. A unit is
-normalised (lower case, white space runs to one blank) and digested to 128 bits; units of fewer than
-``min_words`` words are left alone. Digests are grouped over all documents. The occurrence that ranks
-first by (doc_id, start) stays, all others are removed, and their offsets in the original text (code
-points, end exclusive) are kept.
-
-Scale: digests are counted with partial aggregation, so a line of a third of all documents sends one
-row for each task; only digests found more than once are joined back to the units.
+"""Substring deduplication by hashing lines and stretches of sentences.
+
+Every whole text is cut into units: its lines of several sentences, and at each sentence the stretch that
+begins there and takes in as many sentences, over line ends too, as make ``min_words`` words. So a short
+line or sentence is compared together with what follows it, wherever it stands, and no cut depends on the
+text before it. A unit is normalised (lower case, white space runs to one blank) and digested to 128 bits.
+Digests are grouped over all documents. The occurrence that ranks first by (doc_id, start) stays, all
+others are removed, and their offsets in the original text (code points, end exclusive) are kept.
+Stretches overlap, so what is removed of a repeated passage is all but fewer than ``min_words`` words at
+its end and a sentence cut at either end; a repeated line or sentence that is shorter stays, since it
+recurs in texts that have nothing else in common.
+
+Scale: units are written once (Parquet, in the shared folder); digests are counted with partial
+aggregation, so a line of a third of all documents sends one row for each task; only digests found more
+than once are joined back to the units.
 
 Defined results: a null or empty text has no units; rows that agree in doc_id and text are one
 document to the ranking (both keep or lose the same units), so repeated rows give repeated rows; a null
@@ -25,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, short
+from .common import checkpointed, let, replaced, running, short, stored
 
 _words = re.compile(r"[^ \t\n\r\f\v]+").findall
 #: Between a full stop, question or exclamation mark and the white space that follows it.
@@ -34,28 +39,34 @@ BLANKS = " \t\n\r\f\v"
 
 
 def units(text: str, min_words: int) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of every unit of a text: each line, then its sentences if it has several."""
+    """(start, end, digest) of every unit of a text, by start."""
     from xxhash import xxh128_digest
 
-    out = []
-
-    def add(piece: str, start: int) -> None:
-        words = _words(piece.lower())
-        if len(words) >= min_words:
-            left = len(piece) - len(piece.lstrip(BLANKS))
-            out.append((start + left, start + len(piece.rstrip(BLANKS)), xxh128_digest(" ".join(words).encode("utf-8", "replace"))))
-
+    starts, ends, sizes, texts = [], [], [], []  # of each sentence
+    found: dict[tuple[int, int], str] = {}
     begin = 0
     for line in text.split("\n"):
-        add(line, begin)
-        inner = _ends(line)
-        if sum(1 for x in inner if x.strip(BLANKS)) > 1:
-            at = begin
-            for x in inner:
-                add(x, at)
-                at += len(x)
+        first, at = len(starts), begin
+        for x in _ends(line):
+            if words := _words(x.lower()):
+                starts.append(at + len(x) - len(x.lstrip(BLANKS)))
+                ends.append(at + len(x.rstrip(BLANKS)))
+                sizes.append(len(words))
+                texts.append(" ".join(words))
+            at += len(x)
+        if len(starts) > first + 1 and sum(sizes[first:]) >= min_words:
+            found[starts[first], ends[-1]] = " ".join(texts[first:])
         begin += len(line) + 1
-    return out
+    last = n = 0
+    for k in range(len(starts)):
+        while last < len(starts) and n < min_words:
+            n += sizes[last]
+            last += 1
+        if n < min_words:
+            break
+        found[starts[k], ends[last - 1]] = " ".join(texts[k:last])
+        n -= sizes[k]
+    return [(a, b, xxh128_digest(t.encode("utf-8", "replace"))) for (a, b), t in sorted(found.items())]
 
 
 def text_key(text: Column) -> Column:
@@ -83,7 +94,7 @@ def unit_table(docs: DataFrame, min_words: int = 8) -> DataFrame:
 def repeated_spans(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """doc_id, key and ``spans``: for each document that loses something, the spans to remove, sorted
     by start, with the doc_id and start of the occurrence that stays."""
-    rows = unit_table(docs, min_words)
+    rows, _ = stored(unit_table(docs, min_words))
     first = F.min(F.struct("doc_id", "key", "start")).alias("first")
     again = checkpointed(rows.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").drop("n"))
     own = F.struct("doc_id", "key", "start")
@@ -100,15 +111,15 @@ def _joined(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 def merged(spans: Column) -> Column:
     """Spans (start, end) sorted by start, overlaps joined into one."""
-    empty = F.array().cast("array<struct<start:int,end:int>>")
+    none = F.array().cast("array<struct<start:int,end:int>>")
 
-    def step(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        piece = F.struct(s["start"].alias("start"), s["end"].alias("end"))
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when(F.size(done) == 0, F.array(piece)).when(s["start"] <= last["end"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(piece)))
+    def whole(ss: Column) -> Column:
+        ends = F.transform(ss, lambda s: s["end"])
+        fresh = F.filter(F.zip_with(ss, running(ends, F.greatest, -1), lambda s, e: F.struct(s["start"].alias("start"), e.alias("before"))), lambda x: x["start"] > x["before"])
+        # A joined span ends at the furthest end before the next one begins.
+        return let(F.struct(fresh.alias("fresh"), F.array_max(ends).alias("last")), lambda w: F.zip_with(w["fresh"], F.concat(F.transform(F.slice(w["fresh"], 2, F.size(w["fresh"])), lambda x: x["before"]), F.array(w["last"])), lambda x, e: F.struct(x["start"].alias("start"), e.alias("end"))))
 
-    return F.aggregate(F.coalesce(spans, F.array().cast("array<struct<start:int,end:int,kept_doc_id:long,kept_start:int>>")), empty, step)
+    return F.when(F.coalesce(F.size(spans), F.lit(0)) <= 0, none).otherwise(let(spans, whole).cast("array<struct<start:int,end:int>>"))
 
 
 def report(docs: DataFrame, min_words: int = 8) -> DataFrame:
@@ -123,11 +134,11 @@ def report(docs: DataFrame, min_words: int = 8) -> DataFrame:
 def removed(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """All columns of ``docs`` with the repeated stretches cut out of ``text``, and ``removed``."""
     rows = _joined(docs.withColumn("__key", text_key(F.col("text"))), repeated_spans(docs, min_words)).withColumn("__cut", merged(F.col("__spans")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
-    def step(done: Column, s: Column) -> Column:
-        return F.struct(s["end"].alias("at"), F.concat(done["text"], F.substring(F.col("text"), done["at"] + 1, s["start"] - done["at"])).alias("text"))
+    def without(spans: Column) -> Column:
+        begins = F.concat(F.array(F.lit(0)), F.transform(F.slice(spans, 1, F.size(spans) - 1), lambda s: s["end"]))
+        return replaced(F.col("text"), F.zip_with(spans, begins, lambda s, b: F.struct(b.alias("begin"), s["start"].alias("start"))), F.element_at(spans, -1)["end"], "")
 
-    rest = F.aggregate("__cut", start, step, lambda d: F.concat(d["text"], F.substring(F.col("text"), d["at"] + 1, F.length("text"))))
+    rest = let(F.col("__cut"), without)
     kept = [F.when(F.size("__cut") > 0, rest).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns if c != "removed"]
     return rows.select(*kept, F.col("__cut").alias("removed"))

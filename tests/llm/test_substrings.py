@@ -24,9 +24,9 @@ def brute(rows, min_words=8):
 
 def test_units():
     text = "  One two three four. Five six seven EIGHT nine!\nshort\nOne  two three four. five six seven eight nine!"
-    got = U.units(text, 4)
-    assert [text[s:e] for s, e, _ in got] == ["One two three four. Five six seven EIGHT nine!", "One two three four.", "Five six seven EIGHT nine!", "One  two three four. five six seven eight nine!", "One  two three four.", "five six seven eight nine!"]
-    assert got[0][2] == got[3][2] and got[1][2] == got[4][2]
+    got = {text[s:e]: d for s, e, d in U.units(text, 4)}
+    assert set(got) == {"One two three four. Five six seven EIGHT nine!", "One two three four.", "Five six seven EIGHT nine!", "short\nOne  two three four.", "One  two three four. five six seven eight nine!", "One  two three four.", "five six seven eight nine!"}
+    assert got["One two three four."] == got["One  two three four."] and got["Five six seven EIGHT nine!"] == got["five six seven eight nine!"]
     assert U.units("", 1) == [] and U.units("a b\n\n", 3) == []
 
 
@@ -57,3 +57,49 @@ def test_odd_rows(odd, empty, make):
     cut = {r["doc_id"]: [(s["start"], s["end"]) for s in r["removed"]] for r in got}
     assert cut[1] == [] and cut[2] == [(0, 65)] and len(cut[9]) == 1
     assert make(empty).count() == 0
+
+
+def test_units_equal_enumeration():
+    """Every stretch from a sentence on that first reaches the words, found by trying all ends."""
+    text = "A b. C d e!\n\nf\ng h i j k l. M\n n o? P q r s t u v."
+    parts = ["A b.", "C d e!", "f", "g h i j k l.", "M", "n o?", "P q r s t u v."]
+    at = [text.index(p) for p in parts]
+    want = set()
+    for i in range(len(parts)):
+        for j in range(i, len(parts)):
+            if sum(len(p.split()) for p in parts[i : j + 1]) >= 5:
+                want.add((at[i], at[j] + len(parts[j])))
+                break
+    want.add((at[0], at[1] + len(parts[1])))  # the first line
+    want |= {(at[3], at[4] + 1), (at[5], at[6] + len(parts[6]))}  # lines of several sentences
+    assert {(s, e) for s, e, _ in U.units(text, 5)} == want
+
+
+def test_passages_of_short_sentences_and_lines_are_caught(spark):
+    """Over 50 words in lines and sentences of fewer words than a unit; what little may stay is at the end."""
+    import random
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = "\n".join(" ".join(word() for _ in range(rng.choice([2, 3, 5]))) + rng.choice([".", "!", ""]) for _ in range(18))
+    n = len(passage.split())
+    rows = [(k, "\n".join(" ".join(word() for _ in range(9)) + "." for _ in range(3)) + "\n" + passage + "\n" + " ".join(word() for _ in range(40)) + ".") for k in range(6)]
+    assert n > 50
+    for r in U.removed(spark.createDataFrame(rows, "doc_id long, text string"), 16).collect():
+        left = sum(w in r["text"].split() for w in passage.split())
+        assert left == n if r["doc_id"] == 0 else left < 16
+        assert len(r["text"].split()) == 67 + left
+
+
+def test_stock_phrases_stay(spark):
+    rows = [(k, f"Own words of number {k} stand here alone. All rights are reserved by the owners. Other words {k} follow.") for k in range(50)]
+    assert U.report(spark.createDataFrame(rows, "doc_id long, text string"), 16).agg({"n_removed": "sum"}).first()[0] == 0
+
+
+def test_many_spans_are_merged_in_linear_time(one):
+    from pyspark.sql import functions as F
+
+    n = 30_000
+    spans = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct((k * 10).alias("start"), (k * 10 + F.when(k % 3 == 0, 15).otherwise(5)).alias("end")))
+    got = [tuple(s) for s in one(U.merged(spans))]
+    assert len(got) == 2 * n // 3 and got[:3] == [(0, 15), (20, 25), (30, 45)] and got[-1] == ((n - 1) * 10, (n - 1) * 10 + 5)

@@ -239,12 +239,13 @@ def links(docs: DataFrame, marked: DataFrame, size: int = 5, similarity: float =
 
 
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, split: int = 1024) -> DataFrame:
-    """doc_id, key and component_id: the smallest doc_id of all documents reachable over links."""
+    """doc_id, key, component_id (the smallest doc_id of all documents reachable over links) and root, a
+    set id that names the component."""
     marked = checkpointed(marked_sets(docs, size))
     parts = connected_components(links(docs, marked, size, similarity, split))
     named = marked.join(parts.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     low = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(low, "root").select("doc_id", "key", "component_id")
+    return named.join(low, "root").select("doc_id", "key", "component_id", "root")
 
 
 def deduplicated(docs: DataFrame, size: int = 5, similarity: float = 0.8, split: int = 1024) -> DataFrame:

@@ -9,8 +9,9 @@ are then ranked by the exact inner product on the original vectors, in double pr
 
 Scale: equal vectors are one index entry, with the smallest ids that a result can need (found in
 salted steps, since a third of all rows may be copies). The stated queries meet all entries in blocks:
-codes and queries are packed into blocks, each pair of blocks is one unit of work dealt by its own
-key, and it returns no more than ``candidates`` rows for a query.
+codes and queries are packed into blocks, and each pair of blocks is one unit of work dealt by its own
+key. Entries are dealt to blocks by hash, so the best ``candidates`` of all lie in a block as often as a
+binomial variable says; a unit returns for each query six standard deviations more than its mean.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part, as query or candidate; ties go to the smaller vec_id; rows that repeat a
@@ -20,6 +21,7 @@ gives no rows; other columns take no part.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,9 +129,17 @@ def top(scores: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(scores == limit)[: k - len(above)]])
 
 
-def scan(codes: DataFrame, queries: DataFrame, books: np.ndarray, candidates: int, n_codes: int, n_queries: int, code_block: int = 8192, query_block: int = 256) -> DataFrame:
-    """(query_id, id, approx): the best ``candidates`` entries of each pair of blocks by lookup tables."""
+def share_of_block(candidates: int, blocks: int) -> int:
+    """How many of the best ``candidates`` of all entries one of ``blocks`` blocks holds at most, but for a
+    chance of about 1e-8 or less a block: mean and six standard deviations of a binomial variable."""
+    mean = candidates / blocks
+    return min(candidates, math.ceil(mean + 6 * math.sqrt(mean) + 6))
+
+
+def scan(codes: DataFrame, queries: DataFrame, books: np.ndarray, candidates: int, n_codes: int, n_queries: int, code_block: int = 16384, query_block: int = 1024) -> DataFrame:
+    """(query_id, id, approx): for each query at least the best ``candidates`` entries by lookup tables."""
     n_c, n_q = max(1, -(-n_codes // code_block)), max(1, -(-n_queries // query_block))
+    share = share_of_block(candidates, n_c)
     blocks = codes.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_c)).alias("cb")).agg(F.array_sort(F.collect_list(F.struct("id", "code", "norm"))).alias("entries"))
     asked = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("qb")).agg(F.collect_list(F.struct("query_id", "v")).alias("queries"))
     # Each block of codes goes to each block of queries: one row for a pair, joined on the pair's key.
@@ -140,7 +150,7 @@ def scan(codes: DataFrame, queries: DataFrame, books: np.ndarray, candidates: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
-        for batch in short(batches):
+        for batch in batches:
             for r in range(batch.num_rows):
                 entries, asked = batch.column(0)[r].values, batch.column(1)[r].values
                 ids = entries.field("id").to_numpy()
@@ -152,7 +162,7 @@ def scan(codes: DataFrame, queries: DataFrame, books: np.ndarray, candidates: in
                 for a in range(0, len(v), 32):
                     score = sum(lut[b][a : a + 32].take(code[:, b], axis=1) for b in range(len(lut))) * norm
                     for k, row in enumerate(score):
-                        best = top(row, candidates)
+                        best = top(row, share)
                         out_q.append(np.full(len(best), query_ids[a + k]))
                         out_i.append(ids[best])
                         out_s.append(row[best].astype(np.float64))

@@ -231,7 +231,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, seed: int = 42, radius: int = 3, split: int = 1024) -> DataFrame:
-    """doc_id, key, fp and component_id: the smallest doc_id of all documents reachable over links."""
+    """doc_id, key, fp, component_id (the smallest doc_id of all documents reachable over links) and root,
+    a fingerprint that names the component."""
     marked = checkpointed(fingerprints(docs, size, seed))
     distinct = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     parts = connected_components(links(distinct.select("fp"), radius, split))
@@ -239,24 +240,26 @@ def near_duplicates(docs: DataFrame, size: int = 3, seed: int = 42, radius: int
     member = parts.select(F.col("node").alias("fp"), "root").unionByName(parts.select(F.col("root").alias("fp"), "root").distinct())
     member = checkpointed(member.join(distinct, "fp"))
     low = member.groupBy("root").agg(F.min("first").alias("low"))
-    several = member.join(low, "root").select("fp", "low")
-    known = checkpointed(distinct.join(several, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id")))
-    return marked.join(known, "fp").select("doc_id", "key", "fp", "component_id")
+    several = member.join(low, "root").select("fp", "root", "low")
+    # A component with a root has its smallest id in low, which is null only if none of its rows has an id.
+    component = F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("low"))
+    known = checkpointed(distinct.join(several, "fp", "left").select("fp", component.alias("component_id"), F.coalesce("root", "fp").alias("root")))
+    return marked.join(known, "fp").select("doc_id", "key", "fp", "component_id", "root")
 
 
 def deduplicated(docs: DataFrame, size: int = 3, seed: int = 42, radius: int = 3, split: int = 1024) -> DataFrame:
     """The columns of ``docs`` for one document of each group: the one whose doc_id is the component's.
 
-    Repeated rows stay once. Documents of a group in which none has a doc_id can't be ranked: of them
-    every text stays once. Texts are shuffled once, by what identifies a document.
+    Repeated rows stay once. Of texts that share that doc_id, and of those of a group in which none has
+    one, the one with the smallest hash stays. Texts are shuffled once, by what identifies a document.
     """
     return kept_rows(docs, near_duplicates(docs, size, seed, radius, split))
 
 
 def kept_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """One document of each of the groups (doc_id, key, component_id), as in ``deduplicated``."""
+    """One document of each of the groups (doc_id, key, component_id, root), as in ``deduplicated``."""
     names = ["__id", "__key"]
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    chosen = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(ident.alias("__id"), F.col("key").alias("__key")).distinct()
+    chosen = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("key").alias("__key"), F.first(ident).alias("__id"))
     rows = docs.withColumn("__id", ident).withColumn("__key", F.xxhash64("text"))
-    return rows.join(chosen, names, "left_semi").dropDuplicates(names).select(*docs.columns)
+    return rows.join(chosen.select(*names), names, "left_semi").dropDuplicates(names).select(*docs.columns)

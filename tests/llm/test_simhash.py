@@ -117,3 +117,5 @@ def test_one_document_of_each_group_stays(spark, odd, docs):
     assert sorted(r["doc_id"] for r in S.deduplicated(docs).collect()) == sorted(want)
     none = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (None, "quite another text here")], "doc_id long, text string")
     assert S.deduplicated(none).count() == 2
+    twice = spark.createDataFrame([(1, "one two three four five six"), (1, "one two three four five SIX"), (7, "quite another text here")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in S.deduplicated(twice).collect()) == [1, 7]

@@ -1,6 +1,7 @@
 """The corpus pipeline: quality rules, near-duplicates, secrets, mixing, byte-level BPE.
 
-``run`` applies the stages to documents; each stage works on all rows that the one before it kept.
+``run`` applies the stages to documents; each stage works on all rows that the one before it kept, and
+sees each of them as it was written.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailjobs.llm import bpe, mixing, nearcopies, quality, secrets
-from mailjobs.llm.common import table
+from mailjobs.llm.common import remove, stored, table
 from mailjobs.llm.queries import BPE_FILE, bpe_pattern, vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -56,7 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over documents. What a stage keeps is written to the shared folder once and read by the
+    next one; a stage's rows are deleted when the stage after it has been written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs, path = stored(stage(spark, docs, sf_dir))
+        if before:
+            remove(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)

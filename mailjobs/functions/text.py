@@ -24,30 +24,7 @@ EMOJI = (
 )
 ASCII_PUNCTUATION = r"!-/:-@\[-`{-~"
 NON_TEXT = r"[^\p{IsAlphabetic}\p{N}\p{IsWhite_Space}" + ASCII_PUNCTUATION + EMOJI + "]"
-FOOTER_PHRASES = (
-    r"unsubscribe",
-    r"opt[- ]?out",
-    r"manage\s+(your\s+)?(email\s+)?preferences",
-    r"email\s+preferences",
-    r"update\s+(your\s+)?preferences",
-    r"sent\s+from\s+(my\s+)?(iphone|ipad|android|samsung|galaxy|mobile|outlook)",
-    r"get\s+outlook\s+for",
-    r"this\s+(email|message)\s+(is\s+)?(was\s+)?sent\s+(to|from)",
-    r"confidential(ity)?(\s+notice)?",
-    r"this\s+(e-?mail|message)\s+(and\s+any\s+attachments\s+)?(is|are|may\s+be)\s+(intended|privileged|confidential)",
-    r"if\s+you\s+(are\s+not|have\s+received)\s+(the\s+intended|this\s+(e-?mail|message)\s+in\s+error)",
-    r"please\s+(delete|disregard|notify)",
-    r"privacy\s+policy",
-    r"terms\s+(of\s+service|and\s+conditions)",
-    r"all\s+rights\s+reserved",
-    "©\\s*\\d{4}",
-    "\\d{4}\\s*©",
-    r"view\s+(this\s+)?(email\s+)?in\s+(your\s+)?browser",
-    r"trouble\s+viewing",
-    r"add\s+us\s+to\s+your\s+address\s+book",
-    r"you('re|\s+are)\s+(receiving|getting)\s+this\s+(email|message|because)",
-)
-FOOTER = r"(?iU)(^|\s)(" + "|".join(FOOTER_PHRASES) + ")"
+FOOTER = r"(?iU)(^|\s)(unsubscribe|opt[- ]?out|manage\s+(your\s+)?(email\s+)?preferences|email\s+preferences|update\s+(your\s+)?preferences|sent\s+from\s+(my\s+)?(iphone|ipad|android|samsung|galaxy|mobile|outlook)|get\s+outlook\s+for|this\s+(email|message)\s+(is\s+)?(was\s+)?sent\s+(to|from)|confidential(ity)?(\s+notice)?|this\s+(e-?mail|message)\s+(and\s+any\s+attachments\s+)?(is|are|may\s+be)\s+(intended|privileged|confidential)|if\s+you\s+(are\s+not|have\s+received)\s+(the\s+intended|this\s+(e-?mail|message)\s+in\s+error)|please\s+(delete|disregard|notify)|privacy\s+policy|terms\s+(of\s+service|and\s+conditions)|all\s+rights\s+reserved|©\s*\d{4}|\d{4}\s*©|view\s+(this\s+)?(email\s+)?in\s+(your\s+)?browser|trouble\s+viewing|add\s+us\s+to\s+your\s+address\s+book|you('re|\s+are)\s+(receiving|getting)\s+this\s+(email|message|because))"
 CSS_URL = r"""(?i)url\s*\(\s*(?:"[^"]*"|'[^']*'|[^)]*)\s*\)"""
 CSS_IMPORT = r"""(?i)@import\s+(?:url\s*\([^)]*\)|['"][^'"]*['"])[^;]*;"""
 HEAD, BODY = r"(?is)<head[^>]*>(.*?)</head>", r"(?is)<body[^>]*>(.*?)</body>"

@@ -20,6 +20,20 @@ from .prefix import numbered, running_sum
 HIGH, LOW, BACKGROUND = 0, 1, 2
 
 
+def union_queues(**queues: DataFrame) -> DataFrame:
+    """The items of all queues, each with the name of its queue as stage."""
+    named = [items.withColumn("stage", F.lit(stage)) for stage, items in queues.items()]
+    out = named[0]
+    for other in named[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+def distinct_users(items: DataFrame) -> DataFrame:
+    """The users of a batch of items, each once, in order."""
+    return items.select("user_id").distinct().orderBy("user_id")
+
+
 def latest_ids(messages: DataFrame, processed: DataFrame, now_ms: Column, days: int, n: int) -> DataFrame:
     """The n newest unprocessed ids of each user in the lookback. Spark keeps n of a user in each
     task before it shuffles."""

@@ -17,14 +17,19 @@ from ..operators import users as U
 from ..operators import vectors as V
 from ..sources import batches as A
 from ..sources import tables as ST
-from .registry import DAY_SQL, NOW_SQL, THRESHOLD, day, now, query
+from ..schemas import TABLES
+from .registry import DAY_SQL, NOW_SQL, THRESHOLD, day, now, query, shared_folder
 
 # --- tables and files ---------------------------------------------------------------------------
 
 
 @query("a1_read_tables", "select user_id, count(*) as n, cast(sum(history_id) as bigint) as h from m_email group by 1")
 def _(t):
-    return t("m_email").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("history_id").cast("long").alias("h"))
+    """Emails written as the library's table, and read with its schema."""
+    out, schema, emails = shared_folder(t.spark), TABLES["processed_email"], t("m_email")
+    emails.select(*(F.col(f.name).cast(f.dataType) for f in schema if f.name in emails.columns)).write.parquet(f"{out}/processed_email")
+    emails = ST.read_tables(t.spark, out, ["processed_email"])["processed_email"]
+    return emails.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("history_id").cast("long").alias("h"))
 
 
 _BODY = """'{"choices":[{"message":{"content":' || to_json(content) || '}}],"usage":{"total_tokens":' || total_tokens || '}}'"""
@@ -246,9 +251,9 @@ def _(t):
     return D.label_priorities(t("m_email").select(F.col("category").alias("mail_label"), (F.col("user_id") % 7).alias("priority"), F.col("history_id").alias("id")))
 
 
-@query("d12_users_with_rules", "select u.id, u.email, r.priority, coalesce(case when r.user_id is not null then timestamp '2020-01-01' + to_days(cast(r.user_id % 30 as integer)) end, timestamp '0001-01-01')::varchar as last_updated from m_user u left join m_user_rule r on r.user_id = u.id where u.id % 4 = 0")
+@query("d12_users_with_rules", "select u.id, u.email, r.priority, coalesce(case when r.user_id is not null then timestamp '2020-01-01' + to_days(cast(r.user_id % 30 as integer)) end, timestamp '0001-01-01')::varchar as last_updated from m_user u left join m_user_rule r on r.user_id = u.id")
 def _(t):
-    users, rules = t("m_user").where("id % 4 = 0"), t("m_user_rule").withColumn("updated_at", F.expr("timestamp_ntz'2020-01-01' + make_dt_interval(cast(user_id % 30 as int))"))
+    users, rules = t("m_user"), t("m_user_rule").withColumn("updated_at", F.expr("timestamp_ntz'2020-01-01' + make_dt_interval(cast(user_id % 30 as int))"))
     owners = D.users_with_rules(users, rules).select("id").withColumn("owner", F.lit(True))
     own = D.rules_for(users, rules).select(F.col("user_id").alias("id"), "priority")
     return users.select("id", "email").join(owners, "id", "left").join(own, "id", "left").join(D.rules_last_updated(users, rules), "id").select("id", "email", "priority", F.col("last_updated").cast("string").alias("last_updated"))
@@ -564,13 +569,13 @@ def _(t):
 
 @query("u1_union_queues", "select email_id, case stage_no when 0 then 'pending' else 'main' end as stage from m_item where stage_no < 2")
 def _(t):
-    queue = lambda k, name: t("m_item").where(F.col("stage_no") == k).select("email_id", F.lit(name).alias("stage"))
-    return queue(0, "pending").unionByName(queue(1, "main"))
+    queue = lambda k: t("m_item").where(F.col("stage_no") == k).select("email_id")
+    return W.union_queues(pending=queue(0), main=queue(1))
 
 
 @query("u2_distinct_users", "select distinct user_id from m_item")
 def _(t):
-    return t("m_item").select("user_id").distinct().orderBy("user_id")
+    return W.distinct_users(t("m_item"))
 
 
 @query("u3_rules_differ", "select count(*) as n_emails, true as differ, false as same from m_email")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +28,15 @@ def day() -> Column:
     return F.expr(DAY_SQL)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all machines see, under spark.checkpoint.dir. Only a local session may leave that
+    unset and gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='mailjobs-')}/streams/{uuid.uuid4().hex}"
+
+
 def query(name: str, sql: str | None = None):
     """Registers a function of Tables as a query, with SQL over the views where there is one."""
 

@@ -3,9 +3,6 @@ the initial scan."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,16 +10,10 @@ from ..sources import messages as MS
 from ..streaming import jobs as J
 from ..streaming import ttl as TT
 from . import initial_scan as IS
-from .registry import THRESHOLD, now, query
+from .registry import THRESHOLD, now, query, shared_folder
 from .text_queries import CLEAN_SQL
 
 
-def shared_folder(spark) -> str:
-    """A new folder that all machines see: under spark.checkpoint.dir, or a temporary one if unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mailjobs-")
-    return f"{base}/streams/{uuid.uuid4().hex}"
-
-
 def drain(t, name: str, shape, job) -> str:
     """Runs a micro-batch job over all of a table as a stream, once, and returns its output folder."""
     spark, out = t.spark, shared_folder(t.spark)

@@ -145,6 +145,11 @@ def _(t):
     return t("documents").select("doc_id", count_tokens(F.col("text"), lambda: lambda s: s.split(" ")).alias("n"))
 
 
+@query("b21_public_tokens")
+def _(t):
+    return t("documents").select("doc_id", count_tokens(F.col("text")).alias("n"))
+
+
 _CAT = X.CATEGORIZE.replace("'", "''").replace("%s", "{}")
 _TASK = X.EXTRACT_TASKS.replace("'", "''").replace("%s", "{}")
 _SYS = X.SYSTEM.replace("'", "''").replace("%s", "{}")
@@ -186,6 +191,7 @@ def _(t):
     return out.select("user_id", "batch", F.array_join(F.array_sort("chunks"), "|").alias("chunks"))
 
 
-@query("c8_should_embed", "select id, priority from m_system_rule where priority >= 2")
+@query("c8_should_embed", "select e.id, r.priority from m_email e join m_system_rule r on r.semantic_key = e.ai_answer where r.priority >= 2")
 def _(t):
-    return K.should_embed(t("m_system_rule").select("id", "priority"))
+    rules = t("m_system_rule").select(F.col("semantic_key").alias("ai_answer"), "priority")
+    return K.should_embed(t("m_email").join(rules, "ai_answer").select("id", "priority"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, short
+from .common import checkpointed, short, stored
 from .simhash import _lower, _words, connected_components, kept_rows
 
 #: Against rounding in products of the similarity with sizes; errs on the side of more candidates.
@@ -193,16 +193,50 @@ def candidates(rows: DataFrame, similarity: float, split: int = 1024) -> DataFra
     return both
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """How many shingles of a set begin with each value of as many bits as number them: a byte each. Empty
+    where a byte can't hold a count."""
+    bits = max(6, int(len(found) - 1).bit_length())
+    counts = np.bincount((found.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def may_reach(x: bytes, y: bytes, n: int, m: int, similarity: float) -> bool:
+    """Whether sketches leave it open that sets of n and m shingles have the similarity: these can't have
+    more in common than the sum of the lesser counts."""
+    if not x or not y:
+        return True
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    size = min(len(a), len(b))
+    both = int(np.minimum(a.reshape(size, -1).sum(axis=1), b.reshape(size, -1).sum(axis=1)).sum())
+    return both >= similarity / (1 + similarity) * (n + m) - SLACK
+
+
 def sets_of(docs: DataFrame, sids: DataFrame, marked: DataFrame, size: int) -> DataFrame:
-    """sid and ``words`` (the set as bytes) of the given sets."""
+    """sid, n, ``sketch`` and ``words`` (the set as bytes) of the given sets."""
     keys = marked.join(sids, "sid").groupBy("sid").agg(F.min("key").alias("key"))
     texts = docs.select(F.xxhash64("text").alias("key"), "text").join(keys, "key").select("sid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in short(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), size).tobytes() for t in batch.column(1)], pa.binary())], names=["sid", "words"])
+            sets = [shingles(t.as_py(), size) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(map(sketch, sets), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["sid", "n", "sketch", "words"])
+
+    return texts.mapInArrow(run, "sid long, n int, sketch binary, words binary").dropDuplicates(["sid"])
+
+
+def likely(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that the sets' sketches leave open: an eighth of the sets' bytes or so is moved
+    instead of the sets, and few pairs that aren't linked are left."""
+    left = sets.select(F.col("sid").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("x"))
+    right = sets.select(F.col("sid").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in short(batches):
+            keep = pa.array([may_reach(x.as_py(), y.as_py(), n, m, similarity) for x, y, n, m in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    return texts.dropDuplicates(["sid"]).mapInArrow(run, "sid long, words binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "n1", "n2").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -228,7 +262,8 @@ def links(docs: DataFrame, marked: DataFrame, size: int = 5, similarity: float =
     frequent = frequent_shingles(docs, size, marked.count())
     pairs = candidates(prefixes(docs, size, similarity, frequent), similarity, split)
     sids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    sets = checkpointed(sets_of(docs, sids, marked, size))
+    sets, _ = stored(sets_of(docs, sids, marked, size))
+    pairs = checkpointed(likely(pairs, sets, similarity))
     first = checkpointed(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, similarity))
     parts = connected_components(first)
     known = parts.unionByName(parts.select(F.col("root").alias("node"), "root").distinct())

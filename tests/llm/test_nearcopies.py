@@ -55,3 +55,23 @@ def test_stage_equals_brute_force(spark, sf):
     want = brute([(r["doc_id"], r["text"]) for r in docs.collect()])
     got = C.near_duplicates(spark, docs, sf).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(i for i, low in want.items() if i == low)
+
+
+def test_sketches_rule_out_no_pair_of_the_similarity():
+    import numpy as np
+
+    from mailjobs.llm import nearcopies as N
+
+    rng = np.random.default_rng(6)
+    ruled_out = 0
+    for _ in range(300):
+        x = np.unique(rng.integers(-(1 << 63), 1 << 63, rng.integers(1, 400), dtype=np.int64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.choice([0.3, 0.9])], rng.integers(-(1 << 63), 1 << 63, rng.integers(0, 60), dtype=np.int64)]))
+        if not len(y):
+            continue
+        both = len(np.intersect1d(x, y))
+        open_ = N.may_reach(N.sketch(x), N.sketch(y), len(x), len(y), 0.8)
+        assert open_ or both < 0.8 * (len(x) + len(y) - both)
+        ruled_out += not open_
+    assert ruled_out > 50
+    assert N.sketch(np.arange(1000, dtype=np.int64)) == b"" and N.may_reach(b"", b"", 1, 9, 0.8)

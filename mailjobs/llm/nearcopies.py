@@ -3,8 +3,8 @@
 A text is the set of its shingles' hashes. All sets share one order of shingles, frequent ones last. Two
 sets of similarity t or more must have a shingle in common among the first n - ceil(t n) + 1 of both
 (prefix filter), so bucketing by these finds every pair; no radius or number of hash functions trades
-recall for time. Sizes and places in the prefix rule most pairs of a bucket out, the rest are candidates
-and are verified by the exact similarity of their whole sets.
+recall for time. Sizes and places in the prefix rule most pairs of a bucket out, sketches of the sets most
+of the rest, and what is left is verified by the exact similarity of the whole sets.
 
 Scale: equal sets are one entry; which shingles are frequent is estimated on a sample, which decides how
 many candidates there are but never which pairs are linked; buckets of more than ``split`` rows are dealt
@@ -215,14 +215,14 @@ def may_reach(x: bytes, y: bytes, n: int, m: int, similarity: float) -> bool:
 def sets_of(docs: DataFrame, sids: DataFrame, marked: DataFrame, size: int) -> DataFrame:
     """sid, n, ``sketch`` and ``words`` (the set as bytes) of the given sets."""
     keys = marked.join(sids, "sid").groupBy("sid").agg(F.min("key").alias("key"))
-    texts = docs.select(F.xxhash64("text").alias("key"), "text").join(keys, "key").select("sid", "text")
+    texts = docs.select(F.xxhash64("text").alias("key"), "text").join(keys, "key").dropDuplicates(["key"]).select("sid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in short(batches):
             sets = [shingles(t.as_py(), size) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(map(sketch, sets), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["sid", "n", "sketch", "words"])
 
-    return texts.mapInArrow(run, "sid long, n int, sketch binary, words binary").dropDuplicates(["sid"])
+    return texts.mapInArrow(run, "sid long, n int, sketch binary, words binary")
 
 
 def likely(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

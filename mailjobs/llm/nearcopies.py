@@ -263,7 +263,10 @@ def links(docs: DataFrame, marked: DataFrame, size: int = 5, similarity: float =
     pairs = candidates(prefixes(docs, size, similarity, frequent), similarity, split)
     sids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     sets, _ = stored(sets_of(docs, sids, marked, size))
-    pairs = checkpointed(likely(pairs, sets, similarity))
+    pairs, _ = stored(likely(pairs, sets, similarity))
+    # Only the sets of pairs that are left go on; as a file, their ids are broadcast while they are few.
+    wanted, _ = stored(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct())
+    sets, _ = stored(sets.select("sid", "words").join(wanted, "sid", "left_semi"))
     first = checkpointed(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, similarity))
     parts = connected_components(first)
     known = parts.unionByName(parts.select(F.col("root").alias("node"), "root").distinct())

@@ -1,10 +1,16 @@
-"""Near copies by Jaccard similarity of word shingles, complete and exact.
+"""Near copies: SimHash comparison, then the exact Jaccard similarity of word shingles.
 
-A text is the set of its shingles' hashes. All sets share one order of shingles, frequent ones last. Two
-sets of similarity t or more must have a shingle in common among the first n - ceil(t n) + 1 of both
-(prefix filter), so bucketing by these finds every pair; no radius or number of hash functions trades
-recall for time. Sizes and places in the prefix rule most pairs of a bucket out, sketches of the sets most
-of the rest, and what is left is verified by the exact similarity of the whole sets.
+A text is the set of its shingles' hashes, and its fingerprint the SimHash of that set. At a similarity of
+0.8 fingerprints lie about 10 bits apart and up to 20, too far for blocks of equal bits, so buckets are
+formed by shingles instead. All sets share one order of shingles, frequent ones last. Two sets of similarity
+t or more must have a shingle in common among the first n - ceil(t n) + 1 of both (prefix filter). Inside a
+bucket fingerprints are compared bit by bit as in ``simhash`` (planes, carry-save counters, blocks abandoned
+beyond the radius); sizes and places in the prefix rule out more, sketches of the sets most of the rest, and
+what is left is verified by the exact similarity of the whole sets.
+
+Every step but the fingerprints' radius is exact. Of sets of ``SHORT`` shingles or more at similarity 0.8 a
+bit differs with a probability of 0.154 at most, more than ``RADIUS`` of 64 bits with one of about 1e-8, less
+for nearer ones; shorter sets are compared without fingerprints.
 
 Scale: equal sets are one entry; which shingles are frequent is estimated on a sample, which decides how
 many candidates there are but never which pairs are linked; buckets of more than ``split`` rows are dealt
@@ -28,10 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import checkpointed, short, stored
-from .simhash import _lower, _words, connected_components, kept_rows
+from .simhash import _lower, _words, connected_components, kept_rows, linked, over_half
 
 #: Against rounding in products of the similarity with sizes; errs on the side of more candidates.
 SLACK = 1e-9
+#: Bits that fingerprints of near copies may differ in, and the size of sets from which they are used.
+RADIUS, SHORT = 28, 64
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
@@ -66,16 +74,23 @@ def _flat(batch_sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(sizes)), sizes), np.concatenate([np.empty(0, np.int64), *batch_sets])
 
 
+def set_fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set, as a signed long."""
+    return int(np.uint64(over_half(found.view(np.uint8).reshape(-1, 8))).view(np.int64)) if len(found) else 0
+
+
 def marked_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, key (a hash of the text) and ``sid`` (a hash of the set) of every row."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("key", T.LongType()), T.StructField("sid", T.LongType())])
+    """doc_id, key (a hash of the text), ``sid`` (a hash of the set), n (its size) and ``sketch`` of every
+    row."""
+    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("key", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("sketch", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in short(batches):
-            ids = pa.array([set_id(shingles(t.as_py(), size)) for t in batch.column(2)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=["doc_id", "key", "sid"])
+            sets = [shingles(t.as_py(), size) for t in batch.column(2)]
+            new = [pa.array(map(set_id, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(sketch, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], names=["doc_id", "key", "sid", "n", "sketch"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, schema)
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, T.StructType(fields))
 
 
 def frequent_shingles(docs: DataFrame, size: int, n_rows: int, sample_rows: int = 2_000, least: int = 3, limit: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +110,7 @@ def frequent_shingles(docs: DataFrame, size: int, n_rows: int, sample_rows: int
 
 
 def prefixes(docs: DataFrame, size: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """h, n (size of the set), sid and pos for every shingle of every set's prefix."""
+    """h, n (size of the set), sid, pos and fp for every shingle of every set's prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in short(batches):
@@ -103,23 +118,19 @@ def prefixes(docs: DataFrame, size: int, similarity: float, frequent: tuple[np.n
             sets = [x for x in sets if len(x)]
             first = [prefix(x, similarity, *frequent) for x in sets]
             row, h = _flat(first)
-            n, sid = np.array([len(x) for x in sets], dtype=np.int32), np.array([set_id(x) for x in sets], dtype=np.int64)
+            n, sid, fp = (np.array(list(map(of, sets)), dtype=t) for of, t in ((len, np.int32), (set_id, np.int64), (set_fingerprint, np.int64)))
             pos = np.concatenate([np.empty(0, np.int32), *(np.arange(len(x), dtype=np.int32) for x in first)])
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n[row]), pa.array(sid[row]), pa.array(pos)], names=["h", "n", "sid", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n[row]), pa.array(sid[row]), pa.array(pos), pa.array(fp[row])], names=["h", "n", "sid", "pos", "fp"])
 
-    return docs.select("text").mapInArrow(run, "h long, n int, sid long, pos int")
+    return docs.select("text").mapInArrow(run, "h long, n int, sid long, pos int, fp long")
 
 
-def paired(bucket: np.ndarray, n: np.ndarray, sid: np.ndarray, pos: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def paired(bucket: np.ndarray, n: np.ndarray, sid: np.ndarray, pos: np.ndarray, fp: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """The candidate pairs (a, b), a < b, of rows sorted by bucket and n."""
-    out = [np.empty((0, 2), dtype=np.int64)]
-    rows, ahead, waiting = np.arange(len(sid)), 0, 0
-    while len(rows):
-        ahead += 1
-        rows = rows[rows + ahead < len(sid)]
-        other = rows + ahead
-        near = (bucket[rows] == bucket[other]) & (n[rows] >= similarity * n[other] - SLACK)
-        rows, other = rows[near], other[near]
+    out, waiting = [np.empty((0, 2), dtype=np.int64)], 0
+
+    def add(rows: np.ndarray, other: np.ndarray) -> None:
+        nonlocal out, waiting
         need = similarity / (1 + similarity) * (n[rows].astype(np.int64) + n[other]) - SLACK
         left = np.minimum(pos[rows], pos[other]) + np.minimum(n[rows] - pos[rows], n[other] - pos[other])
         good = (left >= need) & (sid[rows] != sid[other])
@@ -128,23 +139,41 @@ def paired(bucket: np.ndarray, n: np.ndarray, sid: np.ndarray, pos: np.ndarray,
         waiting += len(a)
         if waiting > 1 << 20:
             out, waiting = [np.unique(np.concatenate(out), axis=0)], 0
+
+    # The short sets, each against those of its bucket that aren't too long for it.
+    rows, ahead = np.flatnonzero(n < SHORT), 0
+    while len(rows):
+        ahead += 1
+        rows = rows[rows + ahead < len(sid)]
+        other = rows + ahead
+        near = (bucket[rows] == bucket[other]) & (n[rows] >= similarity * n[other] - SLACK)
+        rows, other = rows[near], other[near]
+        add(rows, other)
+    # All others by their fingerprints, in buckets of several.
+    rows = np.flatnonzero(n >= SHORT)
+    same = bucket[rows][1:] == bucket[rows][:-1]
+    rows = rows[np.append(False, same) | np.append(same, False)] if len(rows) else rows
+    if len(rows):
+        starts = np.flatnonzero(np.append(True, bucket[rows][1:] != bucket[rows][:-1]))
+        i, j = linked(fp[rows].view(np.uint64), starts, RADIUS)
+        add(rows[i], rows[j])
     both = np.unique(np.concatenate(out), axis=0)
     return both[:, 0], both[:, 1]
 
 
 def _bucket_partition(similarity: float, split: int):
-    """Reads rows (h, lo, hi, n, sid, pos) sorted in this order and yields the candidates (a, b) of every
+    """Reads rows (h, lo, hi, n, sid, pos, fp) sorted in this order and yields the candidates (a, b) of every
     bucket (h, lo, hi). With ``split``, buckets of more sets than that are handed back instead: their
-    rows come out with b null and h, n and pos filled in."""
-    names = ["a", "b", "h", "n", "pos"]
+    rows come out with b null and the other columns filled in."""
+    names = ["a", "b", "h", "n", "pos", "fp"]
 
     def pairs(part: list[np.ndarray], bucket: np.ndarray) -> pa.RecordBatch:
         a, b = paired(bucket, *part[3:], similarity)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(len(a), t) for t in (pa.int64(), pa.int32(), pa.int32()))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(len(a), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=names)
 
     def rows(part: list[np.ndarray]) -> pa.RecordBatch:
-        h, _, _, n, sid, pos = part
-        return pa.RecordBatch.from_arrays([pa.array(sid), pa.nulls(len(sid), pa.int64()), pa.array(h), pa.array(n), pa.array(pos)], names=names)
+        h, _, _, n, sid, pos, fp = part
+        return pa.RecordBatch.from_arrays([pa.array(sid), pa.nulls(len(sid), pa.int64()), pa.array(h), pa.array(n), pa.array(pos), pa.array(fp)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
@@ -177,20 +206,18 @@ def _bucket_partition(similarity: float, split: int):
 
 def candidates(rows: DataFrame, similarity: float, split: int = 1024) -> DataFrame:
     """Distinct pairs (a, b) of set ids that a bucket of ``rows`` (prefixes) doesn't rule out."""
-    spark = rows.sparkSession
-    out = "a long, b long, h long, n int, pos int"
+    out = "a long, b long, h long, n int, pos int, fp long"
     cols = ["h", "lo", "hi", "n", "sid"]
     one = F.lit(0)
-    found = checkpointed(rows.repartition("h").select("h", one.alias("lo"), one.alias("hi"), "n", "sid", "pos").sortWithinPartitions(*cols).mapInArrow(_bucket_partition(similarity, split), out))
+    found = checkpointed(rows.repartition("h").select("h", one.alias("lo"), one.alias("hi"), "n", "sid", "pos", "fp").sortWithinPartitions(*cols).mapInArrow(_bucket_partition(similarity, split), out))
     # Buckets over the limit: their rows are dealt into parts, and each pair of parts is one task.
-    back = found.where("b is null").select("h", "n", F.col("a").alias("sid"), "pos").distinct()
+    back = found.where("b is null").select("h", "n", F.col("a").alias("sid"), "pos", "fp").distinct()
     hot = back.groupBy("h").agg(F.ceil((F.count(F.lit(1)) + 1) / split).cast("int").alias("parts"))
     dealt = back.join(hot, "h").withColumn("own", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("parts")).cast("int"))
     others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("own")))
-    dealt = dealt.withColumn("other", F.explode(others)).select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "n", "sid", "pos")
+    dealt = dealt.withColumn("other", F.explode(others)).select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "n", "sid", "pos", "fp")
     more = dealt.repartition("h", "lo", "hi").sortWithinPartitions(*cols).mapInArrow(_bucket_partition(similarity, 0), out)
-    both = checkpointed(found.where("b is not null").select("a", "b").unionByName(more.select("a", "b")).distinct())
-    return both
+    return stored(found.where("b is not null").select("a", "b").unionByName(more.select("a", "b")).distinct())[0]
 
 
 def sketch(found: np.ndarray) -> bytes:
@@ -212,22 +239,27 @@ def may_reach(x: bytes, y: bytes, n: int, m: int, similarity: float) -> bool:
     return both >= similarity / (1 + similarity) * (n + m) - SLACK
 
 
+def members(pairs: DataFrame) -> DataFrame:
+    """The set ids (sid) of pairs, as a file: while they are few, Spark broadcasts them."""
+    return stored(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())[0]
+
+
 def sets_of(docs: DataFrame, sids: DataFrame, marked: DataFrame, size: int) -> DataFrame:
-    """sid, n, ``sketch`` and ``words`` (the set as bytes) of the given sets."""
-    keys = marked.join(sids, "sid").groupBy("sid").agg(F.min("key").alias("key"))
+    """sid and ``words`` (the set as bytes) of the given sets, each from one of its texts."""
+    keys, _ = stored(marked.join(sids, "sid").groupBy("sid").agg(F.min("key").alias("key")))
     texts = docs.select(F.xxhash64("text").alias("key"), "text").join(keys, "key").dropDuplicates(["key"]).select("sid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in short(batches):
-            sets = [shingles(t.as_py(), size) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(map(sketch, sets), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["sid", "n", "sketch", "words"])
+            words = pa.array([shingles(t.as_py(), size).tobytes() for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), words], names=["sid", "words"])
 
-    return texts.mapInArrow(run, "sid long, n int, sketch binary, words binary")
+    return texts.mapInArrow(run, "sid long, words binary")
 
 
 def likely(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that the sets' sketches leave open: an eighth of the sets' bytes or so is moved
-    instead of the sets, and few pairs that aren't linked are left."""
+    """The pairs (a, b) that the sets' sketches (sid, n, sketch) leave open: an eighth of the sets' bytes or
+    so is moved instead of the sets, and few pairs that aren't linked are left."""
     left = sets.select(F.col("sid").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("x"))
     right = sets.select(F.col("sid").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("y"))
 
@@ -261,12 +293,9 @@ def links(docs: DataFrame, marked: DataFrame, size: int = 5, similarity: float =
     """Verified edges (a, b) between set ids that connect whatever pairs of the similarity connect."""
     frequent = frequent_shingles(docs, size, marked.count())
     pairs = candidates(prefixes(docs, size, similarity, frequent), similarity, split)
-    sids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    sets, _ = stored(sets_of(docs, sids, marked, size))
-    pairs, _ = stored(likely(pairs, sets, similarity))
-    # Only the sets of pairs that are left go on; as a file, their ids are broadcast while they are few.
-    wanted, _ = stored(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct())
-    sets, _ = stored(sets.select("sid", "words").join(wanted, "sid", "left_semi"))
+    sketches = marked.join(members(pairs), "sid", "left_semi").select("sid", "n", "sketch").dropDuplicates(["sid"])
+    pairs, _ = stored(likely(pairs, sketches, similarity))
+    sets, _ = stored(sets_of(docs, members(pairs), marked, size))
     first = checkpointed(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, similarity))
     parts = connected_components(first)
     known = parts.unionByName(parts.select(F.col("root").alias("node"), "root").distinct())
@@ -279,7 +308,7 @@ def links(docs: DataFrame, marked: DataFrame, size: int = 5, similarity: float =
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, split: int = 1024) -> DataFrame:
     """doc_id, key, component_id (the smallest doc_id of all documents reachable over links) and root, a
     set id that names the component."""
-    marked = checkpointed(marked_sets(docs, size))
+    marked, _ = stored(marked_sets(docs, size))
     parts = connected_components(links(docs, marked, size, similarity, split))
     named = marked.join(parts.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     low = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

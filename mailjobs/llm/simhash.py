@@ -49,9 +49,13 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
         shingles = iter([b" ".join(words)])
     else:
         shingles = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False))
-    data = np.frombuffer(b"".join(map(xxh64_digest, shingles, repeat(seed))), dtype=np.uint8).reshape(-1, 8)
-    set_bits = np.concatenate([np.bincount(data[:, 7 - k], minlength=256) @ BITS for k in range(8)])
-    return int(np.packbits(2 * set_bits > len(data), bitorder="little").view("<u8")[0])
+    return over_half(np.frombuffer(b"".join(map(xxh64_digest, shingles, repeat(seed))), dtype=np.uint8).reshape(-1, 8))
+
+
+def over_half(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes, rows of eight bytes, highest first."""
+    set_bits = np.concatenate([np.bincount(hashes[:, 7 - k], minlength=256) @ BITS for k in range(8)])
+    return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, neighbours, pages, quality, secrets, simhash, substrings, urls
+from . import bpe, langid, mixing, neighbours, pages, quality, secrets, simhash, substrings, tokencounts, urls
 from .common import table
 
 #: Where the public vocabularies lie, by the package that ships them.
 BPE_FILE = "byte_bpe_50k.tiktoken"
 PIECES_FILE = "piece_bpe_32k.model"
+COUNTED_FILE = "byte_bpe_50k.json"
 
 
 def vocabulary(name: str) -> str:
@@ -96,6 +97,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_removed", "n_removed_chars", "kept_chars", spans.alias("removed_spans"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.count_tokens(table(spark, sf_dir, "documents"), vocabulary(COUNTED_FILE), bpe_pattern())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -108,5 +113,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_token_counts": op11_token_counts,
         "quality_ablations": quality_ablations,
     }

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, neighbours, pages, quality, secrets, simhash, substrings, tokencounts, urls
-from .common import table
+from . import bpe, langid, mixing, neighbours, pages, quality, runs, secrets, simhash, substrings, tokencounts, urls
+from .common import WORD, let, table
 
 #: Where the public vocabularies lie, by the package that ships them.
 BPE_FILE = "byte_bpe_50k.tiktoken"
@@ -101,6 +101,33 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_tokens(table(spark, sf_dir, "documents"), vocabulary(COUNTED_FILE), bpe_pattern())
 
 
+def looped(docs: DataFrame) -> DataFrame:
+    """doc_id and text, of which the contract makes every tenth document periodic from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+
+    def repeat(w):
+        n = F.size(w).cast("long")
+        a = F.pmod(g, n)
+        bounds = F.struct(a.alias("a"), (F.floor((n - a) / (g % 8 + 3)) + 1).alias("p"))
+        place = lambda b, i: F.when(i < b["a"], i).otherwise(b["a"] + (i - b["a"]) % b["p"]).cast("int")
+        return let(bounds, lambda b: F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(w, place(b, i))), " "))
+
+    again = F.when((h % 10 == 0) & F.col("text").rlike(WORD), let(words, repeat)).otherwise(F.col("text"))
+    return docs.select("doc_id", again.alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find(looped(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("less"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), sha(lines).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"))
+    start, length, period = -F.col("best.back"), F.col("best.length"), -F.col("best.less")
+    return rows.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.floor(length * 1000 / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -114,5 +141,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_byte_bpe": op9_byte_bpe,
         "op10_substring_dedup": op10_substring_dedup,
         "op11_token_counts": op11_token_counts,
+        "op13_periodic_runs": op13_periodic_runs,
         "quality_ablations": quality_ablations,
     }

@@ -247,6 +247,18 @@ from d left join per using (k) left join tests using (k)
 """
 
 
+_HARD_NEGATIVES = """
+with r as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as alike, cast(list_inner_product(a.v, b.v) as bigint) as score from r a join r b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0
+), p as (select * from s where alike qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, p.vec_id as positive_id, cast(row_number() over (partition by p.anchor_id, p.vec_id order by s.score desc, s.vec_id) as integer) as rank, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not s.alike and 80 * p.score <= 100 * s.score and 100 * s.score <= 100 * p.score qualify rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filter": _URLS,
@@ -255,5 +267,6 @@ def oracle_sql() -> dict[str, str]:
         + "select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 as base_failed, fail_bits = 0 as kept, cast(fail_bits as bigint) as fail_bits from b",
         "op8_secret_scan": _secrets(),
         "op10_substring_dedup": _SUBSTRINGS,
+        "op12_hard_negatives": _HARD_NEGATIVES,
         "quality_ablations": _ablations(),
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, neighbours, pages, quality, runs, secrets, simhash, substrings, tokencounts, urls
+from . import bpe, hardnegatives, langid, mixing, neighbours, pages, quality, runs, secrets, simhash, substrings, tokencounts, urls
 from .common import WORD, let, table
 
 #: Where the public vocabularies lie, by the package that ships them.
@@ -101,6 +101,11 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_tokens(table(spark, sf_dir, "documents"), vocabulary(COUNTED_FILE), bpe_pattern())
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardnegatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
 def looped(docs: DataFrame) -> DataFrame:
     """doc_id and text, of which the contract makes every tenth document periodic from some word on."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -141,6 +146,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_byte_bpe": op9_byte_bpe,
         "op10_substring_dedup": op10_substring_dedup,
         "op11_token_counts": op11_token_counts,
+        "op12_hard_negatives": op12_hard_negatives,
         "op13_periodic_runs": op13_periodic_runs,
         "quality_ablations": quality_ablations,
     }

@@ -9,32 +9,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Pieces that the whole range of the order column is cut into.
-PIECES = 64
+from ..sources.stored import computed_once
 
+#: Rows of a piece, about.
+ROWS = 1 << 18
 
-def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, pieces: int = PIECES, inclusive: bool = True) -> DataFrame:
-    """Adds the sum of ``value`` over a key's rows up to each row in ``order``, with it or without.
 
-    The first order column is numeric; its approximate quantiles (so many numbers reach the driver) cut
-    all keys alike, so rows with equal values stay together and the result is exact.
+def in_pieces(df: DataFrame, keys: list[str], order: list[str], pieces: int | None = None, rows: int = ROWS) -> DataFrame:
+    """Adds ``__piece``: ranges of rows by keys and order, of nearly equal size wherever a key's rows lie.
+
+    The input is computed once. Their number follows the number of rows; Spark samples the bounds. Rows
+    equal in keys and order share a piece, so the order should tell a key's rows apart.
     """
-    lead = F.col(order[0]).cast("double")
-    cuts = sorted(set(df.agg(F.percentile_approx(lead, [k / pieces for k in range(1, pieces)], 1000)).first()[0] or []))
-    piece = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < lead)) if cuts else F.lit(0)
-    rows = df.withColumn("__piece", piece).withColumn("__value", value.cast("long"))
+    once = computed_once(df)
+    if pieces is None:
+        slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pieces = max(slots, -(-once.count() // rows))
+    return computed_once(once.repartitionByRange(pieces, *keys, *order).withColumn("__piece", F.spark_partition_id()))
+
+
+def summed(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str, inclusive: bool = True) -> DataFrame:
+    """Adds to rows in pieces the sum of ``value`` over a key's rows up to each row, with it or without.
+    ``rows`` should be computed already: they are read for the sums and for the totals."""
+    rows = rows.withColumn("__value", value.cast("long"))
     inside = Window.partitionBy(*keys, "__piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn(name, F.sum("__value").over(inside) - (F.lit(0) if inclusive else F.col("__value")))
     totals = rows.groupBy(*keys, "__piece").agg(F.sum("__value").alias("__total"))
     before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__piece").alias("__of"), F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__offset"))
     same = F.col("__piece") == F.col("__of")
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return rows.join(offsets, same).select(*df.columns, (F.col(name) + F.col("__offset")).alias(name))
+    own = F.lit(0) if inclusive else F.coalesce(F.col("__value"), F.lit(0))
+    sums = rows.withColumn(name, F.coalesce(F.sum("__value").over(inside), F.lit(0)) - own)
+    return sums.join(offsets, same).select(*(c for c in rows.columns if c not in (name, "__value")), (F.col(name) + F.col("__offset")).alias(name))
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, pieces: int | None = None, inclusive: bool = True) -> DataFrame:
+    """Adds the sum of ``value`` over a key's rows up to each row in ``order``, with it or without."""
+    return summed(in_pieces(df, keys, order, pieces), keys, order, value, name, inclusive).select(*df.columns, name)
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, pieces: int = PIECES) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, pieces: int | None = None) -> DataFrame:
     """Adds each row's position in its key, from 1."""
     return running_sum(df, keys, order, F.lit(1), name, pieces)
 

@@ -177,6 +177,13 @@ def rules_differ(a: DataFrame, b: DataFrame) -> bool:
     return not (a.subtract(b).isEmpty() and b.subtract(a).isEmpty())
 
 
+def changed_rules(a: DataFrame, b: DataFrame, by: str = "user_id") -> DataFrame:
+    """by, differ for each value of ``by`` in either: whether the two hold other sets of rules for it."""
+    rows = lambda d, k: d.select(by, *RULE, F.lit(k).alias("__side")).distinct()
+    sides = rows(a, 1).unionByName(rows(b, 2)).groupBy(by, *RULE).agg(F.sum("__side").alias("__sides"))
+    return sides.groupBy(by).agg(F.bool_or(F.col("__sides") != 3).alias("differ"))
+
+
 def sync_rules(existing: DataFrame, config: DataFrame) -> tuple[DataFrame, int | None]:
     """The rules to keep, and how many were written: None if nothing changed."""
     return (config, config.count()) if rules_differ(existing, config) else (existing, None)

@@ -1,21 +1,18 @@
 """Order and admission of work.
 
 A mailbox may hold a large part of all rows, so positions and sums are computed in pieces of it
-(``prefix``); only mixed priorities, where each admission depends on the ones before, stream a user's
-narrow rows through one task.
+(``prefix``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import computed_once
 from ..sources.tables import first_of
 from .emails import lookback_filter, unprocessed_ids
-from .prefix import numbered, running_sum
+from .prefix import in_pieces, numbered, running_sum, summed
 
 HIGH, LOW, BACKGROUND = 0, 1, 2
 
@@ -104,29 +101,19 @@ def quota_admission(items: DataFrame, order: str) -> DataFrame:
 
 
 def admit_mixed(items: DataFrame, order: str) -> DataFrame:
-    """Admission with priorities: low ones are passed over once half of the quota is used, and use
-    nothing. Sequential inside a user, so each task streams its users' sorted rows and holds one
-    number. ``items``: user_id, order, estimate, quota, used, priority."""
-    rows = items.select("user_id", order, "estimate", "quota", "used", "priority")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, used, stopped = object(), 0, False
-        for batch in batches:
-            keep = []
-            for row in batch.itertuples(index=False):
-                if row.user_id != user:
-                    user, used, stopped = row.user_id, row.used, False
-                if stopped or used >= row.quota:
-                    stopped = True
-                    keep.append(False)
-                elif row.priority == LOW and used > row.quota // 2:
-                    keep.append(False)
-                elif row.estimate > row.quota - used + row.quota // 100:
-                    stopped = True
-                    keep.append(False)
-                else:
-                    used += row.estimate
-                    keep.append(True)
-            yield batch[keep]
-
-    return rows.repartition("user_id").sortWithinPartitions("user_id", order).mapInPandas(run, rows.schema)
+    """Admission with priorities: low ones are passed over once more than half of the quota is used, and use
+    nothing. ``items``: user_id, order, estimate (not negative), quota, used, priority.
+
+    Until the half is passed every item counts, after it only those that aren't low. So the items that count
+    come from one running sum over all, what is used before each from a second one over those that count,
+    and admission ends at the first of these that doesn't fit.
+    """
+    rows = in_pieces(items.select("user_id", order, "estimate", "quota", "used", "priority"), ["user_id"], [order])
+    half = computed_once(summed(rows, ["user_id"], [order], F.col("estimate"), "__all", inclusive=False))
+    counts = (F.col("used") + F.col("__all") <= F.floor(F.col("quota") / 2)) | ~F.col("priority").eqNullSafe(F.lit(LOW))
+    sums = computed_once(summed(half, ["user_id"], [order], F.when(counts, F.col("estimate")).otherwise(0), "__sum", inclusive=False).where(counts))
+    before = F.col("used") + F.col("__sum")
+    over = (before >= F.col("quota")) | (F.col("estimate") > F.col("quota") - before + F.floor(F.col("quota") / 100))
+    stop = sums.where(over).groupBy(F.col("user_id").alias("__user")).agg(F.min(order).alias("__stop"))
+    free = F.col("__stop").isNull() | (F.col(order) < F.col("__stop"))
+    return sums.join(stop, F.col("user_id").eqNullSafe(F.col("__user")), "left").where(free).select("user_id", order, "estimate", "quota", "used", "priority")

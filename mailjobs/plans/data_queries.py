@@ -561,16 +561,23 @@ def _(t):
     return W.quota_admission(rows, "arrival").select("user_id", "email_id")
 
 
-@query("w9_admit_mixed")
+@query("w9_admit_mixed", """with recursive r as (select user_id, arrival, n_bytes // 4 as e, arrival % 2 as priority, user_id * 100 as used, row_number() over (partition by user_id order by arrival) as k from m_item),
+  w(user_id, k, arrival, used, stopped, ok) as (select user_id, 0::bigint, null::bigint, min(used), false, false from r group by user_id
+    union all select user_id, k, arrival, case when ok then used + e else used end, stopped or over, ok from (
+      select *, not stopped and not over and not low as ok from (
+        select r.user_id, r.k, r.arrival, r.e, w.used, w.stopped, r.priority = 1 and w.used > 30000 as low, w.used >= 60000 or (not (r.priority = 1 and w.used > 30000) and r.e > 60000 - w.used + 600) as over
+        from w join r on r.user_id = w.user_id and r.k = w.k + 1)))
+  select user_id, arrival from w where ok""")
 def _(t):
     rows = items(t).select("user_id", "arrival", F.col("estimated_tokens").alias("estimate"), F.lit(60_000).cast("long").alias("quota"), (F.col("user_id") * 100).alias("used"), (F.col("arrival") % 2).cast("int").alias("priority"))
     return W.admit_mixed(rows, "arrival").select("user_id", "arrival")
 
 
-@query("u1_union_queues", "select email_id, case stage_no when 0 then 'pending' else 'main' end as stage from m_item where stage_no < 2")
+@query("u1_union_queues", "select email_id, case stage_no when 0 then 'pending' when 1 then 'main' when 2 then 'user_defined' when 3 then 'tasks' when 4 then 'done' else 'failed' end as stage from m_item")
 def _(t):
-    queue = lambda k: t("m_item").where(F.col("stage_no") == k).select("email_id")
-    return W.union_queues(pending=queue(0), main=queue(1))
+    """All six working queues."""
+    names = ("pending", "main", "user_defined", "tasks", "done", "failed")
+    return W.union_queues(**{name: t("m_item").where(F.col("stage_no") == k).select("email_id") for k, name in enumerate(names)})
 
 
 @query("u2_distinct_users", "select distinct user_id from m_item")
@@ -578,11 +585,11 @@ def _(t):
     return W.distinct_users(t("m_item"))
 
 
-@query("u3_rules_differ", "select count(*) as n_emails, true as differ, false as same from m_email")
+@query("u3_rules_differ", "select user_id, bool_or(c) as differ, bool_or(bool_or(c)) over () as any_differ from (select user_id, user_id % 30 = 0 as c from m_user_rule union all select id, true from m_user where id % 30 = 5) group by 1")
 def _(t):
-    rules = t("m_user_rule")
-    other = rules.withColumn("priority", F.col("priority") + 1)
-    return t("m_email").agg(F.count(F.lit(1)).alias("n_emails")).select("n_emails", F.lit(D.rules_differ(rules, other)).alias("differ"), F.lit(D.rules_differ(rules, rules)).alias("same"))
-
-
-
+    """Users' rules before and after: every third user of them has a raised priority, some have new rules."""
+    before = t("m_user_rule")
+    raised = before.withColumn("priority", F.when(F.col("user_id") % 30 == 0, F.col("priority") + 1).otherwise(F.col("priority")))
+    new = t("m_user").where("id % 30 = 5").select(F.col("id").alias("user_id"), F.lit("2-HIGH").alias("semantic_key"), F.lit("finances").alias("mail_label"), F.lit(True).alias("extract_tasks"), F.lit(1).alias("priority"))
+    after = raised.select(*new.columns).unionByName(new)
+    return D.changed_rules(before, after).withColumn("any_differ", F.lit(D.rules_differ(before, after)))

@@ -54,17 +54,45 @@ def _(t):
     return TT.dedup_with_ttl(t("m_seen"), ttl=43_200_000_000).select("email_id", "event_id")
 
 
-@query("t2_ingest_new_ids", "select distinct user_id, 'x' || (event_id % 5000) as id from events where event_id >= 2000 and 'x' || (event_id % 5000) not in (select 'x' || o_orderkey from orders where o_orderkey % 3 = 0)")
-def _(t):
-    shape = lambda s: s.select("user_id", F.concat(F.lit("x"), (F.col("event_id") % 5000).cast("string")).alias("id"), F.col("event_id").alias("internal_date"))
+#: Seen ids: each of 500 comes again every 500 events. Ids of orders are stored for every second user.
+_INGEST = """with recursive c as (select *, row_number() over (partition by id order by ts, arrival) as k from (
+    select user_id, 'x' || (event_id % 500) as id, ts, event_id as arrival from events where event_id >= 2000)
+    where not (user_id % 2 = 0 and id in (select 'x' || o_orderkey from orders where o_orderkey % 3 = 0))),
+  w(id, k, user_id, arrival, last, ok) as (select id, k, user_id, arrival, ts, true from c where k = 1
+    union all select c.id, c.k, c.user_id, c.arrival, case when epoch_us(c.ts) - epoch_us(w.last) >= {ttl} then c.ts else w.last end, epoch_us(c.ts) - epoch_us(w.last) >= {ttl} from w join c on c.id = w.id and c.k = w.k + 1)
+  select user_id, id, arrival from w where ok""".format(ttl=3 * 86_400_000_000)
+
+
+def _seen_ids(events: DataFrame) -> DataFrame:
+    return events.select("user_id", F.concat(F.lit("x"), (F.col("event_id") % 500).cast("string")).alias("id"), F.col("event_id").alias("internal_date"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("arrival"))
+
 
-    def stored():
-        ids = t("orders").where("o_orderkey % 3 = 0").select(F.concat(F.lit("x"), F.col("o_orderkey").cast("string")).alias("id"))
-        owners = t("events").select("user_id", F.concat(F.lit("x"), (F.col("event_id") % 5000).cast("string")).alias("id")).distinct()
-        return owners.join(ids, "id", "left_semi")
+def _stored_ids(t) -> DataFrame:
+    ids = t("orders").where("o_orderkey % 3 = 0").select(F.concat(F.lit("x"), F.col("o_orderkey").cast("string")).alias("id"))
+    owners = _seen_ids(t("events")).where("user_id % 2 = 0").select("user_id", "id").distinct()
+    return owners.join(ids, "id", "left_semi")
 
-    out = drain(t, "events", shape, lambda out: J.ingest_new_ids(stored, out, F.lit(2000 + 86_400_000), 1))
-    return t.spark.read.option("basePath", out).parquet(f"{out}/batch=*").select("user_id", "id").distinct()
+
+@query("t2_ingest_new_ids", _INGEST)
+def _(t):
+    """The events are seen in four micro-batches, a quarter of their time each."""
+    spark, out = t.spark, shared_folder(t.spark)
+    events = t("events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min(at), F.max(at)).first()
+    quarter = F.floor((at - first) * 4 / (last - first + 1))
+    for k in range(4):
+        events.where(quarter == k).write.mode("append").parquet(f"{out}/seen")
+        seen = spark.readStream.schema(events.schema).parquet(f"{out}/seen")
+        fresh = J.new_ids_stream(_seen_ids(seen), _stored_ids(t), F.lit(2000 + 86_400_000), 1, ttl=3 * 86_400_000_000)
+        write = fresh.writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
+        write.foreachBatch(J.ingest_new_ids(lambda: _stored_ids(t), f"{out}/new")).start().awaitTermination()
+    return spark.read.option("basePath", f"{out}/new").parquet(f"{out}/new/batch=*").select("user_id", "id", "arrival")
+
+
+@query("t2_new_ids_batch", _INGEST)
+def _(t):
+    return J.new_ids(_seen_ids(t("events")), _stored_ids(t), F.lit(2000 + 86_400_000), 1, ttl=3 * 86_400_000_000).select("user_id", "id", "arrival")
 
 
 @query("t3_route_items", "select doc_id, case when doc_id % 11 = 0 then 'failed' when doc_id % 5 = 0 then 'user_defined' when doc_id % 2 = 0 then 'tasks' else 'done' end as stage from documents")
@@ -92,9 +120,16 @@ def _(t):
     return J.throughput(t("events"))
 
 
-@query("t7_alert_digest")
+@query("t7_alert_digest", """with recursive a as (select *, row_number() over (partition by channel order by ts, message) as k from m_alert),
+  o(channel, k, opened, opens) as (select channel, k, ts, k from a where k = 1
+    union all select a.channel, a.k, case when epoch_us(a.ts) - epoch_us(o.opened) > 1000000 then a.ts else o.opened end, case when epoch_us(a.ts) - epoch_us(o.opened) > 1000000 then a.k else o.opens end from o join a on a.channel = o.channel and a.k = o.k + 1),
+  g as (select o.channel, o.opened + interval 1 second as closed, count(*) as n, case when count(*) = 1 then min(a.message) else count(*) || ' critical errors:' || chr(10) || chr(10) || string_agg((o.k - o.opens + 1) || '. ' || a.message || chr(10), '' order by o.k) end as text, row_number() over (partition by o.channel order by o.opened) as j
+    from o join a using (channel, k) group by o.channel, o.opened),
+  s(channel, j, last, sent) as (select channel, j, closed, true from g where j = 1
+    union all select g.channel, g.j, case when epoch_us(g.closed) - epoch_us(s.last) >= 7200000000 then g.closed else s.last end, epoch_us(g.closed) - epoch_us(s.last) >= 7200000000 from s join g on g.channel = s.channel and g.j = s.j + 1)
+  select channel, closed as closed_at, case when sent then 'sent' else 'held' end as outcome, cast(n as integer) as n, text from g join s using (channel, j)""")
 def _(t):
-    return TT.alert_digest(t("m_alert"))
+    return TT.alert_digest(t("m_alert")).withColumn("closed_at", F.col("closed_at").cast("timestamp_ntz"))
 
 
 @query("t8_usage_stream", "select user_id, cast(sum(value_tokens) as bigint) as tokens from (select user_id, event_id % 50 as value_tokens from events) group by 1 having sum(value_tokens) <> 0")

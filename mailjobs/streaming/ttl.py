@@ -1,7 +1,7 @@
 """Deduplication with a time to live, and alert digests: ordered state by key.
 
-The step functions are shared by the streams (state kept by Spark) and the batch twins (rows of a key
-streamed in order through one task, one small state at a time).
+Streams keep the state of a key in Spark's state store. The batch twins find accepted rows and groups as greedy
+chains (``operators.chains``), so that no key has to meet in one task.
 """
 
 from __future__ import annotations
@@ -9,10 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.chains import taken
+from ..operators.prefix import in_pieces, summed
+from ..sources.stored import computed_once
+
 TTL = 3_600_000_000
 DEBOUNCE, RATE_LIMIT, MOST_HELD = 1_000_000, 7_200_000_000, 500
 
@@ -22,29 +26,45 @@ def accept(last: int | None, at: int, ttl: int) -> bool:
     return last is None or at - last >= ttl
 
 
-def dedup_with_ttl(rows: DataFrame, key: str = "email_id", ts: str = "ts", tie: str = "event_id", ttl: int = TTL) -> DataFrame:
-    """Batch twin: key, ts, tie of the accepted rows."""
-    slim = rows.select(key, F.col(ts), F.col(tie), F.unix_micros(F.col(ts).cast("timestamp")).alias("__at"))
+#: Rows of a key that one task goes through in order; keys of more are worked on as chains.
+HOT = 1 << 20
+
+
+def dedup_with_ttl(rows: DataFrame, key: str = "email_id", ts: str = "ts", tie: str = "event_id", ttl: int = TTL, keep: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
+    """Batch twin: key, ts, tie and ``keep`` of the accepted rows. Rows without a time are left out.
+
+    The rows of a key pass through one task in order, a few columns wide. Keys of more than ``hot`` rows are
+    told apart first and go by chains instead; the result is the same.
+    """
+    slim = rows.where(F.col(ts).isNotNull()).select(key, ts, tie, *keep, F.unix_micros(F.col(ts).cast("timestamp")).alias("__at"))
     schema = slim.drop("__at").schema
+    many = computed_once(slim.groupBy(F.col(key).alias("__hot")).count().where(F.col("count") > hot).select("__hot"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, last = object(), None
         for batch in batches:
-            keep = []
+            accepted = []
             for k, at in zip(batch[key], batch["__at"], strict=True):
                 if k != now:
                     now, last = k, None
-                keep.append(accept(last, at, ttl))
-                last = at if keep[-1] else last
-            yield batch[keep].drop(columns="__at")
+                accepted.append(accept(last, at, ttl))
+                last = at if accepted[-1] else last
+            yield batch[accepted].drop(columns="__at")
+
+    def streamed(some: DataFrame) -> DataFrame:
+        return some.repartition(key).sortWithinPartitions(key, "__at", tie).mapInPandas(run, schema)
 
-    return slim.repartition(key).sortWithinPartitions(key, "__at", tie).mapInPandas(run, schema)
+    if many.isEmpty():
+        return streamed(slim)
+    same = F.col(key).eqNullSafe(F.col("__hot"))
+    chained = taken(slim.join(many, same, "left_semi"), [key], "__at", [tie], ttl).where("taken").select(*schema.names)
+    return streamed(slim.join(many, same, "left_anti")).unionByName(chained)
 
 
-def dedup_stream(stream: DataFrame, key: str = "email_id", ts: str = "ts", tie: str = "event_id", ttl: int = TTL, late: str = "10 minutes") -> DataFrame:
+def dedup_stream(stream: DataFrame, key: str = "email_id", ts: str = "ts", tie: str = "event_id", ttl: int = TTL, late: str = "10 minutes", keep: tuple[str, ...] = ()) -> DataFrame:
     """The same over a stream: the state of a key is the time of its last accepted row, and goes when
-    the watermark passes that time by ``ttl``. ``stream``: key, ts (timestamp), tie."""
-    slim = stream.select(key, ts, tie).withWatermark(ts, late)
+    the watermark passes that time by ``ttl``. ``stream``: key, ts (timestamp), tie and ``keep``."""
+    slim = stream.select(key, ts, tie, *keep).withWatermark(ts, late)
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -108,24 +128,28 @@ def _frame(channel: int, groups: list[tuple[int, str, int, str]]) -> pd.DataFram
     return pd.DataFrame({"channel": [channel] * len(groups), "closed_at": pd.to_datetime([g[0] for g in groups], unit="us"), "outcome": [g[1] for g in groups], "n": [g[2] for g in groups], "text": [g[3] for g in groups]})
 
 
-def alert_digest(alerts: DataFrame) -> DataFrame:
-    """Batch twin over (channel, ts, message): every group with its outcome."""
-    slim = alerts.select(F.col("channel").cast("long").alias("channel"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "message")
+def combined(messages: Column) -> Column:
+    """``combine`` as a column of an array of messages."""
+    lines = F.transform(messages, lambda m, k: F.concat((k + 1).cast("string"), F.lit(". "), m, F.lit("\n")))
+    many = F.concat(F.size(messages).cast("string"), F.lit(" critical errors:\n\n"), F.array_join(lines, ""))
+    return F.when(F.size(messages) == 1, messages[0]).otherwise(many)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, Digest()
-        for batch in batches:
-            for channel, at, message in batch.itertuples(index=False):
-                if channel != now:
-                    if state.opened is not None:
-                        yield _frame(now, [state.close()])
-                    now, state = channel, Digest()
-                if done := state.add(at, message):
-                    yield _frame(channel, done)
-        if state.opened is not None:
-            yield _frame(now, [state.close()])
-
-    return slim.repartition("channel").sortWithinPartitions("channel", "at", "message").mapInPandas(run, DIGEST)
+
+def alert_digest(alerts: DataFrame) -> DataFrame:
+    """Batch twin over (channel, ts, message): every group with its outcome. A null message counts as empty.
+
+    A group opens at the first alert later than a debounce after the one that opened the group before, and
+    the groups that are sent close a rate limit or more after the one sent before: two greedy chains. Only
+    a group's own messages meet in a task, for its text.
+    """
+    slim = alerts.select(F.col("channel").cast("long").alias("channel"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.coalesce("message", F.lit("")).alias("message"))
+    order = ["at", "message", "pos"]
+    opening = computed_once(taken(slim, ["channel"], "at", ["message"], DEBOUNCE + 1))
+    grouped = summed(in_pieces(opening, ["channel"], order), ["channel"], order, F.col("taken").cast("int"), "k")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "message"))), lambda m: m["message"])
+    groups = grouped.groupBy("channel", "k").agg((F.min("at") + DEBOUNCE).alias("closed"), F.count(F.lit(1)).cast("int").alias("n"), combined(listed).alias("text"))
+    done = taken(groups, ["channel"], "closed", ["k"], RATE_LIMIT)
+    return done.select("channel", F.timestamp_micros("closed").alias("closed_at"), F.when(F.col("taken"), "sent").otherwise("held").alias("outcome"), "n", "text")
 
 
 def alert_digest_stream(alerts: DataFrame, late: str = "10 seconds") -> DataFrame:

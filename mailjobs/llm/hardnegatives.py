@@ -35,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import checkpointed, stored
 from .neighbours import smallest_ids
 
 #: Components of a unit's vectors at most, and the rows that are worth a unit of their own.
 CELLS, LEAST_ROWS = 1 << 22, 1024
+#: Groups whose numbers of units may be broadcast.
+FEW_GROUPS = 100_000
 #: A bucket ends where vectors are shorter than this share of its longest.
 RATIO = 0.9
 #: Coordinates whose ranges are intersected.
@@ -173,7 +175,8 @@ def units(entries: DataFrame, group: list[str]) -> DataFrame:
     slots = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n, dim = F.count(F.lit(1)), F.greatest(F.col("dim"), F.lit(1))
     parts = F.greatest(F.ceil(F.col("n") * dim / CELLS), F.least(F.lit(slots), F.ceil(F.col("n") / LEAST_ROWS)))
-    return entries.groupBy(*group).agg(n.alias("n")).select(*group, parts.cast("int").alias("parts"))
+    found = checkpointed(entries.groupBy(*group).agg(n.alias("n")).select(*group, parts.cast("int").alias("parts")))
+    return F.broadcast(found) if found.count() <= FEW_GROUPS else found
 
 
 FOUND = "h1 long, h2 long, wanted long, score long, ids array<long>"

@@ -17,9 +17,13 @@ from ..operators import users as U
 from ..operators import vectors as V
 from ..sources import batches as A
 from ..sources import tables as ST
+from ..sources import upserts as UP
 from ..schemas import TABLES
 from .registry import DAY_SQL, NOW_SQL, THRESHOLD, day, now, query, shared_folder
 
+#: Folders of the upserted tables.
+UPSERT_BUCKETS = 16
+
 # --- tables and files ---------------------------------------------------------------------------
 
 
@@ -79,6 +83,27 @@ def _(t):
     return ST.update_by_key(rows, keys, ["id", "user_id"], "is_read", F.lit(True), now())
 
 
+@query("a6_append_to_table", "select id, n from (select distinct 'x' || (o_orderkey % 3000) as id, -1::bigint as n from orders union all select 'x' || (event_id % 5000), min(event_id) from events where 'x' || (event_id % 5000) not in (select 'x' || (o_orderkey % 3000) from orders) group by 1)")
+def _(t):
+    """Insert-ignore into a table in folders by key, twice: the second time changes nothing."""
+    path = f"{shared_folder(t.spark)}/table"
+    there = t("orders").select(F.concat(F.lit("x"), (F.col("o_orderkey") % 3000).cast("string")).alias("id"), F.lit(-1).cast("long").alias("n")).distinct()
+    UP.create(there, path, ["id"], UPSERT_BUCKETS)
+    new = t("m_entry").select(F.col("email_id").alias("id"), F.col("arrival").alias("n"))
+    for _ in range(2):
+        UP.append_new(t.spark, path, new, "id", UPSERT_BUCKETS, "n")
+    return t.spark.read.parquet(path).select("id", "n")
+
+
+@query("a8_update_table", f"select id, user_id, case when user_id % 3 = 0 then true else is_read end as is_read, case when user_id % 3 = 0 and not is_read then {NOW_SQL} else processed_at end as updated_at from m_email")
+def _(t):
+    path = f"{shared_folder(t.spark)}/table"
+    UP.create(t("m_email").select("id", "user_id", "is_read", F.col("processed_at").alias("updated_at")), path, ["id", "user_id"], UPSERT_BUCKETS)
+    hits = t("m_email").where("user_id % 3 = 0").select("id", "user_id")
+    UP.update_rows(t.spark, path, hits, ["id", "user_id"], UPSERT_BUCKETS, "is_read", F.lit(True), now())
+    return t.spark.read.parquet(path).select("id", "user_id", "is_read", "updated_at")
+
+
 # --- replies and rules --------------------------------------------------------------------------
 
 #: Parsed replies in DuckDB: the JSON type tests are those of the library.
@@ -459,6 +484,17 @@ def _(t):
     return H.add_usage(t("m_usage"), t("m_user").where("id % 3 = 0").select(F.col("email").alias("user_email"), (F.col("id") % 100).alias("tokens")), day()).withColumn("date", F.col("date").cast("string"))
 
 
+@query("h3_usage_table", f"select user_email, cast(date as varchar) as date, cast(sum(x) as bigint) as tokens_consumed from (select user_email, date, tokens_consumed as x from m_usage union all select email, {DAY_SQL}, id % 100 from m_user where id % 3 = 0) group by 1, 2")
+def _(t):
+    """Usage in folders by day and user; the same batch twice counts once."""
+    path = f"{shared_folder(t.spark)}/table"
+    UP.create(t("m_usage").select("user_email", "tokens_consumed", F.lit(None).cast("long").alias("batch_id"), "date"), path, ["user_email"], 2, "date")
+    deltas = t("m_user").where("id % 3 = 0").select(F.col("email").alias("user_email"), (F.col("id") % 100).alias("tokens"))
+    for _ in range(2):
+        UP.add_tokens(t.spark, path, deltas, day(), 0, 2)
+    return t.spark.read.parquet(path).select("user_email", F.col("date").cast("string").alias("date"), "tokens_consumed")
+
+
 @query("h4_tokens_by_user", f"select user_id, cast(sum(act) as bigint) as tokens from {_ITEM} group by 1 having sum(act) <> 0")
 def _(t):
     return H.tokens_by_user(items(t))

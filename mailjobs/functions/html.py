@@ -1,4 +1,5 @@
-"""HTML for mail: sanitising, readable text, display pages. Arrow batches over a small parser."""
+"""HTML for mail: sanitising, readable text, display pages. Arrow batches over a small parser; a message is
+parsed once for both its sanitised form and its text."""
 
 from __future__ import annotations
 
@@ -40,11 +41,20 @@ _css = re.compile(X.CSS_IMPORT), re.compile(X.CSS_URL)
 _scheme = re.compile(r"^[\x00-\x20]*([a-zA-Z][a-zA-Z0-9+.\-]*)[\x00-\x20]*:")
 
 
+#: Elements whose text isn't shown.
+HIDDEN = frozenset(("script", "style", "head", "title"))
+_blanks, _spaces = re.compile(r"\s+"), re.compile(r" +")
+
+
 class _Clean(HTMLParser):
+    """``out``: the sanitised document. ``shown``: the text of that document, images by their description."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
+        self.shown: list[str] = []
         self.open: list[str] = []
+        self.hidden = 0
         self.skip = ""  # inside script: its content goes too
 
     def handle_starttag(self, tag, attrs):
@@ -52,10 +62,15 @@ class _Clean(HTMLParser):
             self.skip = self.skip or tag
         elif tag in TAGS:
             allowed = ANYWHERE | set(ATTRIBUTES.get(tag, "").split())
-            kept = "".join(f' {k}="{entities.escape(v or "")}"' for k, v in attrs if k in allowed and not (k in ("href", "src") and unsafe(v or "")))
-            self.out.append(f"<{tag}{kept}>")
+            kept = [(k, v or "") for k, v in attrs if k in allowed and not (k in ("href", "src") and unsafe(v or ""))]
+            self.out.append(f"<{tag}{''.join(f' {k}="{entities.escape(v)}"' for k, v in kept)}>")
             if tag not in VOID:
                 self.open.append(tag)
+                self.hidden += tag in HIDDEN
+            if tag in BLOCKS:
+                self.shown.append("\n")
+            if tag == "img" and not self.hidden and (alt := [v for k, v in kept if k == "alt"]):
+                self.shown.append(_blanks.sub(" ", f"[An image of {alt[-1]}]"))
 
     def handle_endtag(self, tag):
         if self.skip:
@@ -64,6 +79,9 @@ class _Clean(HTMLParser):
             while self.open:
                 last = self.open.pop()
                 self.out.append(f"</{last}>")
+                self.hidden -= last in HIDDEN
+                if last in BLOCKS:
+                    self.shown.append("\n")
                 if last == tag:
                     break
 
@@ -76,6 +94,8 @@ class _Clean(HTMLParser):
             self.out.append(data)
         else:
             self.out.append(entities.escape(data, quote=False))
+        if not self.hidden:
+            self.shown.append(_blanks.sub(" ", data))
 
 
 def unsafe(url: str) -> bool:
@@ -83,11 +103,22 @@ def unsafe(url: str) -> bool:
     return bool(found) and found[1].lower() not in SCHEMES
 
 
-def clean(html: str) -> str:
+def lines(shown: list[str]) -> str:
+    """Pieces of text as lines without outer blanks and empty ones."""
+    found = (_spaces.sub(" ", line).strip() for line in "".join(shown).split("\n"))
+    return "\n".join(line for line in found if line)
+
+
+def parse(html: str) -> tuple[str, str]:
+    """The sanitised document and its text."""
     parser = _Clean()
     parser.feed(html)
     parser.close()
-    return "".join(parser.out) + "".join(f"</{t}>" for t in reversed(parser.open))
+    return "".join(parser.out) + "".join(f"</{t}>" for t in reversed(parser.open)), lines(parser.shown)
+
+
+def clean(html: str) -> str:
+    return parse(html)[0]
 
 
 class _Read(HTMLParser):
@@ -97,27 +128,26 @@ class _Read(HTMLParser):
         self.hidden = 0
 
     def handle_starttag(self, tag, attrs):
-        self.hidden += tag in ("script", "style", "head", "title")
+        self.hidden += tag in HIDDEN
         if tag in BLOCKS:
             self.out.append("\n")
 
     def handle_endtag(self, tag):
-        if tag in ("script", "style", "head", "title") and self.hidden:
+        if tag in HIDDEN and self.hidden:
             self.hidden -= 1
         if tag in BLOCKS:
             self.out.append("\n")
 
     def handle_data(self, data):
         if not self.hidden:
-            self.out.append(re.sub(r"\s+", " ", data))
+            self.out.append(_blanks.sub(" ", data))
 
 
 def read(html: str) -> str:
     parser = _Read()
     parser.feed(html)
     parser.close()
-    lines = (re.sub(r" +", " ", line).strip() for line in "".join(parser.out).split("\n"))
-    return "\n".join(line for line in lines if line)
+    return lines(parser.out)
 
 
 def _mapped(f):
@@ -139,10 +169,19 @@ def html_to_text(c: Column) -> Column:
     return _mapped(read)(c)
 
 
+def parse_message(c: Column) -> Column:
+    """struct(clean, text): the sanitised form and its text, from one parse. Null for null."""
+
+    @F.pandas_udf("clean string, text string")
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, None) if t is None else parse(t) for t in s], columns=["clean", "text"], dtype=object)
+
+    return run(c)
+
+
 def simplify_mail(df: DataFrame, subject: str = "subject", body: str = "body") -> DataFrame:
     """Cleans both columns: HTML becomes text, links and tokens go, footers are cut."""
-    images = X.replace_images(sanitize_html(F.col(body)))
-    return df.withColumns({body: X.tidy_body(html_to_text(images)), subject: X.tidy_subject(html_to_text(F.col(subject)))})
+    return df.withColumns({body: X.tidy_body(parse_message(F.col(body))["text"]), subject: X.tidy_subject(html_to_text(F.col(subject)))})
 
 
 # Fixed value: the shell that display pages are put in.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .prefix import numbered
 
-#: Longest chunk, in characters.
+#: Longest chunk, in bytes of UTF-8.
 LONGEST = 32_768
 
 
@@ -15,11 +15,19 @@ def _trimmed(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def first_bytes(c: Column, n: int) -> Column:
+    """The longest beginning of a text that isn't longer than n bytes and ends with a whole character."""
+    raw = c.cast("binary")
+    following = F.hex(F.substring(raw, n + 1, 1))  # 80 to BF: the cut is inside a character
+    whole = F.length(F.substring(raw, 1, n).cast("string")) - F.when(following.between("80", "BF"), 1).otherwise(0)
+    return F.when(F.octet_length(c) <= n, c).otherwise(F.substring(c, F.lit(1), whole))
+
+
 def chunk_array(c: Column) -> Column:
     """The chunks of a text: sentences and what stands between link marks, if two letters meet in them."""
     cut = F.split(F.regexp_replace(_trimmed(c), r"(?U)([.!?])\s+|\[LINK\]", "$1\x01"), "\x01")
     kept = F.filter(F.transform(cut, _trimmed), lambda s: s.rlike(r"\p{IsAlphabetic}{2}"))
-    return F.coalesce(F.transform(kept, lambda s: F.substring(s, 1, LONGEST)), F.array().cast("array<string>"))
+    return F.coalesce(F.transform(kept, lambda s: first_bytes(s, LONGEST)), F.array().cast("array<string>"))
 
 
 def chunk_text(df: DataFrame, column: str, *keep: str) -> DataFrame:

@@ -132,6 +132,43 @@ def _(t):
     return t("pages").select("page_id", H.display_html(F.col("html")).alias("out"))
 
 
+def _escaped(c: str) -> str:
+    return f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+#: Markup without nesting around the printable ASCII of each document, with what has to go.
+_STYLE = "'<html><head><style>@import \"x.css\"; p{color:red}</style></head><body>'"
+_PLAIN = "regexp_replace(text, '[^!-~ ]', ' ')"
+_MARKUP = f"concat({_STYLE}, '<p onclick=\"x()\" class=\"c', doc_id, '\">', {_escaped(_PLAIN)}, '</p><script>bad()</script><!-- no --><a href=\"javascript:x\">link</a><img src=\"cid:1\" alt=\"page ', doc_id, '\"></body></html>')"
+_CLEANED = f"concat('<p class=\"c', doc_id, '\">', {_escaped('t')}, '</p><a>link</a><img src=\"cid:1\" alt=\"page ', doc_id, '\">')"
+_FLAT_SQL = "(select doc_id, source, regexp_replace(text, '[^!-~ ]', ' ', 'g') as t from documents)"
+_LINE_SQL = "case when trim(t) = '' then '' else regexp_replace(trim(t), ' +', ' ', 'g') || chr(10) end || 'link'"
+
+
+def _flat(t):
+    return t("documents").select("doc_id", F.concat(F.lit("<b>About</b> &amp; "), "source").alias("subject"), F.expr(_MARKUP).alias("body"))
+
+
+@query("b10_flat_markup", f"select doc_id, '<style> p{{color:red}}</style>' || {_CLEANED} as out from {_FLAT_SQL}")
+def _(t):
+    return _flat(t).select("doc_id", H.sanitize_html(F.col("body")).alias("out"))
+
+
+@query("b12_flat_text", f"select doc_id, {_LINE_SQL} as out from {_FLAT_SQL}")
+def _(t):
+    return _flat(t).select("doc_id", H.html_to_text(F.col("body")).alias("out"))
+
+
+@query("b8_flat_mail", f"select doc_id, subject, {footer_sql('c')} as body from (select doc_id, 'About & ' || source as subject, {CLEAN_SQL} as c from (select doc_id, source, {_LINE_SQL} || '[An image of page ' || doc_id || ']' as t from {_FLAT_SQL}))")
+def _(t):
+    return H.simplify_mail(_flat(t))
+
+
+@query("b18_flat_page", f"select doc_id, '{H.SHELL_START}' || '<style> p{{color:red}}</style>' || chr(10) || '</head>' || chr(10) || '<body>' || {_CLEANED} || '</body>' || chr(10) || '</html>' as out from {_FLAT_SQL}")
+def _(t):
+    return _flat(t).select("doc_id", H.display_html(F.col("body")).alias("out"))
+
+
 @query("b19_custom_ids", "select email_id, cast(user_id as varchar) || '_' || email_id as custom_id, cast(user_id as integer) as user_id, email_id || '_x' as rest, case when user_id % 2 = 0 then null else cast(user_id as integer) end as odd from m_item")
 def _(t):
     made = X.make_custom_id(F.col("user_id"), F.concat("email_id", F.lit("_x")))
@@ -168,7 +205,7 @@ def _(t):
 
 
 _CHUNKS = r"""select {keep}, row_number() over (partition by {by} order by i) - 1 as chunk_index, chunk_text from (
-  select {keep}, i, substr(s, 1, 32768) as chunk_text from (
+  select {keep}, i, case when strlen(s) <= 32768 then s else left(s, len(list_filter(range(1, len(s) + 1), lambda k: strlen(left(s, k)) <= 32768))) end as chunk_text from (
     select {keep}, i, trim(parts[i], {ws}) as s from (select {keep}, parts, unnest(range(1, len(parts) + 1)) as i from (
       select {keep}, string_split(regexp_replace({src}, '([.!?])\s+|\[LINK\]', '\1' || chr(1), 'g'), chr(1)) as parts from {table}))) where regexp_matches(s, '[\p{{L}}\p{{M}}]{{2}}'))"""
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

@@ -46,3 +46,25 @@ def test_one_task_never_holds_the_hot_key(rows):
     """The plan's windows partition by the piece as well as the key."""
     plan = P.running_sum(rows, ["k"], ["at", "id"], F.col("v"), "s")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(k#" in plan and "__piece" in plan
+
+
+def test_the_input_is_computed_once(spark, rows):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    counted = rows.mapInPandas(count, rows.schema)
+    assert P.running_sum(counted, ["k"], ["at", "id"], F.col("v"), "s").count() == 3000
+    assert seen.value == 3000
+    plan = P.running_sum(rows, ["k"], ["at", "id"], F.col("v"), "s")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "Range (" not in plan  # what is kept is read, not the input
+
+
+def test_pieces_share_a_hot_key(spark):
+    rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 97).alias("k"), (F.col("id") * 7919 % 9000).alias("at"))
+    sizes = [r["count"] for r in P.in_pieces(rows, ["k"], ["at"], 12).groupBy("__piece").count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 2 * 9000 / 12
+    assert P.in_pieces(rows, ["k"], ["at"], rows=900).select("__piece").distinct().count() == 10

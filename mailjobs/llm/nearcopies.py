@@ -14,9 +14,11 @@ for nearer ones; shorter sets are compared without fingerprints.
 
 Scale: equal sets are one entry; which shingles are frequent is estimated on a sample, which decides how
 many candidates there are but never which pairs are linked; buckets of more than ``split`` rows are dealt
-out as pairs of parts. Each set is first verified against one candidate; only candidates whose sets are
-not connected by then are verified as well, so a group of m copies takes few verifications, though its
-m^2 candidates (two longs each) are listed.
+out as pairs of parts. Pairs are listed in two passes. The first lists for each row of a bucket the one or two
+rows before it by size, so no more than two pairs a row; these are verified and their components formed. The
+second lists the pairs of a bucket that lie in different components by then. A group of m near copies is one
+component after the first pass, so its m^2 pairs are never listed; what the second pass lists are the
+pairs between groups that come close to each other.
 
 Defined results: texts without a word are equal to each other and to nothing else; texts of fewer words
 than a shingle have one; repeated rows, null doc_ids and other columns as in ``simhash``.
@@ -38,7 +40,8 @@ from .simhash import _lower, _words, connected_components, kept_rows, linked, ov
 
 #: Against rounding in products of the similarity with sizes; errs on the side of more candidates.
 SLACK = 1e-9
-#: Bits that fingerprints of near copies may differ in, and the size of sets from which they are used.
+#: Bits that fingerprints of near copies may differ in (64: all, the exact way), and the size of sets from
+#: which they are used.
 RADIUS, SHORT = 28, 64
 
 
@@ -125,20 +128,57 @@ def prefixes(docs: DataFrame, size: int, similarity: float, frequent: tuple[np.n
     return docs.select("text").mapInArrow(run, "h long, n int, sid long, pos int, fp long")
 
 
-def paired(bucket: np.ndarray, n: np.ndarray, sid: np.ndarray, pos: np.ndarray, fp: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """The candidate pairs (a, b), a < b, of rows sorted by bucket and n."""
-    out, waiting = [np.empty((0, 2), dtype=np.int64)], 0
+class Pairs:
+    """Collects the candidate pairs (a, b), a < b, of set ids among rows of a bucket."""
 
-    def add(rows: np.ndarray, other: np.ndarray) -> None:
-        nonlocal out, waiting
-        need = similarity / (1 + similarity) * (n[rows].astype(np.int64) + n[other]) - SLACK
+    def __init__(self, n: np.ndarray, sid: np.ndarray, pos: np.ndarray, similarity: float):
+        self.n, self.sid, self.pos, self.similarity = n.astype(np.int64), sid, pos, similarity
+        self.found, self.waiting = [np.empty((0, 2), dtype=np.int64)], 0
+
+    def near(self, rows: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Whether sizes and places in the prefix leave it open that sets are similar."""
+        n, pos = self.n, self.pos
+        need = self.similarity / (1 + self.similarity) * (n[rows] + n[other]) - SLACK
         left = np.minimum(pos[rows], pos[other]) + np.minimum(n[rows] - pos[rows], n[other] - pos[other])
-        good = (left >= need) & (sid[rows] != sid[other])
-        a, b = sid[rows[good]], sid[other[good]]
-        out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-        waiting += len(a)
-        if waiting > 1 << 20:
-            out, waiting = [np.unique(np.concatenate(out), axis=0)], 0
+        return (left >= need) & (self.sid[rows] != self.sid[other])
+
+    def add(self, rows: np.ndarray, other: np.ndarray) -> None:
+        a, b = self.sid[rows], self.sid[other]
+        self.found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+        self.waiting += len(a)
+        if self.waiting > 1 << 20:
+            self.found, self.waiting = [self.all()], 0
+
+    def all(self) -> np.ndarray:
+        return np.unique(np.concatenate(self.found), axis=0)
+
+
+def neighbouring(bucket: np.ndarray, n: np.ndarray, sid: np.ndarray, pos: np.ndarray, fp: np.ndarray, similarity: float, radius: int) -> np.ndarray:
+    """Candidates among rows sorted by bucket and n: each with the two before it in its bucket."""
+    pairs = Pairs(n, sid, pos, similarity)
+    for back in (1, 2):
+        rows = np.arange(back, len(sid))
+        before = rows - back
+        good = (bucket[rows] == bucket[before]) & (n[before] >= similarity * n[rows] - SLACK)
+        rows, before = rows[good], before[good]
+        differ = np.bitwise_count((fp[rows] ^ fp[before]).view(np.uint64))
+        good = pairs.near(rows, before) & ((differ <= radius) | (n[before] < SHORT))
+        pairs.add(rows[good], before[good])
+    return pairs.all()
+
+
+def apart(bucket: np.ndarray, n: np.ndarray, sid: np.ndarray, pos: np.ndarray, fp: np.ndarray, root: np.ndarray, similarity: float, radius: int) -> np.ndarray:
+    """All candidates of different roots among rows sorted by bucket and n."""
+    if len(sid):
+        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        one = np.minimum.reduceat(root, starts) == np.maximum.reduceat(root, starts)
+        mixed = np.repeat(~one, np.diff(np.append(starts, len(sid))))
+        bucket, n, sid, pos, fp, root = (x[mixed] for x in (bucket, n, sid, pos, fp, root))
+    pairs = Pairs(n, sid, pos, similarity)
+
+    def add(rows: np.ndarray, other: np.ndarray) -> None:
+        good = pairs.near(rows, other) & (root[rows] != root[other])
+        pairs.add(rows[good], other[good])
 
     # The short sets, each against those of its bucket that aren't too long for it.
     rows, ahead = np.flatnonzero(n < SHORT), 0
@@ -155,69 +195,97 @@ def paired(bucket: np.ndarray, n: np.ndarray, sid: np.ndarray, pos: np.ndarray,
     rows = rows[np.append(False, same) | np.append(same, False)] if len(rows) else rows
     if len(rows):
         starts = np.flatnonzero(np.append(True, bucket[rows][1:] != bucket[rows][:-1]))
-        i, j = linked(fp[rows].view(np.uint64), starts, RADIUS)
+        i, j = linked(fp[rows].view(np.uint64), starts, radius)
         add(rows[i], rows[j])
-    both = np.unique(np.concatenate(out), axis=0)
-    return both[:, 0], both[:, 1]
+    return pairs.all()
 
 
-def _bucket_partition(similarity: float, split: int):
-    """Reads rows (h, lo, hi, n, sid, pos, fp) sorted in this order and yields the candidates (a, b) of every
-    bucket (h, lo, hi). With ``split``, buckets of more sets than that are handed back instead: their
-    rows come out with b null and the other columns filled in."""
+def _first_pass(similarity: float, radius: int, split: int):
+    """Reads rows (h, n, sid, pos, fp) sorted in this order, and yields for every bucket h the neighbouring
+    candidates (a, b). Buckets that may hold more, of over two sets, come out as rows too: with b null and the
+    other columns filled in. Of a bucket over ``split`` only as many rows are held at once."""
     names = ["a", "b", "h", "n", "pos", "fp"]
 
     def pairs(part: list[np.ndarray], bucket: np.ndarray) -> pa.RecordBatch:
-        a, b = paired(bucket, *part[3:], similarity)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(len(a), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=names)
+        found = neighbouring(bucket, *part[1:], similarity, radius)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), *(pa.nulls(len(found), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=names)
 
     def rows(part: list[np.ndarray]) -> pa.RecordBatch:
-        h, _, _, n, sid, pos, fp = part
+        h, n, sid, pos, fp = part
         return pa.RecordBatch.from_arrays([pa.array(sid), pa.nulls(len(sid), pa.int64()), pa.array(h), pa.array(n), pa.array(pos), pa.array(fp)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
-        hot = None  # the shingle of an open bucket that is handed back
+        hot = None  # the shingle of an open bucket whose rows go out as they come
         for batch in batches:
             new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             kept = [np.concatenate(x) for x in zip(kept, new, strict=True)] if kept else new
             if not len(kept[0]):
                 continue
-            change = np.any([x[1:] != x[:-1] for x in kept[:3]], axis=0)
-            again = ~change & (kept[4][1:] == kept[4][:-1])  # rows of one set: copies
+            again = (kept[0][1:] == kept[0][:-1]) & (kept[2][1:] == kept[2][:-1])  # rows of one set: copies
             kept = [x[np.append(True, ~again)] for x in kept]
-            bucket = np.cumsum(np.append(False, np.any([x[1:] != x[:-1] for x in kept[:3]], axis=0)))
+            bucket = np.cumsum(np.append(False, kept[0][1:] != kept[0][:-1]))
             sizes = np.bincount(bucket)
-            big = (sizes > split if split else np.zeros(len(sizes), bool)) | (np.arange(len(sizes)) == 0) & (hot is not None and kept[0][0] == hot)
-            back = big[bucket]
-            done = ~back & (bucket < bucket[-1])
-            if back.any():
-                yield rows([x[back] for x in kept])
-            if done.any():
-                yield pairs([x[done] for x in kept], bucket[done])
-            hot = kept[0][-1] if back[-1] else None
-            open_ = ~back & ~done
-            kept = [x[open_] for x in kept]
+            out = (bucket < bucket[-1]) | (sizes[-1] > split) | (hot is not None and kept[0][-1] == hot)
+            if out.any():
+                done = [x[out] for x in kept]
+                yield pairs(done, bucket[out])
+                several = (sizes > 2)[bucket[out]] | (done[0] == hot if hot is not None else False)
+                if several.any():
+                    yield rows([x[several] for x in done])
+            hot = kept[0][-1] if out[-1] else None
+            kept = [x[~out] for x in kept]
         if kept and len(kept[0]):
             yield pairs(kept, np.zeros(len(kept[0]), np.int64))
+            if len(kept[0]) > 2:
+                yield rows(kept)
+
+    return run
+
+
+def _second_pass(similarity: float, radius: int):
+    """Reads rows (h, lo, hi, n, sid, pos, fp, root) sorted in this order, and yields the candidates (a, b) of
+    different roots of every bucket (h, lo, hi)."""
+
+    def pairs(part: list[np.ndarray]) -> pa.RecordBatch:
+        bucket = np.cumsum(np.append(False, np.any([x[1:] != x[:-1] for x in part[:3]], axis=0)))
+        found = apart(bucket, *part[3:], similarity, radius)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+        for batch in batches:
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            kept = [np.concatenate(x) for x in zip(kept, new, strict=True)] if kept else new
+            change = np.flatnonzero(np.any([x[1:] != x[:-1] for x in kept[:3]], axis=0))
+            if len(change):
+                yield pairs([x[: change[-1] + 1] for x in kept])
+                kept = [x[change[-1] + 1 :] for x in kept]
+        if kept and len(kept[0]):
+            yield pairs(kept)
 
     return run
 
 
-def candidates(rows: DataFrame, similarity: float, split: int = 1024) -> DataFrame:
-    """Distinct pairs (a, b) of set ids that a bucket of ``rows`` (prefixes) doesn't rule out."""
+def first_candidates(rows: DataFrame, similarity: float, split: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``rows`` (prefixes) the neighbouring candidates (a, b), and the rows of the buckets that may hold
+    more (h, n, sid, pos, fp)."""
     out = "a long, b long, h long, n int, pos int, fp long"
-    cols = ["h", "lo", "hi", "n", "sid"]
-    one = F.lit(0)
-    found = checkpointed(rows.repartition("h").select("h", one.alias("lo"), one.alias("hi"), "n", "sid", "pos", "fp").sortWithinPartitions(*cols).mapInArrow(_bucket_partition(similarity, split), out))
-    # Buckets over the limit: their rows are dealt into parts, and each pair of parts is one task.
-    back = found.where("b is null").select("h", "n", F.col("a").alias("sid"), "pos", "fp").distinct()
-    hot = back.groupBy("h").agg(F.ceil((F.count(F.lit(1)) + 1) / split).cast("int").alias("parts"))
-    dealt = back.join(hot, "h").withColumn("own", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("parts")).cast("int"))
+    found, _ = stored(rows.repartition("h").select("h", "n", "sid", "pos", "fp").sortWithinPartitions("h", "n", "sid").mapInArrow(_first_pass(similarity, radius, split), out))
+    pairs, _ = stored(found.where("b is not null").select("a", "b").distinct())
+    return pairs, found.where("b is null").select("h", "n", F.col("a").alias("sid"), "pos", "fp").distinct()
+
+
+def further_candidates(rows: DataFrame, roots: DataFrame, similarity: float, split: int, radius: int) -> DataFrame:
+    """The distinct candidates (a, b) among ``rows`` whose sets have different roots (sid, root; others are
+    their own). Buckets are dealt into parts of about ``split`` rows, and each pair of parts is one unit."""
+    named = rows.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    sizes = named.groupBy("h").agg(F.ceil((F.count(F.lit(1)) + 1) / split).cast("int").alias("parts"), F.min("root").alias("x"), F.max("root").alias("y"))
+    mixed = named.join(sizes.where("x <> y").select("h", "parts"), "h").withColumn("own", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("parts")).cast("int"))
     others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("own")))
-    dealt = dealt.withColumn("other", F.explode(others)).select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "n", "sid", "pos", "fp")
-    more = dealt.repartition("h", "lo", "hi").sortWithinPartitions(*cols).mapInArrow(_bucket_partition(similarity, 0), out)
-    return stored(found.where("b is not null").select("a", "b").unionByName(more.select("a", "b")).distinct())[0]
+    dealt = mixed.withColumn("other", F.explode(others)).select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "n", "sid", "pos", "fp", "root")
+    listed = dealt.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi", "n", "sid").mapInArrow(_second_pass(similarity, radius), "a long, b long")
+    return stored(listed.distinct())[0]
 
 
 def sketch(found: np.ndarray) -> bytes:
@@ -289,32 +357,45 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, marked: DataFrame, size: int = 5, similarity: float = 0.8, split: int = 1024) -> DataFrame:
-    """Verified edges (a, b) between set ids that connect whatever pairs of the similarity connect."""
-    frequent = frequent_shingles(docs, size, marked.count())
-    pairs = candidates(prefixes(docs, size, similarity, frequent), similarity, split)
+def roots_of(edges: DataFrame) -> DataFrame:
+    """sid and root of every set of the edges."""
+    parts = connected_components(edges)
+    return checkpointed(parts.unionByName(parts.select(F.col("root").alias("node"), "root")).distinct().withColumnRenamed("node", "sid"))
+
+
+def settled(pairs: DataFrame, docs: DataFrame, marked: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Edges (a, b) of the similarity among ``pairs`` that connect whatever these connect. Each set is first
+    verified against one candidate, then candidates whose sets aren't connected by then."""
     sketches = marked.join(members(pairs), "sid", "left_semi").select("sid", "n", "sketch").dropDuplicates(["sid"])
     pairs, _ = stored(likely(pairs, sketches, similarity))
     sets, _ = stored(sets_of(docs, members(pairs), marked, size))
     first = checkpointed(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, similarity))
-    parts = connected_components(first)
-    known = parts.unionByName(parts.select(F.col("root").alias("node"), "root").distinct())
-    root = lambda c: known.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    known = roots_of(first)
+    root = lambda c: known.select(F.col("sid").alias(c), F.col("root").alias(f"root_{c}"))
     rest = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
     rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     return first.unionByName(checkpointed(verified(rest, sets, similarity)))
 
 
-def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, split: int = 1024) -> DataFrame:
+def links(docs: DataFrame, marked: DataFrame, size: int = 5, similarity: float = 0.8, split: int = 1024, radius: int = RADIUS) -> DataFrame:
+    """Verified edges (a, b) between set ids that connect whatever pairs of the similarity connect."""
+    frequent = frequent_shingles(docs, size, marked.count())
+    pairs, more = first_candidates(prefixes(docs, size, similarity, frequent), similarity, split, radius)
+    edges = settled(pairs, docs, marked, size, similarity)
+    rest = further_candidates(more, roots_of(edges), similarity, split, radius)
+    return edges if rest.isEmpty() else edges.unionByName(settled(rest, docs, marked, size, similarity))
+
+
+def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, split: int = 1024, radius: int = RADIUS) -> DataFrame:
     """doc_id, key, component_id (the smallest doc_id of all documents reachable over links) and root, a
     set id that names the component."""
     marked, _ = stored(marked_sets(docs, size))
-    parts = connected_components(links(docs, marked, size, similarity, split))
+    parts = connected_components(links(docs, marked, size, similarity, split, radius))
     named = marked.join(parts.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     low = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(low, "root").select("doc_id", "key", "component_id", "root")
 
 
-def deduplicated(docs: DataFrame, size: int = 5, similarity: float = 0.8, split: int = 1024) -> DataFrame:
+def deduplicated(docs: DataFrame, size: int = 5, similarity: float = 0.8, split: int = 1024, radius: int = RADIUS) -> DataFrame:
     """The columns of ``docs`` for one document of each group, as ``simhash.deduplicated`` does."""
-    return kept_rows(docs, near_copies(docs, size, similarity, split))
+    return kept_rows(docs, near_copies(docs, size, similarity, split, radius))

@@ -50,6 +50,39 @@ def test_groups_equal_brute_force(spark, split):
     assert got == want
 
 
+def test_radius_of_64_is_the_exact_way(spark):
+    rows = edited()
+    got = N.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), radius=64).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute(rows)
+
+
+def test_groups_of_near_copies_list_pairs_in_proportion(spark, monkeypatch):
+    """Candidates of all passes grow with the rows of a group, not with its pairs."""
+    counts, plain = [], N.likely
+
+    def counted(pairs, *rest):
+        counts.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(N, "likely", counted)
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(5000)]
+    text = [rng.choice(words) for _ in range(300)]
+    totals = []
+    for m in (250, 1000):
+        rows = []
+        for k in range(m):
+            copy = list(text)
+            for at in rng.sample(range(300), 3):
+                copy[at] = rng.choice(words)
+            rows.append((k, " ".join(copy)))
+        counts.clear()
+        got = N.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r["component_id"] for r in got} == {0} and len(got) == m
+        totals.append(sum(counts))
+    assert totals[1] < 40 * 1000 and totals[1] < 8 * totals[0]
+
+
 def test_stage_equals_brute_force(spark, sf):
     docs = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")
     want = brute([(r["doc_id"], r["text"]) for r in docs.collect()])

@@ -57,11 +57,14 @@ FRAMES = (
     frozenset("navigation banner contentinfo complementary alert menu menubar toolbar".split()),
 )
 
+#: Words of an element, without those of links, that make it prose.
+PROSE = 8
+
 _words = re.compile(r"[a-z0-9]+").findall
 
 
 class Node:
-    __slots__ = ("tag", "names", "first", "role", "hidden", "parts", "exact", "shape", "chars")
+    __slots__ = ("tag", "names", "first", "role", "hidden", "parts", "exact", "shape", "chars", "words", "prose")
 
     def __init__(self, tag: str, attrs: list[tuple[str, str | None]] = ()):
         known = dict(attrs)
@@ -72,7 +75,8 @@ class Node:
         self.role = (known.get("role") or "").lower()
         self.hidden = "hidden" in known
         self.parts: list[Node | str] = []
-        self.exact = self.shape = self.chars = 0
+        self.exact = self.shape = self.chars = self.words = 0
+        self.prose = False
 
 
 class Tree(HTMLParser):
@@ -130,6 +134,12 @@ def parse(html: str | None) -> Node:
     return tree.root
 
 
+def named(node: Node, words: tuple[frozenset[str], frozenset[str], frozenset[str]]) -> bool:
+    """Whether its tag, role, class or id is among ``words``."""
+    tags, names, roles = words
+    return node.tag in tags or node.role in roles or not names.isdisjoint(node.first)
+
+
 def announced(node: Node, inside: bool, decided: bool) -> bool:
     """Says by its tag, class, id or role that it isn't the article's text. ``decided``: recurrence has
     spoken on the frames of the page's host."""
@@ -155,12 +165,13 @@ def walk(root: Node) -> Iterator[tuple[Node, bool]]:
 
 
 def digest(root: Node) -> list[tuple[Node, bool]]:
-    """Fills the hashes of all subtrees, children before parents."""
+    """Fills the hashes of all subtrees, children before parents, and whether they hold prose: an element with
+    ``PROSE`` words or more of its own, those of links left out."""
     from xxhash import xxh64_intdigest
 
     order = list(walk(root))
     for node, _ in reversed(order):
-        exact, shape = [node.tag, node.names], set()
+        exact, shape, own = [node.tag, node.names], set(), 0
         for x in node.parts:
             if isinstance(x, Node):
                 if x.tag in SILENT:
@@ -168,10 +179,16 @@ def digest(root: Node) -> list[tuple[Node, bool]]:
                 exact.append(f"<{x.exact}>")
                 if x.tag not in INLINE:
                     shape.add(x.shape)
+                    node.prose |= x.prose
+                elif x.tag != "a":
+                    own += x.words
                 node.chars += x.chars
             elif text := " ".join(x.split()):
                 exact.append(text)
                 node.chars += len(text)
+                own += text.count(" ") + 1
+        node.words = own
+        node.prose |= own >= PROSE and node.tag not in INLINE
         node.exact = xxh64_intdigest("\n".join(exact).encode("utf-8", "replace"))
         node.shape = xxh64_intdigest("\n".join(["shape", node.tag, node.names, *map(str, sorted(shape))]).encode("utf-8", "replace"))
     return order
@@ -179,10 +196,11 @@ def digest(root: Node) -> list[tuple[Node, bool]]:
 
 def keys(node: Node, inside: bool) -> list[int]:
     """The hashes by which a subtree may be a template: none for the page's frame and for text elements
-    of an article; its words; its shape if it divides a page outside of articles."""
+    of an article; its words; its shape if it divides a page outside of articles and holds no prose, or says
+    that it is a frame."""
     if node.tag in PAGE or node.tag in SILENT or not node.chars or inside and node.tag in TEXT:
         return []
-    return [node.exact] if inside or node.tag in TEXT else [node.exact, node.shape]
+    return [node.exact] if inside or node.tag in TEXT or node.prose and not named(node, FRAMES) else [node.exact, node.shape]
 
 
 def page_hashes(html: str | None) -> dict[int, float]:
@@ -198,11 +216,39 @@ def page_hashes(html: str | None) -> dict[int, float]:
     return out
 
 
-def extract(html: str | None, templates: frozenset[int] = frozenset(), decided: bool = False) -> str:
-    """The page's text without templates and announced frames."""
+def doubtful(root: Node, weak: frozenset[int], gone: frozenset[int], decided: bool) -> set[int]:
+    """Elements (by identity) that match a template of few pages, yet may be the story that copies of a page
+    share: where such elements hold half or more of what is left of an article, or of the page outside of
+    articles, none of them is taken for a template."""
+    totals: dict[int, list[int]] = {}
+    found: list[tuple[int, int]] = []
+    stack = [(root, False, id(root), False)]
+    while stack:
+        node, inside, scope, within = stack.pop()
+        if announced(node, inside, decided) or not gone.isdisjoint(own := keys(node, inside)):
+            continue
+        if not inside and node.tag in ("article", "main"):
+            scope = id(node)
+        total = totals.setdefault(scope, [0, 0])
+        if not within and not weak.isdisjoint(own):
+            within = True
+        if not weak.isdisjoint(own):
+            found.append((id(node), scope))
+        n = sum(len(" ".join(x.split())) for x in node.parts if isinstance(x, str))
+        total[0] += n
+        total[1] += n * within
+        inside = inside or node.tag in ("article", "main")
+        stack += [(x, inside, scope, within) for x in node.parts if isinstance(x, Node)]
+    return {node for node, scope in found if 2 * totals[scope][1] >= totals[scope][0]}
+
+
+def extract(html: str | None, templates: frozenset[int] = frozenset(), decided: bool = False, weak: frozenset[int] = frozenset()) -> str:
+    """The page's text without templates and announced frames. ``weak``: those of the templates that few
+    pages have."""
     root = parse(html)
     if templates:
         digest(root)
+    kept = doubtful(root, weak, templates - weak, decided) if weak else ()
     out: list[str] = []
     stack: list[tuple[Node | str, bool]] = [(root, False)]
     while stack:
@@ -210,7 +256,8 @@ def extract(html: str | None, templates: frozenset[int] = frozenset(), decided:
         if isinstance(x, str):
             out.append(x)
             continue
-        if announced(x, inside, decided) or templates and not templates.isdisjoint(keys(x, inside)):
+        matched = templates and keys(x, inside)
+        if announced(x, inside, decided) or matched and not templates.isdisjoint(matched) and not (id(x) in kept and (templates - weak).isdisjoint(matched)):
             if x.tag in BLOCK:
                 out.append(" ")
             continue
@@ -220,9 +267,10 @@ def extract(html: str | None, templates: frozenset[int] = frozenset(), decided:
     return " ".join("".join(out).split())
 
 
-def templates(pages: DataFrame, min_share: float = 0.2, max_share: float = 0.3) -> DataFrame:
-    """host, n_pages, hashes: for hosts of several different pages, the subtrees found on at least
-    ``min_share`` of these and on two. They are at most 1 / min_share times as many as a page has."""
+def templates(pages: DataFrame, min_share: float = 0.2, max_share: float = 0.3, sure_share: float = 0.5) -> DataFrame:
+    """host, n_pages, hashes, weak: for hosts of several different pages, the subtrees found on at least
+    ``min_share`` of these and on two. They are at most 1 / min_share times as many as a page has. ``weak``:
+    those on fewer than three or than ``sure_share``."""
     rows = pages.select(url_host(F.col("url")).alias("host"), "html", F.xxhash64("html").alias("page")).where("host <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,29 +285,30 @@ def templates(pages: DataFrame, min_share: float = 0.2, max_share: float = 0.3)
     counted = checkpointed(once.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"), F.avg("share").alias("share")).where("n > 1"))
     of_host = counted.where("hash = 0").select("host", F.col("n").alias("n_pages"))
     is_template = (F.col("hash") != 0) & (F.col("n") >= min_share * F.col("n_pages")) & (F.col("share") <= max_share)
-    return counted.join(of_host, "host").where(is_template | (F.col("hash") == 0)).groupBy("host", "n_pages").agg(F.collect_set(F.when(F.col("hash") != 0, F.col("hash"))).alias("hashes"))
+    weak = (F.col("hash") != 0) & ((F.col("n") < 3) | (F.col("n") < sure_share * F.col("n_pages")))
+    return counted.join(of_host, "host").where(is_template | (F.col("hash") == 0)).groupBy("host", "n_pages").agg(F.collect_set(F.when(F.col("hash") != 0, F.col("hash"))).alias("hashes"), F.collect_set(F.when(weak, F.col("hash"))).alias("weak"))
 
 
 def main_text(pages: DataFrame, min_share: float = 0.2, max_share: float = 0.3, min_pages: int = 3, broadcast_rows: int = 100_000) -> DataFrame:
     """page_id, url, text and n_chars for every row of ``pages``."""
     known = checkpointed(templates(pages, min_share, max_share))
-    side = known.select(F.col("host").alias("of_host"), "hashes", (F.col("n_pages") >= min_pages).alias("decided"))
+    side = known.select(F.col("host").alias("of_host"), "hashes", "weak", (F.col("n_pages") >= min_pages).alias("decided"))
     if known.count() <= broadcast_rows:  # else Spark joins by host and deals skewed hosts out
         side = F.broadcast(side)
     rows = pages.select("page_id", "url", "html", url_host(F.col("url")).alias("host"))
-    rows = rows.join(side, F.col("host") == F.col("of_host"), "left").select("page_id", "url", "html", "host", "hashes", F.coalesce("decided", F.lit(False)).alias("decided"))
+    rows = rows.join(side, F.col("host") == F.col("of_host"), "left").select("page_id", "url", "html", "host", "hashes", F.coalesce("decided", F.lit(False)).alias("decided"), "weak")
     schema = T.StructType([*(T.StructField(c, pages.schema[c].dataType) for c in ("page_id", "url")), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of: dict[str, frozenset[int]] = {}
+        of: dict[str, tuple[frozenset[int], frozenset[int]]] = {}
         for batch in short(batches):
             texts = []
             for k, (html, host, decided) in enumerate(zip(batch.column(2), batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)):
                 if host not in of:
                     if len(of) >= 1000:
                         of.clear()
-                    of[host] = frozenset(h & 0xFFFFFFFFFFFFFFFF for h in batch.column(4)[k].as_py() or ())
-                texts.append(extract(html.as_py(), of[host], decided))
+                    of[host] = tuple(frozenset(h & 0xFFFFFFFFFFFFFFFF for h in batch.column(c)[k].as_py() or ()) for c in (4, 6))
+                texts.append(extract(html.as_py(), of[host][0], decided, of[host][1]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[f.name for f in schema])
 
     return rows.mapInArrow(run, schema)

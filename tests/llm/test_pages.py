@@ -136,3 +136,44 @@ def test_copies_of_a_page_are_one_page(spark):
 )
 def test_a_head_ends_without_its_end_tag(html, text):
     assert P.extract(html) == text
+
+
+def texts(spark, pages):
+    rows = [(k, f"http://a.com/{k}", html) for k, html in enumerate(pages)]
+    return [r["text"] for r in P.main_text(spark.createDataFrame(rows, SCHEMA)).orderBy("page_id").collect()]
+
+
+STORY = "a story that two pages tell in the very same words with one more line"
+
+
+def test_a_story_shared_by_two_articles_stays(spark):
+    html = lambda head, story: f"<body><nav>menu here</nav><article><h1>{head}</h1><div class=body><p>{story}</p></div></article></body>"
+    got = texts(spark, [html("One", STORY), html("Two", STORY), html("Three", "another story altogether")])
+    assert got == [f"One {STORY}", f"Two {STORY}", "Three another story altogether"]
+
+
+def test_a_story_shared_by_two_pages_without_an_article_stays(spark):
+    def html(k, story):
+        return f"<body><div class=nav><a href=/>home</a></div><div class=body><h1>Head {k}</h1><p>{story}</p><p>and the end of {story}</p></div></body>"
+
+    got = texts(spark, [html(k, STORY if k < 2 else f"the story number {k} which no other page of this host tells") for k in range(8)])
+    assert got[:2] == [f"Head {k} {STORY} and the end of {STORY}" for k in range(2)]
+    assert all("home" not in x and f"number {k}" in x for k, x in enumerate(got[2:], 2))
+
+
+def test_a_lead_with_other_words_on_each_page_stays(spark):
+    def html(k):
+        return f"<body><div class=nav><a href=/>home</a></div><div class=lead><p>lead of page {k} in more than eight words or so</p></div><div class=rest><p>{f'the rest of page {k} at some length ' * 8}</p></div></body>"
+
+    for k, text in enumerate(texts(spark, [html(k) for k in range(5)])):
+        assert text == f"lead of page {k} in more than eight words or so " + " ".join([f"the rest of page {k} at some length"] * 8)
+
+
+def test_boxes_of_few_pages_still_go(spark):
+    """A box on a quarter of the pages holds little of each, so it is a template."""
+    def html(k):
+        box = "<div class=box><p>A box of this section only</p></div>" if k < 3 else ""
+        return f"<body><article><h1>Head {k}</h1><p>{f'story {k} is long enough ' * 9}</p>{box}</article></body>"
+
+    got = texts(spark, [html(k) for k in range(12)])
+    assert not any("A box" in x for x in got) and all(f"story {k} is" in x for k, x in enumerate(got))

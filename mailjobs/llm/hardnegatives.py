@@ -9,8 +9,8 @@ longest first. Each coordinate of a bucket has a list of its values over the buc
 when it is first asked for. For a score of at least ``low``, an anchor's ``FOCUS`` strongest coordinates each
 admit a range of values: with the cosines x of the coordinate and t of the score over the longest length,
 x t -+ sqrt((1 - x^2) (1 - t^2)). The rows that are in the range of every such list are scored exactly. The
-bound rises with the best scores found, and the first bucket too short for it ends the search. Where no
-range leaves out half of a bucket, all of it is scored.
+bound rises with the best scores found, and the first bucket too short for it ends the search. Without a
+positive bound every score is feasible.
 
 Scale: a unit's entries are shuffled once; anchors (one in ``every``) go to each unit of theirs and are
 streamed past its entries, so a task holds one unit and one batch of anchors whatever the number of either.
@@ -68,8 +68,8 @@ class Bucket:
             self.lists[coordinate] = order, column[order]
         return self.lists[coordinate]
 
-    def feasible(self, unit: np.ndarray, focus: np.ndarray, cosine: float) -> np.ndarray | None:
-        """The rows in all focus coordinates' ranges for a cosine of at least ``cosine``; None for all."""
+    def feasible(self, unit: np.ndarray, focus: np.ndarray, cosine: float) -> np.ndarray:
+        """The rows in all focus coordinates' ranges for a cosine of at least ``cosine``."""
         rest = math.sqrt(max(0.0, 1 - cosine * cosine))
         ranges = []
         for f in focus:
@@ -82,12 +82,11 @@ class Bucket:
             ranges.append((int(b - a), int(a), int(f), low, high, order))
         ranges.sort(key=lambda r: r[:3])
         n, a, _, _, _, order = ranges[0]
-        if 2 * n > len(self.at):
-            return None
         found = order[a : a + n]
-        for _, _, f, low, high, _ in ranges[1:]:
-            value = self.unit[found, f]
-            found = found[(value >= low - SLACK) & (value <= high + SLACK)]
+        for n, _, f, low, high, _ in ranges[1:]:
+            if n < len(self.at):  # else the range holds every row
+                value = self.unit[found, f]
+                found = found[(value >= low - SLACK) & (value <= high + SLACK)]
         return found
 
 
@@ -112,8 +111,10 @@ class Unit:
     def scores(self, bucket: Bucket, rows: np.ndarray | None, anchor: np.ndarray) -> np.ndarray:
         """Exact inner products, as longs: in floats while all sums are whole numbers below 2^53."""
         if self.most * float(np.abs(anchor.astype(np.float64)).max(initial=0)) * len(anchor) < 2**53:
-            some = bucket.vectors if rows is None else bucket.vectors[rows]
-            return (some @ anchor.astype(np.float64)).astype(np.int64)
+            if rows is None or 2 * len(rows) > len(bucket.at):  # one product over all is faster than picking most
+                found = bucket.vectors @ anchor.astype(np.float64)
+                return (found if rows is None else found[rows]).astype(np.int64)
+            return (bucket.vectors[rows] @ anchor.astype(np.float64)).astype(np.int64)
         at = bucket.at if rows is None else bucket.at[rows]
         wide = [sum(int(x) * int(y) for x, y in zip(v, anchor, strict=True)) for v in self.vectors[at]]
         return np.array([max(-LONG - 1, min(LONG, x)) for x in wide], dtype=np.int64)

@@ -172,12 +172,14 @@ def usable(vectors: DataFrame, scale: int) -> DataFrame:
 
 
 def units(entries: DataFrame, group: list[str]) -> DataFrame:
-    """The values of ``group`` with the number of units that their entries are dealt to."""
+    """The values of ``group`` with the number of units that their entries are dealt to: units are as large as
+    ``CELLS`` allows, or smaller where that would leave slots without one."""
+    counts = checkpointed(entries.groupBy(*group).agg(F.count(F.lit(1)).alias("n")))
+    groups, total = counts.agg(F.count(F.lit(1)), F.sum("n")).first()
     slots = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n, dim = F.count(F.lit(1)), F.greatest(F.col("dim"), F.lit(1))
-    parts = F.greatest(F.ceil(F.col("n") * dim / CELLS), F.least(F.lit(slots), F.ceil(F.col("n") / LEAST_ROWS)))
-    found = checkpointed(entries.groupBy(*group).agg(n.alias("n")).select(*group, parts.cast("int").alias("parts")))
-    return F.broadcast(found) if found.count() <= FEW_GROUPS else found
+    rows = F.least(F.floor(F.lit(CELLS) / F.greatest("dim", F.lit(1))), F.lit(max(LEAST_ROWS, -(-(total or 0) // slots))))
+    found = counts.select(*group, F.ceil(F.col("n") / F.greatest(rows, F.lit(1))).cast("int").alias("parts"))
+    return F.broadcast(found) if groups <= FEW_GROUPS else found
 
 
 FOUND = "h1 long, h2 long, wanted long, score long, ids array<long>"

@@ -18,6 +18,8 @@ from ..sources.stored import computed_once
 
 #: Vector components that a block holds, about.
 CELLS = 1 << 22
+#: Rows that are worth a block of their own.
+LEAST_ROWS = 64
 #: Keys whose numbers of blocks may be broadcast.
 FEW_KEYS = 100_000
 
@@ -31,24 +33,24 @@ def matrix(column: pa.Array) -> np.ndarray:
 def streamed_past(kept: DataFrame, passing: DataFrame, keys: list[str], spread: list[str], rows: int, block: Callable[[pa.RecordBatch], object], schema: T.StructType | str) -> DataFrame:
     """What ``block`` objects yield: one is made of all ``kept`` rows of a block, its ``meet`` gets the
     ``passing`` rows of the block's key batch by batch, and ``end`` is called when they are through. Both
-    methods yield record batches. Blocks hold about ``rows`` rows, dealt by the hash of the columns ``spread``,
+    methods yield record batches. Blocks hold about ``rows`` rows at most, dealt by the hash of the columns ``spread``,
     which should tell a key's rows apart: rows equal in them share a block.
     """
     names = [f"k{k}" for k in range(len(keys))]
     keyed = lambda d: d.select(F.struct(*d.columns).alias("row"), *(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)))
     left, right = keyed(kept), keyed(passing)
+    counts = computed_once(left.groupBy(*names).agg(F.count(F.lit(1)).alias("n")))
+    n_keys, total = counts.agg(F.count(F.lit(1)), F.sum("n")).first()
     slots = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    few = max(1, rows // 64)  # a key of more rows than this is worth several tasks
-    n = F.count(F.lit(1))
-    parts = F.greatest(F.ceil(n / rows), F.least(F.lit(slots), F.ceil(n / few))).cast("int")
-    sizes = computed_once(left.groupBy(*names).agg(parts.alias("parts")))
-    sizes = F.broadcast(sizes) if sizes.count() <= FEW_KEYS else sizes
+    rows = min(rows, max(LEAST_ROWS, -(-(total or 0) // slots)))  # smaller blocks where slots would have none
+    sizes = counts.select(*names, F.ceil(F.col("n") / rows).cast("int").alias("parts"))
+    sizes = F.broadcast(sizes) if n_keys <= FEW_KEYS else sizes
     side = [*names, "part", "kind", "kept", "passing"]
     own = F.pmod(F.xxhash64(*(f"row.{c}" for c in spread)), F.col("parts")).cast("int")
     nothing = lambda d: F.lit(None).cast(T.StructType(d.schema.fields))
     a = left.join(sizes, names).select(*names, own.alias("part"), F.lit(0).alias("kind"), F.col("row").alias("kept"), nothing(passing).alias("passing"))
     b = right.join(sizes, names).select(*names, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), nothing(kept).alias("kept"), F.col("row").alias("passing"))
-    n_keys = len(names) + 1
+    width = len(names) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, waiting, open_ = None, [], None
@@ -58,18 +60,18 @@ def streamed_past(kept: DataFrame, passing: DataFrame, keys: list[str], spread:
                 yield from (open_ or block(_joined(waiting))).end()
 
         for batch in batches:
-            for begin, end in _stretches([batch.column(c) for c in range(n_keys + 1)]):
+            for begin, end in _stretches([batch.column(c) for c in range(width + 1)]):
                 part = batch.slice(begin, end - begin)
-                key = [part.column(c)[0].as_py() for c in range(n_keys)]
+                key = [part.column(c)[0].as_py() for c in range(width)]
                 if key != now:
                     yield from ended()
                     now, waiting, open_ = key, [], None
-                if part.column(n_keys)[0].as_py() == 0:
-                    waiting.append(_fields(part.column(n_keys + 1)))
+                if part.column(width)[0].as_py() == 0:
+                    waiting.append(_fields(part.column(width + 1)))
                 elif waiting or open_ is not None:
                     if open_ is None:
                         open_, waiting = block(_joined(waiting)), []
-                    yield from open_.meet(_fields(part.column(n_keys + 2)))
+                    yield from open_.meet(_fields(part.column(width + 2)))
         yield from ended()
 
     together = a.unionByName(b).select(*side).repartition(*names, "part").sortWithinPartitions(*names, "part", "kind")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, short, stored
+from .common import checkpointed, remove, short, stored
 from .simhash import _lower, _words, connected_components, kept_rows, linked, over_half
 
 #: Against rounding in products of the similarity with sizes; errs on the side of more candidates.
@@ -96,7 +96,7 @@ def marked_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, T.StructType(fields))
 
 
-def frequent_shingles(docs: DataFrame, size: int, n_rows: int, sample_rows: int = 2_000, least: int = 3, limit: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(docs: DataFrame, size: int, n_rows: int, sample_rows: int = 20_000, least: int = 3, limit: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of several texts of a sample of about ``sample_rows``, ascending, and their rank by
     count."""
     step = max(1, n_rows // sample_rows)
@@ -364,17 +364,14 @@ def roots_of(edges: DataFrame) -> DataFrame:
 
 
 def settled(pairs: DataFrame, docs: DataFrame, marked: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Edges (a, b) of the similarity among ``pairs`` that connect whatever these connect. Each set is first
-    verified against one candidate, then candidates whose sets aren't connected by then."""
+    """The edges (a, b) of the similarity among ``pairs``. What is written on the way is deleted."""
     sketches = marked.join(members(pairs), "sid", "left_semi").select("sid", "n", "sketch").dropDuplicates(["sid"])
-    pairs, _ = stored(likely(pairs, sketches, similarity))
-    sets, _ = stored(sets_of(docs, members(pairs), marked, size))
-    first = checkpointed(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, similarity))
-    known = roots_of(first)
-    root = lambda c: known.select(F.col("sid").alias(c), F.col("root").alias(f"root_{c}"))
-    rest = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
-    rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    return first.unionByName(checkpointed(verified(rest, sets, similarity)))
+    left, left_path = stored(likely(pairs, sketches, similarity))
+    sets, sets_path = stored(sets_of(docs, members(left), marked, size))
+    edges = checkpointed(verified(left, sets, similarity))
+    remove(docs.sparkSession, left_path)
+    remove(docs.sparkSession, sets_path)
+    return edges
 
 
 def links(docs: DataFrame, marked: DataFrame, size: int = 5, similarity: float = 0.8, split: int = 1024, radius: int = RADIUS) -> DataFrame:

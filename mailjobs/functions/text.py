@@ -15,7 +15,7 @@ IMAGE = r"""<img[^>]*alt=["']([^"']*)["'][^>]*/?>"""
 NON_WORDS = (
     r"(?U)\b[a-fA-F0-9]{32,}\b",
     r"(?U)\b[a-fA-F0-9]{8}-[a-fA-F0-9]{4}-[a-fA-F0-9]{4}-[a-fA-F0-9]{4}-[a-fA-F0-9]{12}\b",
-    r"[a-zA-Z0-9+/]{40,}={0,2}",
+    r"(?<![a-zA-Z0-9+/])[a-zA-Z0-9+/]{40,}+={0,2}",  # tried where a run begins only, which finds the same
     r"(?U)\b[a-zA-Z0-9_-]{30,}\b",
 )
 EMOJI = (

@@ -91,11 +91,12 @@ def demand_time(share: Column, place: Column, schedules=SCHEDULES) -> Column:
     return out
 
 
-def curriculum(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = 3, schedules=SCHEDULES, keyed: bool = False) -> DataFrame:
+def curriculum(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = 3, schedules=SCHEDULES, keyed: bool = False, cut: bool = True) -> DataFrame:
     """One row for each document: doc_id, key (a hash of the row, with ``keyed``), source, size,
     source_size, target, taken, and ``copies``, an array of (epoch, words, position) for each time that the
-    mix reads it. The last copy of a source
-    is cut where the target ends, so a source's taken words equal its target, rounded."""
+    mix reads it. The last copy of a source is cut where the target ends, so a source's taken words equal
+    its target, rounded; without ``cut`` it is read whole if half of it or more lies before that end, else
+    not at all, so they miss it by half a document at most."""
     rows = checkpointed(sized(docs, keyed))
     targets = checkpointed(source_targets(rows, weights, max_epochs))
     n_buckets = F.ceil(2 * F.sqrt("n_docs"))
@@ -117,6 +118,8 @@ def curriculum(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), ma
     def copy(epoch: Column) -> Column:
         start = F.col("begin") + epoch * F.col("source_size")
         words = F.greatest(F.least(F.col("size"), whole - start), F.lit(0))
+        if not cut:
+            words = F.when((words > 0) & (2 * words >= F.col("size")), F.col("size")).otherwise(F.lit(0).cast("long"))
         return F.struct(epoch.cast("int").alias("epoch"), words.alias("words"), demand_time(F.try_divide(start, F.col("target")), F.col("place"), schedules).alias("position"))
 
     copies = F.filter(F.transform(F.sequence(F.lit(0), F.lit(max_epochs - 1)), copy), lambda c: c["words"] > 0)
@@ -136,18 +139,20 @@ def training_order(mixed: DataFrame) -> DataFrame:
     return each.orderBy("position", F.col("source").asc_nulls_last(), "doc_id", "epoch")
 
 
-def materialise(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = 3, schedules=SCHEDULES) -> DataFrame:
+def materialise(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = 3, schedules=SCHEDULES, cut: bool = True) -> DataFrame:
     """The mix itself: the columns of ``docs`` with one row for each copy, range-sorted by position.
 
     A copy that is read in part carries its text up to the last word read, and n_chars, if there is
-    such a column, follows. Rows that agree in all columns are one row to the join and have the copies
+    such a column, follows; without ``cut`` (as in ``curriculum``) every copy is a whole text. Rows that agree in all columns are one row to the join and have the copies
     of all of them.
     """
     names = ["__doc_id", "__key"]
-    plan = curriculum(docs, weights, max_epochs, schedules, keyed=True)
+    plan = curriculum(docs, weights, max_epochs, schedules, keyed=True, cut=cut)
     plan = plan.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__doc_id"), F.col("key").alias("__key"), F.explode("copies").alias("__c"))
     rows = docs.withColumns({"__key": F.xxhash64(*docs.columns), "__doc_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))})
     rows = rows.dropDuplicates(names).join(plan, names)
+    if not cut:
+        return rows.orderBy("__c.position", "doc_id", "__c.epoch").select(*docs.columns)
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("__c.words").cast("int")), "")
     text = F.when(F.col("__c.words") < count_words(F.col("text")), part).otherwise(F.col("text"))
     rows = rows.withColumn("text", text)

@@ -56,10 +56,18 @@ def shingles(text: str | None, size: int = 5) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(map(xxh64_digest, found, repeat(42))), dtype=np.int64))
 
 
-def set_id(found: np.ndarray) -> int:
+def set_ids(found: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two independent hashes of a set; of the first only as many bits as asked for (fewer in tests)."""
     from xxhash import xxh64_intdigest
 
-    return int(np.uint64(xxh64_intdigest(found.tobytes())).view(np.int64))
+    first, second = (np.uint64(xxh64_intdigest(found.tobytes(), seed)) for seed in (0, 1))
+    return int((first >> np.uint64(64 - bits)).view(np.int64)), int(second.view(np.int64))
+
+
+def set_id(found: np.ndarray, shared: frozenset[int] = frozenset(), bits: int = 64) -> int:
+    """The first hash of a set, or the second one where the first is ``shared`` by unlike sets."""
+    first, second = set_ids(found, bits)
+    return second if first in shared else first
 
 
 def prefix(found: np.ndarray, similarity: float, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -82,20 +90,30 @@ def set_fingerprint(found: np.ndarray) -> int:
     return int(np.uint64(over_half(found.view(np.uint8).reshape(-1, 8))).view(np.int64)) if len(found) else 0
 
 
-def marked_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, key (a hash of the text), ``sid`` (a hash of the set), n (its size) and ``sketch`` of every
-    row."""
-    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("key", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("sketch", T.BinaryType())]
+def marked_sets(docs: DataFrame, size: int, bits: int = 64) -> DataFrame:
+    """doc_id, key (a hash of the text), ``sid`` and ``second`` (hashes of the set), n (its size) and
+    ``sketch`` of every row."""
+    names = ["doc_id", "key", "sid", "second", "n", "sketch"]
+    types = [docs.schema["doc_id"].dataType, T.LongType(), T.LongType(), T.LongType(), T.IntegerType(), T.BinaryType()]
+    fields = [T.StructField(name, of) for name, of in zip(names, types, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in short(batches):
             sets = [shingles(t.as_py(), size) for t in batch.column(2)]
-            new = [pa.array(map(set_id, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(sketch, sets), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], names=["doc_id", "key", "sid", "n", "sketch"])
+            ids = np.array([set_ids(x, bits) for x in sets], dtype=np.int64).reshape(-1, 2)
+            new = [pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(map(len, sets), pa.int32()), pa.array(map(sketch, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], names=names)
 
     return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, T.StructType(fields))
 
 
+def shared_ids(marked: DataFrame) -> frozenset[int]:
+    """First hashes that unlike sets have in common, so that these are told apart by the second one. Of m
+    sets about m^2 / 2^65 share one (70 of 5e10), which is what reaches the driver."""
+    both = marked.groupBy("sid").agg(F.min("second").alias("lo"), F.max("second").alias("hi"))
+    return frozenset(r["sid"] for r in both.where("lo <> hi").select("sid").collect())
+
+
 def frequent_shingles(docs: DataFrame, size: int, n_rows: int, sample_rows: int = 20_000, least: int = 3, limit: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of several texts of a sample of about ``sample_rows``, ascending, and their rank by
     count."""
@@ -112,7 +130,7 @@ def frequent_shingles(docs: DataFrame, size: int, n_rows: int, sample_rows: int
     return values[order], order
 
 
-def prefixes(docs: DataFrame, size: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def prefixes(docs: DataFrame, size: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray], shared: frozenset[int] = frozenset(), bits: int = 64) -> DataFrame:
     """h, n (size of the set), sid, pos and fp for every shingle of every set's prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +139,7 @@ def prefixes(docs: DataFrame, size: int, similarity: float, frequent: tuple[np.n
             sets = [x for x in sets if len(x)]
             first = [prefix(x, similarity, *frequent) for x in sets]
             row, h = _flat(first)
-            n, sid, fp = (np.array(list(map(of, sets)), dtype=t) for of, t in ((len, np.int32), (set_id, np.int64), (set_fingerprint, np.int64)))
+            n, sid, fp = (np.array(list(map(of, sets)), dtype=t) for of, t in ((len, np.int32), (lambda x: set_id(x, shared, bits), np.int64), (set_fingerprint, np.int64)))
             pos = np.concatenate([np.empty(0, np.int32), *(np.arange(len(x), dtype=np.int32) for x in first)])
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n[row]), pa.array(sid[row]), pa.array(pos), pa.array(fp[row])], names=["h", "n", "sid", "pos", "fp"])
 
@@ -374,20 +392,23 @@ def settled(pairs: DataFrame, docs: DataFrame, marked: DataFrame, size: int, sim
     return edges
 
 
-def links(docs: DataFrame, marked: DataFrame, size: int = 5, similarity: float = 0.8, split: int = 1024, radius: int = RADIUS) -> DataFrame:
+def links(docs: DataFrame, marked: DataFrame, size: int = 5, similarity: float = 0.8, split: int = 1024, radius: int = RADIUS, shared: frozenset[int] = frozenset(), bits: int = 64) -> DataFrame:
     """Verified edges (a, b) between set ids that connect whatever pairs of the similarity connect."""
     frequent = frequent_shingles(docs, size, marked.count())
-    pairs, more = first_candidates(prefixes(docs, size, similarity, frequent), similarity, split, radius)
+    pairs, more = first_candidates(prefixes(docs, size, similarity, frequent, shared, bits), similarity, split, radius)
     edges = settled(pairs, docs, marked, size, similarity)
     rest = further_candidates(more, roots_of(edges), similarity, split, radius)
     return edges if rest.isEmpty() else edges.unionByName(settled(rest, docs, marked, size, similarity))
 
 
-def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, split: int = 1024, radius: int = RADIUS) -> DataFrame:
+def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, split: int = 1024, radius: int = RADIUS, bits: int = 64) -> DataFrame:
     """doc_id, key, component_id (the smallest doc_id of all documents reachable over links) and root, a
     set id that names the component."""
-    marked, _ = stored(marked_sets(docs, size))
-    parts = connected_components(links(docs, marked, size, similarity, split, radius))
+    marked, _ = stored(marked_sets(docs, size, bits))
+    shared = shared_ids(marked)
+    if shared:
+        marked = marked.withColumn("sid", F.when(F.col("sid").isin(list(shared)), F.col("second")).otherwise(F.col("sid")))
+    parts = connected_components(links(docs, marked, size, similarity, split, radius, shared, bits))
     named = marked.join(parts.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     low = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(low, "root").select("doc_id", "key", "component_id", "root")

@@ -56,6 +56,15 @@ def test_radius_of_64_is_the_exact_way(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute(rows)
 
 
+@pytest.mark.parametrize("bits", [1, 5])
+def test_unlike_sets_of_one_hash_are_told_apart(spark, bits):
+    rows = edited()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(N.shared_ids(N.marked_sets(docs, 5, bits))) > 1
+    got = N.near_copies(docs, bits=bits).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute(rows)
+
+
 def test_groups_of_near_copies_list_pairs_in_proportion(spark, monkeypatch):
     """Candidates of all passes grow with the rows of a group, not with its pairs."""
     counts, plain = [], N.likely

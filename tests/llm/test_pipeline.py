@@ -1,10 +1,12 @@
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline as C
 from mailjobs.llm import nearcopies, quality
 
+from .test_mixing import fill
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+").findall
 
 
@@ -57,11 +59,12 @@ def test_stages_equal_brute_force(spark, docs, sf, tmp_path):
         size[r["source"]] += len(WORD(r["text"]))
     for r in out[3]:
         taken[r["source"]] += len(WORD(r["text"]))
-    order = sorted(size)
-    w = {s: float(k % 3 + 1) for k, s in enumerate(order)}
-    level = sum(size.values()) / sum(w.values())
-    if all(level * w[s] <= 3 * size[s] for s in order):
-        assert all(abs(taken[s] - level * w[s]) <= 1 for s in order)
+    longest = {s: max(len(WORD(r["text"])) for r in out[2] if r["source"] == s) for s in size}
+    for s, target in fill(size).items():
+        assert abs(taken[s] - target) <= longest[s] / 2 + 1
+    cleaned = {r["doc_id"]: r["text"] for r in out[2]}
+    assert all(r["text"] == cleaned[r["doc_id"]] and r["n_chars"] == len(r["text"]) for r in out[3])
+    assert max(Counter(r["doc_id"] for r in out[3]).values()) <= 3
 
     from mailjobs.llm.queries import BPE_FILE, bpe_pattern, vocabulary
 

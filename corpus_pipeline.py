@@ -34,9 +34,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order, each as often as the mix reads it; the copy at which a source's
-    target ends carries the words that are read of it."""
-    return mixing.materialise(docs).select(*COLUMNS)
+    """Documents in training order, each whole and as often as the mix reads it; the copy at which a
+    source's target ends is there if half of it lies before that end."""
+    return mixing.materialise(docs, cut=False).select(*COLUMNS)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -393,12 +393,15 @@ def settled(pairs: DataFrame, docs: DataFrame, marked: DataFrame, size: int, sim
 
 
 def links(docs: DataFrame, marked: DataFrame, size: int = 5, similarity: float = 0.8, split: int = 1024, radius: int = RADIUS, shared: frozenset[int] = frozenset(), bits: int = 64) -> DataFrame:
-    """Verified edges (a, b) between set ids that connect whatever pairs of the similarity connect."""
+    """Edges (a, b) between set ids that connect whatever pairs of the similarity connect, and nothing else:
+    from each set of the first pass to its root, and the pairs verified in the second."""
     frequent = frequent_shingles(docs, size, marked.count())
     pairs, more = first_candidates(prefixes(docs, size, similarity, frequent, shared, bits), similarity, split, radius)
     edges = settled(pairs, docs, marked, size, similarity)
-    rest = further_candidates(more, roots_of(edges), similarity, split, radius)
-    return edges if rest.isEmpty() else edges.unionByName(settled(rest, docs, marked, size, similarity))
+    roots = roots_of(edges)
+    rest = further_candidates(more, roots, similarity, split, radius)
+    stars = roots.where("sid <> root").select(F.col("sid").alias("a"), F.col("root").alias("b"))
+    return stars if rest.isEmpty() else stars.unionByName(settled(rest, docs, marked, size, similarity))
 
 
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, split: int = 1024, radius: int = RADIUS, bits: int = 64) -> DataFrame:

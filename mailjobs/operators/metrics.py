@@ -72,8 +72,9 @@ def rolling_rate(events: DataFrame, micros: int = 10_000_000, by: str = "user_id
     """Adds rate: growth of the cumulative count from the window's oldest point to its newest, divided
     by the seconds between them; 0 with fewer than two points or under a tenth of a second."""
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    values = {"__sum": F.sum(n), "__oldest": F.min(F.struct("__at", "event_id", n)), "__newest": F.max("__at"), "__points": F.count(F.lit(1))}
-    out = over_sliding_range(events, by, at, micros, values)
+    point = F.when(F.col("__one").isNotNull(), F.struct("__at", "event_id", n))
+    values = {"__sum": F.sum(n), "__oldest": F.min(point), "__newest": F.max("__at"), "__points": F.count("__one")}
+    out = over_sliding_range(events, by, at, micros, values, {"__oldest": F.least, "__newest": F.greatest})
     seconds = (F.col("__newest") - F.col("__oldest.__at")) / 1e6
     rate = F.when((F.col("__points") < 2) | (seconds < 0.1), F.lit(0.0)).otherwise((F.col("__sum") - F.col(f"__oldest.{n}")) / seconds)
     return out.withColumn("rate", rate).drop(*values)

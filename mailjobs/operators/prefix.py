@@ -6,6 +6,8 @@ offsets from the pieces' totals, which are few.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,16 +56,35 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, pieces
     return running_sum(df, keys, order, F.lit(1), name, pieces)
 
 
-def over_sliding_range(df: DataFrame, key: str, at: Column, micros: int, values: dict[str, Column]) -> DataFrame:
+def added(x: Column, y: Column) -> Column:
+    """The sum of both, or the one that isn't null."""
+    return F.coalesce(x + y, x, y)
+
+
+def over_sliding_range(df: DataFrame, key: str, at: Column, micros: int, values: dict[str, Column], merged: dict[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
     """Adds aggregates over a key's rows from ``micros`` before each row up to it, both included.
 
-    Time is cut into slices as long as the frame. A slice needs its own rows and those of the slice
-    before, so every row goes to two slices and counts in the second as context only; a busy key is
-    spread over its slices.
+    Time is cut into slices as long as the frame, so a frame is the end of one slice and the beginning of
+    the next, and a busy key is spread over its slices. Both parts are running aggregates, one in the order of time and
+    one against it, and so take time in proportion to the rows however many a frame holds; a frame that slides
+    would go through its rows again for each row. ``merged`` says how an aggregate of both parts is made from
+    those of each, where it isn't their sum.
+
+    Aggregates may use ``__at`` (the time) and ``__one`` (1), and should ignore rows of nulls only: each row
+    stands as such among those of the slice before, where its frame begins.
     """
-    own = F.floor(F.col("__at") / micros)
-    rows = df.withColumn("__at", at).withColumn("__own", own)
-    rows = rows.withColumn("__slice", F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
-    w = Window.partitionBy(key, "__slice").orderBy("__at").rangeBetween(-micros, 0)
-    out = rows.select("*", *(v.over(w).alias(name) for name, v in values.items()))
-    return out.where("__slice = __own").select(*df.columns, *values)
+    rows = df.withColumn("__at", at).withColumn("__one", F.lit(1)).withColumn("__own", F.floor(F.col("__at") / micros))
+    from_start = Window.partitionBy(key, "__own").orderBy("__at").rangeBetween(Window.unboundedPreceding, 0)
+    ended = rows.select("*", *(v.over(from_start).alias(f"__last_{name}") for name, v in values.items()))
+    kept = [*df.columns, *(f"__last_{name}" for name in values)]
+    seen = [c for c in (*df.columns, "__at", "__one") if c != key]
+    # Two rows of each: what counts in the slice after its own, and the beginning of its frame in its own.
+    context = F.struct(F.lit(True).alias("counts"), (F.col("__own") + 1).alias("slice"), F.col("__at").alias("place"))
+    begin = F.struct(F.lit(False).alias("counts"), F.col("__own").alias("slice"), (F.col("__at") - micros).alias("place"))
+    both = ended.withColumn("__row", F.struct(*kept)).withColumn("__as", F.explode(F.when(F.col("__own").isNull(), F.array(begin)).otherwise(F.array(context, begin))))
+    counts = F.col("__as.counts")
+    both = both.select(key, *(F.when(counts, F.col(c)).alias(c) for c in seen), F.when(~counts, F.col("__row")).alias("__row"), F.col("__as.slice").alias("__slice"), F.col("__as.place").alias("__place"))
+    to_end = Window.partitionBy(key, "__slice").orderBy(F.desc("__place")).rangeBetween(Window.unboundedPreceding, 0)
+    begun = both.select("*", *(v.over(to_end).alias(f"__first_{name}") for name, v in values.items())).where("__row is not null")
+    join = {name: (merged or {}).get(name, added) for name in values}
+    return begun.select(*(F.col(f"__row.{c}").alias(c) for c in df.columns), *(join[name](F.col(f"__first_{name}"), F.col(f"__row.__last_{name}")).alias(name) for name in values))

@@ -38,6 +38,23 @@ def test_sliding_range(rows, width):
     assert key_of(got, "s", "n") == key_of(want, "s", "n")
 
 
+@pytest.mark.parametrize("width", [1, 10, 1000])
+def test_sliding_range_of_least_greatest_and_null_times(rows, width):
+    rows = rows.withColumn("at", F.when(F.col("id") % 41 != 0, F.col("at") - 250)).withColumn("v", F.when(F.col("id") % 5 != 0, F.col("v")))
+    w = Window.partitionBy("k").orderBy("at").rangeBetween(-width, 0)
+    want = rows.withColumn("s", F.sum("v").over(w)).withColumn("low", F.min(F.struct("v", "id")).over(w)["id"]).withColumn("high", F.max("at").over(w)).withColumn("n", F.count(F.lit(1)).over(w))
+    values = {"s": F.sum("v"), "low": F.min(F.when(F.col("__one").isNotNull(), F.struct("v", "id"))), "high": F.max("at"), "n": F.count("__one")}
+    got = P.over_sliding_range(rows, "k", F.col("at"), width, values, {"low": F.least, "high": F.greatest}).withColumn("low", F.col("low.id"))
+    assert sorted(map(str, key_of(got, "s", "low", "high", "n"))) == sorted(map(str, key_of(want, "s", "low", "high", "n")))
+
+
+def test_no_frame_slides(rows):
+    """Spark goes through a sliding frame again for each of its rows."""
+    out = P.over_sliding_range(rows, "k", F.col("at"), 10, {"s": F.sum("v")})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("specifiedwindowframe") == plan.count("unboundedpreceding$(), currentrow$()") > 0
+
+
 def test_empty(rows):
     assert P.numbered(rows.where("false"), ["k"], ["at"], "n").count() == 0
 

@@ -230,7 +230,8 @@ class Text:
             k = bisect_right(earlier, p - GRAM - GRAM) - 1
             while k >= 0 and earlier[k] >= p - GRAM - most:
                 q = p - GRAM - earlier[k]
-                reach = min((s for s, e, r in out if e >= p and s <= p - 2 * q), default=None)
+                # As above; a longer period found later on may itself be a multiple of this one.
+                reach = min((s for s, e, r in out if r <= q and e >= p and s <= p - 2 * q), default=None)
                 if reach is not None:
                     k = bisect_left(earlier, p - GRAM - (p - reach) // 2) - 1
                     continue

@@ -31,6 +31,11 @@ def brute(words):
     return sorted(out, key=lambda r: (r[0], r[2]))
 
 
+def test_a_multiple_of_the_period_found_first():
+    words = list("baaaaa" * 9 + "abaa" * 4)
+    assert runs.word_runs(words) == brute(words) and (0, 54, 6) in brute(words)
+
+
 def kept(words, found):
     return " ".join(w for k, w in enumerate(words) if not any(s + q <= k < s + n for s, n, q in found))
 

@@ -16,9 +16,11 @@ Scale: equal sets are one entry; which shingles are frequent is estimated on a s
 many candidates there are but never which pairs are linked; buckets of more than ``split`` rows are dealt
 out as pairs of parts. Pairs are listed in two passes. The first lists for each row of a bucket the one or two
 rows before it by size, so no more than two pairs a row; these are verified and their components formed. The
-second lists the pairs of a bucket that lie in different components by then. A group of m near copies is one
-component after the first pass, so its m^2 pairs are never listed; what the second pass lists are the
-pairs between groups that come close to each other.
+second compares all sets of a bucket that lie in different components by then, where they meet, and lists no
+pair but links: first the rows are picked that have another one within the fingerprints' radius, of these the
+ones whose sketches leave a link open, and these come with their whole sets. A bucket then gives a forest of its
+links, less than one a row. So what is written and shuffled is in proportion to rows, also where a group's
+texts come close to each other without being linked; only comparisons inside a task grow with pairs.
 
 Defined results: texts without a word are equal to each other and to nothing else; texts of fewer words
 than a shingle have one; repeated rows, null doc_ids and other columns as in ``simhash``.
@@ -80,6 +82,11 @@ def prefix(found: np.ndarray, similarity: float, frequent: np.ndarray, rank: np.
     return found[: n - int(np.ceil(similarity * n - SLACK)) + 1]
 
 
+def needed(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """What sets of n and m shingles have in common at least if they have the similarity."""
+    return similarity / (1 + similarity) * (n + m) - SLACK
+
+
 def _flat(batch_sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     sizes = [len(x) for x in batch_sets]
     return np.repeat(np.arange(len(sizes)), sizes), np.concatenate([np.empty(0, np.int64), *batch_sets])
@@ -151,21 +158,17 @@ class Pairs:
 
     def __init__(self, n: np.ndarray, sid: np.ndarray, pos: np.ndarray, similarity: float):
         self.n, self.sid, self.pos, self.similarity = n.astype(np.int64), sid, pos, similarity
-        self.found, self.waiting = [np.empty((0, 2), dtype=np.int64)], 0
+        self.found = [np.empty((0, 2), dtype=np.int64)]
 
     def near(self, rows: np.ndarray, other: np.ndarray) -> np.ndarray:
         """Whether sizes and places in the prefix leave it open that sets are similar."""
         n, pos = self.n, self.pos
-        need = self.similarity / (1 + self.similarity) * (n[rows] + n[other]) - SLACK
         left = np.minimum(pos[rows], pos[other]) + np.minimum(n[rows] - pos[rows], n[other] - pos[other])
-        return (left >= need) & (self.sid[rows] != self.sid[other])
+        return (left >= needed(n[rows], n[other], self.similarity)) & (self.sid[rows] != self.sid[other])
 
     def add(self, rows: np.ndarray, other: np.ndarray) -> None:
         a, b = self.sid[rows], self.sid[other]
         self.found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-        self.waiting += len(a)
-        if self.waiting > 1 << 20:
-            self.found, self.waiting = [self.all()], 0
 
     def all(self) -> np.ndarray:
         return np.unique(np.concatenate(self.found), axis=0)
@@ -185,24 +188,26 @@ def neighbouring(bucket: np.ndarray, n: np.ndarray, sid: np.ndarray, pos: np.nda
     return pairs.all()
 
 
-def apart(bucket: np.ndarray, n: np.ndarray, sid: np.ndarray, pos: np.ndarray, fp: np.ndarray, root: np.ndarray, similarity: float, radius: int) -> np.ndarray:
-    """All candidates of different roots among rows sorted by bucket and n."""
-    if len(sid):
-        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        one = np.minimum.reduceat(root, starts) == np.maximum.reduceat(root, starts)
-        mixed = np.repeat(~one, np.diff(np.append(starts, len(sid))))
-        bucket, n, sid, pos, fp, root = (x[mixed] for x in (bucket, n, sid, pos, fp, root))
-    pairs = Pairs(n, sid, pos, similarity)
+def apart(bucket: np.ndarray, n: np.ndarray, pos: np.ndarray, fp: np.ndarray, root: np.ndarray, similarity: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (i, j) of the candidates of different roots among rows sorted by bucket and n. A pair may
+    be left out of buckets other than that of the first shingle that both have in the common order: after it
+    come all others that they share."""
+    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    one = np.minimum.reduceat(root, starts) == np.maximum.reduceat(root, starts)
+    at = np.flatnonzero(np.repeat(~one, np.diff(np.append(starts, len(bucket)))))
+    bucket, n, pos, fp, root = (x[at] for x in (bucket, n.astype(np.int64), pos, fp, root))
+    out = []
 
     def add(rows: np.ndarray, other: np.ndarray) -> None:
-        good = pairs.near(rows, other) & (root[rows] != root[other])
-        pairs.add(rows[good], other[good])
+        left = np.minimum(n[rows] - pos[rows], n[other] - pos[other])
+        good = (left >= needed(n[rows], n[other], similarity)) & (root[rows] != root[other])
+        out.append((at[rows[good]], at[other[good]]))
 
     # The short sets, each against those of its bucket that aren't too long for it.
     rows, ahead = np.flatnonzero(n < SHORT), 0
     while len(rows):
         ahead += 1
-        rows = rows[rows + ahead < len(sid)]
+        rows = rows[rows + ahead < len(n)]
         other = rows + ahead
         near = (bucket[rows] == bucket[other]) & (n[rows] >= similarity * n[other] - SLACK)
         rows, other = rows[near], other[near]
@@ -215,7 +220,8 @@ def apart(bucket: np.ndarray, n: np.ndarray, sid: np.ndarray, pos: np.ndarray, f
         starts = np.flatnonzero(np.append(True, bucket[rows][1:] != bucket[rows][:-1]))
         i, j = linked(fp[rows].view(np.uint64), starts, radius)
         add(rows[i], rows[j])
-    return pairs.all()
+    i, j = zip(*out, strict=True) if out else ((), ())
+    return np.concatenate([at[:0], *i]), np.concatenate([at[:0], *j])
 
 
 def _first_pass(similarity: float, radius: int, split: int):
@@ -261,26 +267,92 @@ def _first_pass(similarity: float, radius: int, split: int):
     return run
 
 
-def _second_pass(similarity: float, radius: int):
-    """Reads rows (h, lo, hi, n, sid, pos, fp, root) sorted in this order, and yields the candidates (a, b) of
-    different roots of every bucket (h, lo, hi)."""
+#: Columns of the second pass: a row of a bucket h in the unit (h, lo, hi), sorted by the first five.
+ROW = "h long, lo int, hi int, n int, sid long, pos int, fp long, root long"
+
+
+def _whole_units(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """The columns of whole units (the first three columns), with the number of each row's unit; so many
+    units at once that these have about ``most`` pairs, and one at least."""
+
+    def dealt(part: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        unit = np.cumsum(np.append(False, np.any([x[1:] != x[:-1] for x in part[:3]], axis=0)))
+        turn = (np.cumsum(np.bincount(unit).astype(np.int64) ** 2) // most)[unit]
+        cuts = [0, *(np.flatnonzero(turn[1:] != turn[:-1]) + 1), len(unit)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield unit[a:b], [x[a:b] for x in part]
+
+    kept: list[np.ndarray] = []
+    for batch in batches:
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        kept = [np.concatenate(x) for x in zip(kept, new, strict=True)] if kept else new
+        change = np.flatnonzero(np.any([x[1:] != x[:-1] for x in kept[:3]], axis=0))
+        if len(change):
+            yield from dealt([x[: change[-1] + 1] for x in kept])
+            kept = [x[change[-1] + 1 :] for x in kept]
+    if kept and len(kept[0]):
+        yield from dealt(kept)
 
-    def pairs(part: list[np.ndarray]) -> pa.RecordBatch:
-        bucket = np.cumsum(np.append(False, np.any([x[1:] != x[:-1] for x in part[:3]], axis=0)))
-        found = apart(bucket, *part[3:], similarity, radius)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+def _near_rows(similarity: float, radius: int):
+    """Of rows (``ROW``) those that have a candidate of a different root in their unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
-        for batch in batches:
-            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            kept = [np.concatenate(x) for x in zip(kept, new, strict=True)] if kept else new
-            change = np.flatnonzero(np.any([x[1:] != x[:-1] for x in kept[:3]], axis=0))
-            if len(change):
-                yield pairs([x[: change[-1] + 1] for x in kept])
-                kept = [x[change[-1] + 1 :] for x in kept]
-        if kept and len(kept[0]):
-            yield pairs(kept)
+        for unit, part in _whole_units(batches):
+            i, j = apart(unit, part[3], *part[5:8], similarity, radius)
+            yield _picked(part, np.unique(np.concatenate([i, j])))
+
+    return run
+
+
+def _open_rows(similarity: float, radius: int, chunk: int = 1 << 16):
+    """Of rows (``ROW`` and a sketch) those that have a candidate of a different root in their unit that the
+    sketches leave open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit, part in _whole_units(batches):
+            i, j = apart(unit, part[3], *part[5:8], similarity, radius)
+            seen = np.zeros(len(unit), dtype=bool)
+            for k in range(0, len(i), chunk):
+                a, b = i[k : k + chunk], j[k : k + chunk]
+                new = ~(seen[a] & seen[b])
+                a, b = a[new], b[new]
+                good = room(part[8], part[3], a, b, similarity) >= 0
+                seen[a[good]] = seen[b[good]] = True
+            yield _picked(part, np.flatnonzero(seen))
+
+    return run
+
+
+def _picked(part: list[np.ndarray], rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x[rows]) for x in part[:8]], names=[f.split()[0] for f in ROW.split(", ")])
+
+
+def _linked_rows(similarity: float, radius: int, chunk: int = 1 << 16):
+    """Of rows (``ROW`` and the whole sets as bytes) links (a, b) that connect what is linked in a unit and has
+    different roots: a forest, less than one a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit, part in _whole_units(batches):
+            sid, sets = part[4], [np.frombuffer(x, dtype=np.int64) for x in part[8]]
+            sketches = np.array([*map(sketch, sets), None], dtype=object)[:-1]
+            i, j = apart(unit, part[3], *part[5:8], similarity, radius)
+            label = np.unique(np.stack([unit, part[7]], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
+            links = []
+            for k in range(0, len(i), chunk):
+                a, b = i[k : k + chunk], j[k : k + chunk]
+                new = label[a] != label[b]
+                a, b = a[new], b[new]
+                left = room(sketches, part[3], a, b, similarity)
+                for at in np.argsort(-left):
+                    x, y = a[at], b[at]
+                    if left[at] < 0:
+                        break
+                    if label[x] != label[y] and similar(sets[x], sets[y], similarity):
+                        label[label == label[x]] = label[y]
+                        links.append((sid[x], sid[y]))
+            found = np.array(links, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found.min(axis=1)), pa.array(found.max(axis=1))], names=["a", "b"])
 
     return run
 
@@ -294,16 +366,34 @@ def first_candidates(rows: DataFrame, similarity: float, split: int, radius: int
     return pairs, found.where("b is null").select("h", "n", F.col("a").alias("sid"), "pos", "fp").distinct()
 
 
-def further_candidates(rows: DataFrame, roots: DataFrame, similarity: float, split: int, radius: int) -> DataFrame:
-    """The distinct candidates (a, b) among ``rows`` whose sets have different roots (sid, root; others are
-    their own). Buckets are dealt into parts of about ``split`` rows, and each pair of parts is one unit."""
+def further_links(rows: DataFrame, roots: DataFrame, docs: DataFrame, marked: DataFrame, size: int, similarity: float, split: int, radius: int) -> DataFrame:
+    """Edges (a, b) that connect what is linked among ``rows`` and has different roots (sid, root; others are
+    their own). Buckets are dealt into parts of about ``split`` rows, fewer of long sets, and each pair of parts
+    is one unit, whose sets are compared where they meet."""
     named = rows.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    sizes = named.groupBy("h").agg(F.ceil((F.count(F.lit(1)) + 1) / split).cast("int").alias("parts"), F.min("root").alias("x"), F.max("root").alias("y"))
+    parts = F.ceil(F.greatest((F.count(F.lit(1)) + 1) / split, F.sum("n") / (2048 * split))).cast("int")
+    sizes = named.groupBy("h").agg(parts.alias("parts"), F.min("root").alias("x"), F.max("root").alias("y"))
     mixed = named.join(sizes.where("x <> y").select("h", "parts"), "h").withColumn("own", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("parts")).cast("int"))
     others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("own")))
-    dealt = mixed.withColumn("other", F.explode(others)).select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "n", "sid", "pos", "fp", "root")
-    listed = dealt.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi", "n", "sid").mapInArrow(_second_pass(similarity, radius), "a long, b long")
-    return stored(listed.distinct())[0]
+    columns = ["h", "lo", "hi", "n", "sid", "pos", "fp", "root"]
+    dealt = mixed.withColumn("other", F.explode(others)).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).select(*columns)
+
+    def met(part: DataFrame, step, out: str) -> DataFrame:
+        return part.repartition(*columns[:3]).sortWithinPartitions(*columns[:5]).mapInArrow(step(similarity, radius), out)
+
+    near, near_path = stored(met(dealt, _near_rows, ROW))
+    if near.isEmpty():
+        return near.select(F.col("sid").alias("a"), F.col("sid").alias("b"))
+    sids, _ = stored(near.select("sid").distinct())
+    sketches = marked.join(sids, "sid", "left_semi").select("sid", "sketch").dropDuplicates(["sid"])
+    left, left_path = stored(met(near.join(sketches, "sid").select(*columns, "sketch"), _open_rows, ROW))
+    remove(docs.sparkSession, near_path)
+    sids, _ = stored(left.select("sid").distinct())
+    sets, sets_path = stored(sets_of(docs, sids, marked, size))
+    edges = checkpointed(met(left.join(sets, "sid").select(*columns, "words"), _linked_rows, "a long, b long").distinct())
+    remove(docs.sparkSession, left_path)
+    remove(docs.sparkSession, sets_path)
+    return edges
 
 
 def sketch(found: np.ndarray) -> bytes:
@@ -322,7 +412,38 @@ def may_reach(x: bytes, y: bytes, n: int, m: int, similarity: float) -> bool:
     a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
     size = min(len(a), len(b))
     both = int(np.minimum(a.reshape(size, -1).sum(axis=1), b.reshape(size, -1).sum(axis=1)).sum())
-    return both >= similarity / (1 + similarity) * (n + m) - SLACK
+    return both >= needed(n, m, similarity)
+
+
+def room(sketches: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float, chunk: int = 1 << 22) -> np.ndarray:
+    """For pairs of rows (i, j) how far the most that the sets can have in common by their sketches lies over
+    what the similarity needs: negative where ``may_reach`` is false, infinite where a sketch is empty."""
+    lengths = np.array([*map(len, sketches)], dtype=np.int64)
+    out = np.full(len(i), np.inf)
+    small, large = np.minimum(lengths[i], lengths[j]), np.maximum(lengths[i], lengths[j])
+    for size in np.unique(small[small > 0]):
+        folded, place = {}, np.zeros(len(lengths), dtype=np.int64)
+        for length in np.unique(large[small == size]).tolist() + [int(size)]:
+            rows = np.flatnonzero(lengths == length)
+            place[rows] = np.arange(len(rows))
+            counts = np.frombuffer(b"".join(sketches[rows]), np.uint8).reshape(len(rows), size, -1)
+            folded[length] = counts[:, :, 0] if length == size else counts.sum(axis=2, dtype=np.uint32)
+        for length in folded:
+            at = np.flatnonzero((small == size) & (large == length))
+            x = np.where(lengths[i[at]] == size, i[at], j[at])
+            y = i[at] + j[at] - x
+            step = max(1, chunk // int(size))
+            for k in range(0, len(at), step):
+                part = slice(k, k + step)
+                both = np.minimum(folded[int(size)][place[x[part]]], folded[length][place[y[part]]]).sum(axis=1, dtype=np.int64)
+                out[at[part]] = both - needed(n[x[part]].astype(np.int64), n[y[part]], similarity)
+    return out
+
+
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether sets have the similarity or more."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - SLACK
 
 
 def members(pairs: DataFrame) -> DataFrame:
@@ -364,12 +485,8 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in short(batches):
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_py(), dtype=np.int64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * (len(x) + len(y) - both) - SLACK)
-            keep = pa.array(good, pa.bool_())
+            sets = [[np.frombuffer(v.as_py(), dtype=np.int64) for v in batch.column(k)] for k in (2, 3)]
+            keep = pa.array([similar(x, y, similarity) for x, y in zip(*sets, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -394,14 +511,13 @@ def settled(pairs: DataFrame, docs: DataFrame, marked: DataFrame, size: int, sim
 
 def links(docs: DataFrame, marked: DataFrame, size: int = 5, similarity: float = 0.8, split: int = 1024, radius: int = RADIUS, shared: frozenset[int] = frozenset(), bits: int = 64) -> DataFrame:
     """Edges (a, b) between set ids that connect whatever pairs of the similarity connect, and nothing else:
-    from each set of the first pass to its root, and the pairs verified in the second."""
+    from each set of the first pass to its root, and those of the second."""
     frequent = frequent_shingles(docs, size, marked.count())
     pairs, more = first_candidates(prefixes(docs, size, similarity, frequent, shared, bits), similarity, split, radius)
     edges = settled(pairs, docs, marked, size, similarity)
     roots = roots_of(edges)
-    rest = further_candidates(more, roots, similarity, split, radius)
     stars = roots.where("sid <> root").select(F.col("sid").alias("a"), F.col("root").alias("b"))
-    return stars if rest.isEmpty() else stars.unionByName(settled(rest, docs, marked, size, similarity))
+    return stars.unionByName(further_links(more, roots, docs, marked, size, similarity, split, radius))
 
 
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, split: int = 1024, radius: int = RADIUS, bits: int = 64) -> DataFrame:

@@ -117,3 +117,50 @@ def test_sketches_rule_out_no_pair_of_the_similarity():
         ruled_out += not open_
     assert ruled_out > 50
     assert N.sketch(np.arange(1000, dtype=np.int64)) == b"" and N.may_reach(b"", b"", 1, 9, 0.8)
+
+
+def test_groups_that_miss_the_similarity_hand_on_rows_in_proportion(spark, monkeypatch):
+    """Copies with so many edits that only some of them link: nothing that is written or compared in a join
+    grows with the pairs of such a group, and the groups are those of all pairs."""
+    counts, plain = [], N.stored
+
+    def counted(df):
+        out = plain(df)
+        counts.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(N, "stored", counted)
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(5000)]
+    text = [rng.choice(words) for _ in range(150)]
+    most = []
+    for m in (100, 400):
+        rows = []
+        for k in range(m):
+            copy = list(text)
+            for at in rng.sample(range(150), rng.choice([2, 3])):
+                copy[at] = rng.choice(words)
+            rows.append((k, " ".join(copy)))
+        counts.clear()
+        got = {r["doc_id"]: r["component_id"] for r in N.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        want = brute(rows)
+        assert got == want and 5 < len(set(want.values())) < m
+        most.append(max(counts))
+    assert most[1] < 6 * most[0]
+
+
+def test_sketches_of_pairs_at_once_are_those_of_each():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    sets = []
+    for n in (1, 40, 64, 65, 90, 128, 140, 300):
+        base = np.unique(rng.integers(-(1 << 63), 1 << 63, n, dtype=np.int64))
+        sets += [base, np.unique(np.append(base[: max(1, 9 * n // 10)], rng.integers(-(1 << 63), 1 << 63, n // 5, dtype=np.int64)))]
+    sets.append(np.arange(1000, dtype=np.int64))
+    i, j = np.triu_indices(len(sets), 1)
+    sketches, n = np.array([N.sketch(x) for x in sets], dtype=object), np.array([*map(len, sets)])
+    for chunk in (1, 1 << 22):
+        got = N.room(sketches, n, i, j, 0.8, chunk) >= 0
+        assert got.tolist() == [N.may_reach(sketches[a], sketches[b], n[a], n[b], 0.8) for a, b in zip(i, j, strict=True)]
+    assert got.any() and not got.all()
